@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common, tokenizing
 
-#: Most simplex steps; a plan is feasible after each, and later steps only save sequences.
-STEPS = 4000
+#: Most simplex steps after the greedy start; a plan is feasible after each, and later steps only save sequences.
+STEPS = 300
 
 
 def encode_ids(name: str, where: str | None, end_id: int):
@@ -57,14 +57,37 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, n
     return float(best[room]), pattern
 
 
+def greedy(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A first basis: fill a sequence around the largest size left, repeat it until a size is used up, and so on.
+
+    Each pattern uses up a size that no later pattern has, so the basis is triangular.
+    """
+    m = len(sizes)
+    left, patterns, times = demand.astype(float), [], []
+    alive = np.ones(m, bool)
+    while alive.any():
+        top = int(np.flatnonzero(alive)[-1])
+        own = np.flatnonzero(alive)
+        _, fill = knapsack(sizes[own] * (1 + 1e-3 * sizes[own]), sizes[own], room - int(sizes[top]))
+        pattern = np.zeros(m, np.int64)
+        pattern[own] = fill
+        pattern[top] += 1
+        used = np.flatnonzero(pattern)
+        out = int(used[np.argmin(left[used] / pattern[used])])
+        x = left[out] / pattern[out]
+        left -= x * pattern
+        left[out], alive[out] = 0, False
+        patterns.append(pattern)
+        times.append(x)
+    return patterns, np.array(times), np.linalg.inv(np.array(patterns, float).T)
+
+
 def solve(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = STEPS) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used; together they hold every item exactly once or leave free slots."""
     m = len(sizes)
     if not m:
         return []
-    patterns = [np.where(np.arange(m) == i, room // sizes[i], 0) for i in range(m)]
-    inverse = np.diag(1.0 / np.array([room // s for s in sizes], float))
-    x = inverse @ demand
+    patterns, x, inverse = greedy(sizes, demand, room)
     for _ in range(steps):
         value, pattern = knapsack(inverse.sum(axis=0), sizes, room)
         if value <= 1 + 1e-9:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, packing, token_counts
+from . import chat_format, common, decontaminate, packing, syncmers, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,11 +34,19 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_next(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own for each call, so that every call encodes all distinct texts."""
     cache = token_counts.CountCache(spark, f"{common.shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
@@ -46,5 +54,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_format, op5_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_chat_format, op4_syncmer_fingerprints, op5_packing, op6_decontamination, op8_token_counts)}
 SQL: dict[str, str] = {}
