@@ -24,14 +24,19 @@ STEPS = 300
 
 
 def encode_ids(name: str, where: str | None, end_id: int):
-    """mapInArrow function: text to its ids and the end mark, as little-endian unsigned 32-bit bytes."""
+    """mapInArrow function: text to its ids and the end mark, 2 bytes an id where all fit, else 4."""
     end = np.array([end_id], "<u4").tobytes()
 
+    def narrow(ids: bytes) -> bytes:
+        # an odd byte tells the two widths apart
+        x = np.frombuffer(ids, "<u4")
+        return x.astype("<u2").tobytes() + b"2" if x.max() < 1 << 16 else ids + b"4"
+
     def run(it):
         enc = tokenizing.encoder(name, where)
         for b in it:
             ids = [enc.ids(x) + end for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([narrow(x) for x in ids], pa.binary())], ["doc_id", "doc_tokens", "ids"])
 
     return run
 
@@ -157,6 +162,27 @@ def assign(table: dict[int, np.ndarray]):
     return run
 
 
+PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+
+
+def cut(length: int):
+    """mapInArrow function: a document's ids and places to its pieces."""
+
+    def run(it):
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        for b in it:
+            out: list[list] = [[] for _ in names]
+            for doc_id, n, packed, n_full, rest, full_sequence, sequence, offset in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids = np.frombuffer(packed[:-1], "<u2").astype("<u4").tobytes() if packed[-1:] == b"2" else packed[:-1]
+                places = [(i * length, length, full_sequence + i, 0) for i in range(n_full)] + ([(n_full * length, rest, sequence, offset)] if rest else [])
+                for start, size, there, at in places:
+                    for column, v in zip(out, (doc_id, start, size, ids[start * 4 : (start + size) * 4], n, there, at), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, out, strict=True)], names)
+
+    return run
+
+
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", where: str | None = None, length: int = 1024, grain: int = 4, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
@@ -202,19 +228,4 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", where: str | Non
     rests = rests.withColumn("offset", F.coalesce(F.sum("rest").over(there), F.lit(0))).select("uid", "sequence_id", "offset")
 
     pieces = encoded.join(placed.select("uid", "n_full", "rest", "full_sequence").join(rests, "uid", "left"), "uid")
-    full = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("n_full") - 1),
-        lambda i: F.struct((i * length).alias("start"), F.lit(length).cast("bigint").alias("length"), (F.col("full_sequence") + i).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")),
-    )
-    rest = F.struct((F.col("n_full") * length).alias("start"), F.col("rest").alias("length"), F.col("sequence_id"), F.col("offset"))
-    kind = "array<struct<start:bigint,length:bigint,sequence_id:bigint,offset:bigint>>"
-    every = F.concat(F.when(F.col("n_full") > 0, full.cast(kind)).otherwise(F.array().cast(kind)), F.when(F.col("rest") > 0, F.array(rest).cast(kind)).otherwise(F.array().cast(kind)))
-    return pieces.select("doc_id", "doc_tokens", "ids", F.explode(every).alias("p")).select(
-        "doc_id",
-        "p.start",
-        "p.length",
-        F.substring(F.col("ids"), (F.col("p.start") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int")).alias("ids"),
-        "doc_tokens",
-        "p.sequence_id",
-        "p.offset",
-    )
+    return pieces.select("doc_id", "doc_tokens", "ids", "n_full", "rest", "full_sequence", "sequence_id", "offset").mapInArrow(cut(length), PIECES)

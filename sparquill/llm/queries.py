@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, decontaminate, packing, syncmers, token_counts
+from . import chat_format, common, decontaminate, packing, quality, syncmers, token_counts, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,5 +54,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_format, op4_syncmer_fingerprints, op5_packing, op6_decontamination, op8_token_counts)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.scores(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = quality.scores(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op3_chat_format, op4_syncmer_fingerprints, op5_packing, op6_decontamination, op8_token_counts, op9_toxicity, op10_quality)}
 SQL: dict[str, str] = {}

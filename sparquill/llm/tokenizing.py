@@ -33,7 +33,7 @@ ORDINARY = re.compile("[\x00-\u024f]*")
 class Words(dict):
     """Word to its ids, as little-endian unsigned 32-bit bytes. Once BOUND words are held, further ones aren't kept."""
 
-    BOUND = 1_000_000
+    BOUND = 400_000
 
     def __init__(self, tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
