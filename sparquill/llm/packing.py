@@ -3,7 +3,7 @@
 Every document is cut into full pieces of `length` tokens and one rest. Full pieces are sequences of their own. The rests
 are counted in classes of `grain` tokens; a linear program over patterns (how many rests of which class share a sequence)
 is solved by column generation, a knapsack recurrence pricing new patterns; the counts of patterns are rounded down and the
-few rests left over are packed first-fit, longest first. Documents are ranked within their class and take the slots that
+few rests left over are packed one sequence at a time, each as full as can be. Documents are ranked within their class and take the slots that
 the plan has for their rank. The histogram, and so all that the driver sees, has `length / grain` entries at any size.
 
 Null texts count as empty (one token, the end mark), rows without doc_id are left out, repeated rows are packed once each,
@@ -62,6 +62,33 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, n
     return float(best[room]), pattern
 
 
+def fill(left: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
+    """The fullest sequence around the largest item left, with no more items of a size than are left."""
+    top = int(np.flatnonzero(left)[-1])
+    pattern = np.zeros(len(sizes), np.int64)
+    pattern[top] = 1
+    space = room - int(sizes[top])
+    by = np.full(space + 1, -1)
+    by[0] = -2
+    for i in np.flatnonzero(left)[::-1]:
+        s = int(sizes[i])
+        for _ in range(min(int(left[i] - pattern[i]), space // s)):
+            reached = by > -1
+            reached[0] = True
+            new = np.flatnonzero(reached[: space + 1 - s]) + s
+            new = new[by[new] == -1]
+            if not len(new):
+                break
+            by[new] = i
+        if by[space] != -1:
+            break
+    c = int(np.flatnonzero(by != -1)[-1])
+    while c:
+        pattern[by[c]] += 1
+        c -= int(sizes[by[c]])
+    return pattern
+
+
 def greedy(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """A first basis: fill a sequence around the largest size left, repeat it until a size is used up, and so on.
 
@@ -114,18 +141,12 @@ def solve(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = STEPS)
         if times > 0:
             plan.append((pattern, times))
             left -= times * pattern
-    bins: list[np.ndarray] = []
-    rooms: list[int] = []
-    for i in np.argsort(-sizes):
-        for _ in range(int(left[i])):
-            k = next((k for k, r in enumerate(rooms) if r >= sizes[i]), None)
-            if k is None:
-                bins.append(np.zeros(m, np.int64))
-                rooms.append(room)
-                k = len(bins) - 1
-            bins[k][i] += 1
-            rooms[k] -= int(sizes[i])
-    return plan + [(b, 1) for b in bins]
+    while left.any():
+        pattern = fill(left, sizes, room)
+        times = min(int(left[i] // pattern[i]) for i in np.flatnonzero(pattern))
+        plan.append((pattern, times))
+        left -= times * pattern
+    return plan
 
 
 def slots(plan: list[tuple[np.ndarray, int]], sizes: np.ndarray) -> dict[int, np.ndarray]:
