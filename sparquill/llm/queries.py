@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, decontaminate, html_extract, ngram_join, packing, quality, syncmers, token_counts, toxicity
+from . import chat_format, common, decontaminate, html_extract, ngram_join, packing, quality, suffix_dedup, syncmers, token_counts, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedupe(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own for each call, so that every call encodes all distinct texts."""
     cache = token_counts.CountCache(spark, f"{common.shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
@@ -75,5 +81,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_chat_format, op4_syncmer_fingerprints, op5_packing, op6_decontamination, op8_token_counts, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_chat_format, op4_syncmer_fingerprints, op5_packing, op6_decontamination, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_quality)}
 SQL: dict[str, str] = {}
