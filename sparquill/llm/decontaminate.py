@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,22 @@ class Index:
         return found
 
 
+    def held(self, text: str, hashes: common.WordHashes, n: int, num: int, den: int) -> list[tuple[int, int, int]]:
+        """item, shared and wanted shingles of the items that the text holds."""
+        words = common.lower_words(text)
+        if not words or not self.items:
+            return []
+        found = self.candidates(common.shingle_hashes(hashes.of(words), n))
+        own = word_shingles(words, n) if found else set()
+        out = []
+        for k in sorted(found):
+            item_id, wanted, _ = self.items[k]
+            shared = len(wanted & own)
+            if shared * den >= num * len(wanted):
+                out.append((item_id, shared, len(wanted)))
+        return out
+
+
 def search(items: list[tuple[int, str]], n: int, num: int, den: int):
     """mapInArrow function: documents to the items they hold."""
 
@@ -83,30 +100,41 @@ def search(items: list[tuple[int, str]], n: int, num: int, den: int):
         for b in it:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = common.lower_words(text)
-                if not words or not index.items:
-                    continue
-                found = index.candidates(common.shingle_hashes(hashes.of(words), n))
-                held = word_shingles(words, n) if found else set()
-                for k in sorted(found):
-                    item_id, wanted, _ = index.items[k]
-                    shared = len(wanted & held)
-                    if shared * den >= num * len(wanted):
-                        rows.append((doc_id, item_id, shared, len(wanted)))
+                rows += [(doc_id, *x) for x in index.held(text, hashes, n, num, den)]
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_shared", "n_item"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment of every document that holds an item."""
+def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of bounded size."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-size["n"] * 2 // BLOCK_ITEMS), -(-size["b"] * 2 // BLOCK_BYTES)) if size["n"] > BLOCK_ITEMS or size["b"] > BLOCK_BYTES else 1
-    rows = common.texts(docs)
-    found = []
     for k in range(blocks):
-        block = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        found.append(rows.mapInArrow(search(block, n, num, den), "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint"))
+        yield [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment of every document that holds an item."""
+    rows = common.texts(docs)
+    found = [rows.mapInArrow(search(block, n, num, den), "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint") for block in blocks_of(benchmark)]
     return functools.reduce(DataFrame.unionByName, found).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of docs, all columns, that hold no item."""
+
+    def clean(block):
+        def run(it):
+            index, hashes = Index(block, n), common.WordHashes()
+            for b in it:
+                keep = [not index.held(x or "", hashes, n, num, den) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    for block in blocks_of(benchmark):
+        docs = docs.mapInArrow(clean(block), docs.schema)
+    return docs

@@ -286,14 +286,27 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
 REMOVED = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
 
-def remove(length: int):
-    """mapInArrow function: texts, covered spans and places to what is removed and what is kept."""
+def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans without the parts of characters at their ends."""
+    out = []
+    for s, e in spans:
+        while s < e and data[s] & 0xC0 == 0x80:
+            s += 1
+        while s < e < len(data) and data[e] & 0xC0 == 0x80:
+            e -= 1
+        if s < e:
+            out.append((s, e))
+    return out
+
+
+def remove(length: int, characters: bool = False, names: tuple[str, ...] = ()):
+    """mapInArrow function: texts, covered spans and places to what is removed and what is kept; further columns pass."""
 
     def run(it):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in it:
             ids, sizes, spans, kept = [], [], [], []
-            for doc_id, text, least_id, packed, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, text, least_id, packed, places in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 if len(data) >= length and least_id < doc_id:
                     cut = [(0, len(data))]
@@ -301,6 +314,8 @@ def remove(length: int):
                     known = np.frombuffer(b"".join(packed or ()), "<i8").reshape(-1, 2)
                     more = np.array(places or [], np.int64) & ((1 << 32) - 1)
                     cut = merged(np.concatenate([known, np.stack([more, more + length], axis=1)]))
+                if characters:
+                    cut = whole_characters(data, cut)
                 ids.append(doc_id)
                 sizes.append(len(data))
                 spans.append([{"start": s, "end": e} for s, e in cut])
@@ -309,13 +324,16 @@ def remove(length: int):
                     left.append(data[at:s])
                     at = e
                 kept.append(b"".join([*left, data[at:]]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *b.columns[5:]], ["doc_id", "n_bytes", "spans", "kept", *names])
 
     return run
 
 
-def dedupe(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, n_bytes, spans (removed bytes, start to end), kept (the remaining bytes) of every document."""
+def dedupe(docs: DataFrame, length: int = 50, characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, spans (removed bytes, start to end), kept (the remaining bytes) of every document, and `carry`.
+
+    characters: leave characters that are covered only in part.
+    """
     if length < K:
         raise ValueError(f"length has to be at least {K}")
     spark = docs.sparkSession
@@ -350,5 +368,7 @@ def dedupe(docs: DataFrame, length: int = 50) -> DataFrame:
     # the table of first copies is keyed by digest: documents meet it without their texts
     led = known.select("doc_id", "tag", "digest").distinct().join(copies.select("digest", "least_id"), "digest").select("doc_id", "tag", "least_id")
     facts = led.join(spans, ["doc_id", "tag"], "left")
-    joined = rows.withColumn("tag", tag).join(facts, ["doc_id", "tag"]).select("doc_id", "text", "least_id", "packed", "places")
-    return joined.mapInArrow(remove(length), REMOVED)
+    whole = common.texts(docs, *(F.col(c).alias(f"_{c}") for c in carry))
+    joined = whole.withColumn("tag", tag).join(facts, ["doc_id", "tag"]).select("doc_id", "text", "least_id", "packed", "places", *(F.col(f"_{c}").alias(c) for c in carry))
+    schema = REMOVED + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return joined.mapInArrow(remove(length, characters, carry), schema)

@@ -251,3 +251,15 @@ def score_texts(model: dict):
 def scores(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score of every document."""
     return common.texts(docs).mapInArrow(score_texts(model), "doc_id bigint, score double")
+
+
+def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold."""
+
+    def run(it):
+        restorer = Restorer(model["trigrams"])
+        for b in it:
+            at = b.schema.get_field_index("text")
+            yield b.filter(pa.array([score(restorer, model, x or "") < threshold for x in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
