@@ -116,10 +116,10 @@ def j19_nearest_ring(spark, sf):
     return every.groupBy("topic").agg(F.min(F.struct("ring", "value")).alias("b")).select("topic", "b.ring", "b.value")
 
 
-@query("""SELECT p_partkey AS id, rule FROM part JOIN (VALUES ('big', '.*BRASS', 30), ('steel', '.*STEEL', 10), ('any', 'STANDARD.*', 45)) r(rule, pattern, least) ON regexp_full_match(p_type, pattern) AND p_size >= least""")
+@query("""SELECT p_partkey AS id, rule FROM part JOIN (VALUES ('big', 'ECO.*', 30), ('small', 'SMALL', 10), ('any', '.*', 45)) r(rule, pattern, least) ON regexp_full_match(p_type, pattern) AND p_size >= least""")
 def j20_entry_point_rules(spark, sf):
     # the rules are a fixed list of three rows
-    rules = spark.createDataFrame([("big", ".*BRASS", 30), ("steel", ".*STEEL", 10), ("any", "STANDARD.*", 45)], "rule string, pattern string, least int")
+    rules = spark.createDataFrame([("big", "ECO.*", 30), ("small", "SMALL", 10), ("any", ".*", 45)], "rule string, pattern string, least int")
     p = T.table(spark, sf, "part")
     return p.join(F.broadcast(rules), F.rlike("p_type", F.concat(F.lit("^"), "pattern", F.lit("$"))) & (p["p_size"] >= rules["least"])).select(F.col("p_partkey").alias("id"), "rule")
 
