@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -35,9 +36,15 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        """Let the context cleaner remove shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let the context cleaner remove shuffle files of plans that are no longer referenced.
+
+        The session holds on to its last plan, so a trivial one takes its place first.
+        """
+        self.spark.range(1).count()
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing still to come reads."""
