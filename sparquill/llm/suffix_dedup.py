@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 from .suffix_array import common_prefixes, suffix_array
 
-K = 16
+K = 28
 POSITION = np.uint64((1 << 31) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 ONE = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -152,7 +152,7 @@ def by_bucket(it):
                 parts = []
             now = bucket
             d = from_planes(docs)
-            parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(more, np.uint64), d, from_planes(places) if places is not None else np.zeros(len(d), np.int64)))
+            parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(more, np.uint64 if len(more) == len(keys) else np.uint32), d, from_planes(places) if places is not None else np.zeros(len(d), np.int64)))
     if parts:
         yield [np.concatenate(x) for x in zip(*parts, strict=True)]
 
@@ -238,7 +238,7 @@ def resolve(length: int, bits: int):
                 mine = np.flatnonzero(~local)
                 where = offset[segment[mine]] + place[mine] - starts[segment[mine]]
                 tags = np.array([d[1] for d in docs], np.int64)[of[mine]]
-                packed = pack(bits, digest[where], other[segment[mine]], doc[mine], (tags << 32) | at[mine])
+                packed = pack(bits, digest[where], (other[segment[mine]] >> np.uint64(32)).astype(np.uint32), doc[mine], (tags << 32) | at[mine])
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(packed), t) for t in (pa.int64(), pa.int64(), pa.binary())] + packed.columns, [x.split()[0] for x in RESOLVED.split(", ")])
             if docs:
                 rows = [(d, tag, np.array(s, "<i8").tobytes()) for d, tag, s in docs]
@@ -339,7 +339,7 @@ def dedupe(docs: DataFrame, length: int = 50, characters: bool = False, carry: t
     spark = docs.sparkSession
     work = common.Workspace(spark, "suffix-dedup")
     rows = common.texts(docs)
-    tag = F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 7), 16, 10).cast("bigint")
+    tag = F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 4), 16, 10).cast("bigint")
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
     known = rows.select("doc_id", digest.alias("digest"), tag.alias("tag"), F.octet_length("text").cast("bigint").alias("b"))
     copies = known.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("b").alias("b"))
@@ -358,12 +358,15 @@ def dedupe(docs: DataFrame, length: int = 50, characters: bool = False, carry: t
     asked = keys.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).join(firsts, "doc_id", "left_semi")
     looked = rows.select("doc_id", "text").join(asked, "doc_id").withColumn("tag", tag).select("doc_id", "tag", "text", "keys")
     resolved = work.table(looked.mapInArrow(resolve(length, bits), RESOLVED), "resolved")
+    work.drop(keys)
+    work.release()
     places = dealt(resolved.where("bucket is not null")).mapInArrow(settle_windows, "doc_id bigint, place bigint")
     places = work.table(places, "places")
-    work.drop(keys)
+    found = work.table(resolved.where("bucket is null").select("doc_id", "tag", "spans"), "spans")
+    work.drop(resolved)
     work.release()
 
-    spans = resolved.where("bucket is null").groupBy("doc_id", "tag").agg(F.array(F.first("spans")).alias("packed"))
+    spans = found.groupBy("doc_id", "tag").agg(F.array(F.first("spans")).alias("packed"))
     spans = spans.join(places.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(F.collect_set("place").alias("places")), ["doc_id", "tag"], "left")
     # the table of first copies is keyed by digest: documents meet it without their texts
     led = known.select("doc_id", "tag", "digest").distinct().join(copies.select("digest", "least_id"), "digest").select("doc_id", "tag", "least_id")
