@@ -82,4 +82,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_chat_format, op4_syncmer_fingerprints, op5_packing, op6_decontamination, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_quality)}
-SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _shingles(table: str, key: str) -> str:
+    words = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {key}, {words} AS w FROM {table}) x WHERE len(w) > 0) y"
+
+
+#: DuckDB SQL of the queries that SQL can express.
+SQL: dict[str, str] = {
+    "op3_chat_format": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(k)),
+ e AS (SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>|\|(?:role|end|image|audio|document)[:|])', '\\l\1', 'g'), '\[(/?INST\]|/?SYS\])', '\\b\1', 'g') AS body FROM t)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+ length(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '')) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(length(body) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 11 ELSE 13 END) AS BIGINT) AS formatted_chars FROM e WHERE conv_id IS NOT NULL GROUP BY conv_id""",
+    "op6_decontamination": f"""WITH d AS ({_shingles("documents", "doc_id")}), b AS ({_shingles("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+ SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY ALL) s JOIN n USING (item_id) WHERE n_shared * 10 >= 8 * n_item""",
+}
