@@ -1,2 +1,2 @@
-from . import aggregates, analyzers, filters, joins, windows  # noqa: F401
+from . import aggregates, analyzers, filters, joins, more, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
