@@ -34,7 +34,7 @@ POSITION = np.uint64((1 << 31) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 ONE = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 #: Bytes of text to a bucket, entries gathered before they are packed, bytes of segments to a suffix array.
-BUCKET_BYTES, ENTRIES, SHARD_BYTES = 4_000_000, 1_500_000, 1_500_000
+BUCKET_BYTES, ENTRIES, SHARD_BYTES = 4_000_000, 400_000, 1_000_000
 
 
 class Powers:
