@@ -92,3 +92,13 @@ def polynomial_hash(codes: Column, base: int = 257, modulus: int = 1_000_000_007
 def map_int(m: Column) -> Column:
     """An integer from text; anything else counts as 0."""
     return F.coalesce(m.try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def tokens(text: Column) -> Column:
+    """The parts of a text between white space."""
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+
+
+def lined_tokens(text: Column) -> Column:
+    """The same tokens (t), each with the number of its line (from 1)."""
+    return F.flatten(F.transform(F.split(text, "\n"), lambda x, i: F.transform(tokens(x), lambda t: F.struct(t.alias("t"), (i + 1).alias("line")))))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 
 def capped(df: DataFrame, limit: int, default: int = 1000) -> DataFrame:
     """0 means the default, a negative limit means all rows."""
@@ -44,13 +46,13 @@ def densest_window(df: DataFrame, keys: Sequence[str], at: str, span: int, least
     return best.select(*keys, F.col("b.n").alias("n"), (-F.col("b.e")).alias("window_end")).where(F.col("n") >= least)
 
 
-def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int = 1) -> DataFrame:
-    """Intervals of a key that overlap or lie at most `gap` apart become one."""
+def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int = 1, also: Sequence[Column] = ()) -> DataFrame:
+    """Intervals of a key that overlap or lie at most `gap` apart become one; `also` are further aggregates of them."""
     w = Window.partitionBy(*keys).orderBy(start, end)
     seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = df.withColumn("_new", F.when(seen.isNull() | (F.col(start) > seen + gap), 1).otherwise(0))
     island = flagged.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
+    return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *also).drop("_island")
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: str, gap: int) -> DataFrame:
@@ -96,3 +98,45 @@ def bfs(edges: DataFrame, root: DataFrame, depth: int, work=None) -> DataFrame:
         front = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("level"))
         seen = seen.unionByName(front)
     return seen
+
+
+def window_hashes(df: DataFrame, keys: Sequence[str], tokens: str, k: int) -> DataFrame:
+    """keys, at (from 1), h: the hash of every window of k tokens."""
+    held = df.where(F.size(tokens) >= k)
+    hashes = F.transform(F.sequence(F.lit(1), F.size(tokens) - k + 1), lambda i: F.xxhash64(F.slice(tokens, i, F.lit(k))))
+    return held.select(*keys, F.posexplode(hashes).alias("p", "h")).select(*keys, (F.col("p") + 1).alias("at"), "h")
+
+
+def clones(docs: DataFrame, k: int = 50, bucket: int = 10, matches: int = 2, least_lines: int = 20, warning: int = 50, critical: int = 150, places: int = 3) -> DataFrame:
+    """Regions of documents (id, lang, content) that others of the language, or far parts of the same one, repeat.
+
+    Windows in more than `bucket` places are boilerplate. file, start, end (lines), severity, matches and locations of
+    each region of severity warning at least.
+    """
+    source = docs.select("id", "lang", S.tokens(F.col("content")).alias("t"))
+    w = window_hashes(source, ["id", "lang"], "t", k)
+    held = w.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).select("h")
+    at = w.join(held, "h", "left_semi").groupBy("h", "lang").agg(F.sort_array(F.collect_list(F.struct("id", "at"))).alias("p"))
+    # of a document's places only those k tokens after the last kept one; at most `bucket` places, so the pairs are bounded
+    close = lambda kept, x: (kept["id"] == x["id"]) & (x["at"] - kept["at"] < k)
+    apart = F.aggregate("p", F.slice("p", 1, 1), lambda kept, x: F.when(close(F.element_at(kept, -1), x), kept).otherwise(F.concat(kept, F.array(x))))
+    at = at.select(apart.alias("p")).where("size(p) > 1")
+    two = at.select("p", F.posexplode("p").alias("i", "a")).select("a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("b"))
+    pairs = two.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.collect_list(F.struct(F.col("a.at").alias("ia"), F.col("b.at").alias("ib"))).alias("m"))
+    # equal hashes count only where the tokens are equal
+    lined = docs.select("id", S.lined_tokens(F.col("content")).alias("s")).select("id", F.col("s.t").alias("t"), F.col("s.line").alias("line"))
+    one, other = lined.toDF("a", "ta", "la"), lined.toDF("b", "tb", "lb")
+    equal = F.filter("m", lambda x: F.slice("ta", x["ia"], F.lit(k)) == F.slice("tb", x["ib"], F.lit(k)))
+    lines = lambda x: F.struct(x["ia"].alias("ia"), x["ib"].alias("ib"), *[F.element_at(c, x[i] + d).alias(n) for n, c, i, d in (("sa", "la", "ia", 0), ("ea", "la", "ia", k - 1), ("sb", "lb", "ib", 0), ("eb", "lb", "ib", k - 1))])
+    met = pairs.join(one, "a").join(other, "b").select("a", "b", F.explode(F.transform(equal, lines)).alias("w")).select("a", "b", "w.*")
+    # a region goes on while both sides move by at most k tokens and the second does not go back
+    v = Window.partitionBy("a", "b").orderBy("ia", "ib")
+    da, db = F.col("ia") - F.lag("ia").over(v), F.col("ib") - F.lag("ib").over(v)
+    met = met.withColumn("new", F.when((da <= k) & db.between(0, k), 0).otherwise(1)).withColumn("r", F.sum("new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    r = met.groupBy("a", "b", "r").agg(F.min("sa").alias("sa"), F.max("ea").alias("ea"), F.min("sb").alias("sb"), F.max("eb").alias("eb"), F.count("*").alias("n")).where(F.col("n") >= matches)
+    side = lambda x, y: r.select(F.col(x).alias("file"), F.col(f"s{x}").alias("start"), F.col(f"e{x}").alias("end"), F.col("n").alias("m"), F.struct(F.col(y).alias("file"), F.col(f"s{y}").alias("start"), F.col(f"e{y}").alias("end")).alias("location"))
+    sides = side("a", "b").unionByName(side("b", "a")).where(F.col("end") - F.col("start") + 1 >= least_lines)
+    found = merge_intervals(sides, ["file"], "start", "end", also=[F.max("m").alias("matches"), F.sort_array(F.collect_set("location")).alias("locations")])
+    span = F.col("end") - F.col("start") + 1
+    severity = F.when((span >= critical) & (F.size("locations") >= places), "critical").when(span >= warning, "warning")
+    return found.withColumn("severity", severity).where("severity is not null").select("file", "start", "end", "severity", "matches", "locations")

@@ -89,6 +89,11 @@ def f1_clone_windows(spark, sf):
     return a.join(b, same).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("windows"))
 
 
+@query()
+def f1_clone_findings(spark, sf):
+    return R.clones(T.memories(spark, sf).select("id", F.col("category").alias("lang"), "content"))
+
+
 @query("""WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem), s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), l1 AS (SELECT DISTINCT dst AS node FROM s WHERE src = 17),
  l2 AS (SELECT DISTINCT dst AS node FROM s JOIN l1 ON src = node WHERE dst <> 17 AND dst NOT IN (SELECT node FROM l1)) SELECT CAST(17 AS BIGINT) AS node, 0 AS level UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2""")
 def f17_call_graph(spark, sf):
