@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import relational as R
 from ..sources import tables as T
 from .filters import EVENTS
@@ -44,6 +45,12 @@ def w6_token_windows(spark, sf):
     return at.select("id", F.col("at").cast("bigint").alias("at"), F.slice("w", F.col("at"), F.lit(3)).alias("gram"))
 
 
+@query()
+def w6_window_hashes(spark, sf):
+    m = T.memories(spark, sf).select("id", S.tokens(F.col("content")).alias("t"))
+    return R.window_hashes(m, ["id"], "t", 50)
+
+
 @query(f"""WITH s AS (SELECT session, ts_us, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY session ORDER BY ts_us) <= {DAY} THEN 0 ELSE 1 END AS new FROM {EVENTS}),
  i AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT session, min(ts_us) AS first, max(ts_us) AS last, count(*) AS n FROM i GROUP BY session, k""")
 def w7_islands(spark, sf):

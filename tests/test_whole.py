@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from sparquill import plans
 from sparquill.operators import relational as R
 
@@ -83,3 +85,14 @@ def test_clones_of_documents(spark):
     theirs = clones(docs, 12, 10, 2, 1, 1, 20, 2)
     assert theirs and found(R.clones(frame, 12, 10, 2, 1, 1, 20, 2)) == theirs
     assert found(plans.QUERIES["f1_clone_findings"](spark, sf)) == clones(docs, 50, 10, 2, 20, 50, 150, 3)
+
+
+def test_window_hashes_of_every_document(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    words = [(r["doc_id"], [t for t, _ in tokens(r["text"])]) for r in docs]
+    grams = [(d, i + 1, w[i : i + 50]) for d, w in words for i in range(len(w) - 49)]
+    theirs = spark.createDataFrame(grams, "id bigint, at int, gram array<string>").select("id", "at", F.xxhash64("gram").alias("h"))
+    ours = plans.QUERIES["w6_window_hashes"](spark, sf).select("id", "at", "h")
+    assert {d for d, w in words if len(w) >= 50} == {r["id"] for r in ours.select("id").distinct().collect()}
+    assert sorted(ours.collect()) == sorted(theirs.collect())
