@@ -20,6 +20,11 @@ def x1_postings(spark, sf):
     return postings(spark, sf).where("length(term) >= 12")
 
 
+@query(f"SELECT id, term, count(*) AS tf FROM {POSTINGS} GROUP BY ALL")
+def x1_postings_whole(spark, sf):
+    return postings(spark, sf)
+
+
 @query("""SELECT DISTINCT p_partkey AS id, lower(p_name)[1:k] AS gram FROM part, range(2, 16) r(k) WHERE length(p_name) >= k""")
 def x2_edge_grams(spark, sf):
     p = T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("n")).where("length(n) >= 2")

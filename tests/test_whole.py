@@ -96,3 +96,15 @@ def test_window_hashes_of_every_document(spark):
     ours = plans.QUERIES["w6_window_hashes"](spark, sf).select("id", "at", "h")
     assert {d for d, w in words if len(w) >= 50} == {r["id"] for r in ours.select("id").distinct().collect()}
     assert sorted(ours.collect()) == sorted(theirs.collect())
+
+
+def documents(spark, path, rows):
+    frame = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    frame.write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_postings_hold_short_terms(spark, tmp_path):
+    sf = documents(spark, tmp_path, [(1, "An ox, an extraordinarily big Ox", "src1")])
+    rows = plans.QUERIES["x1_postings_whole"](spark, sf).collect()
+    assert {(r["term"], r["tf"]) for r in rows} == {("an", 2), ("ox", 2), ("extraordinarily", 1), ("big", 1)}
