@@ -135,6 +135,12 @@ def fh1_polynomial_hash(spark, sf):
     return T.memories(spark, sf).where("length(content) > 0").select("id", S.polynomial_hash(chars).alias("h"))
 
 
+@query("SELECT doc_id AS id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 257 + c) % 1000000007) AS h FROM documents WHERE length(text) > 0")
+def fh1_polynomial_hash_whole(spark, sf):
+    codes = F.transform(F.split("content", ""), lambda c: F.ascii(c).cast("bigint"))
+    return T.memories(spark, sf).where("length(content) > 0").select("id", S.polynomial_hash(codes).alias("h"))
+
+
 @query("SELECT doc_id AS id, sha1(source || chr(0) || lang) AS h FROM documents")
 def fh2_identity(spark, sf):
     return T.memories(spark, sf).select("id", F.sha1(F.concat("source", F.lit("\0"), "category").cast("binary")).alias("h"))

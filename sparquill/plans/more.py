@@ -79,6 +79,13 @@ def a20_common_prefix(spark, sf):
     return g.withColumn("shared", F.array_max(same).cast("bigint"))
 
 
+@query("""SELECT lang, lo, hi, CAST(list_max(list_filter(range(0, least(length(lo), length(hi)) + 1), lambda k: lo[1:k] = hi[1:k])) AS BIGINT) AS shared FROM (SELECT lang, min(source) AS lo, max(source) AS hi FROM documents GROUP BY lang) t""")
+def a20_common_prefix_whole(spark, sf):
+    g = T.memories(spark, sf).groupBy(F.col("category").alias("lang")).agg(F.min("source").alias("lo"), F.max("source").alias("hi"))
+    same = F.filter(F.sequence(F.lit(0), F.least(F.length("lo"), F.length("hi"))), lambda k: F.substring(F.col("lo"), F.lit(1), k) == F.substring(F.col("hi"), F.lit(1), k))
+    return g.withColumn("shared", F.array_max(same).cast("bigint"))
+
+
 @query("SELECT pattern, count(*) AS n FROM (SELECT CASE WHEN regexp_full_match(source, 'src1.*') THEN 'src1*' WHEN lang = 'fr' THEN 'fr' ELSE 'published' END AS pattern FROM documents) t GROUP BY pattern")
 def a27_filter_preview(spark, sf):
     first = F.when(F.rlike("source", F.lit(S.glob_to_regex("src1*"))), "src1*").when(F.col("category") == "fr", "fr").otherwise("published")
@@ -192,6 +199,11 @@ def fj1_map_int(spark, sf):
     return T.memories(spark, sf).select("id", S.map_int(F.substring(F.regexp_extract("content", "[0-9]+", 0), 1, 6)).alias("n"))
 
 
+@query("SELECT doc_id AS id, coalesce(TRY_CAST(regexp_extract(text, '[0-9]+', 0) AS BIGINT), 0) AS n FROM documents")
+def fj1_map_int_whole(spark, sf):
+    return T.memories(spark, sf).select("id", S.map_int(F.regexp_extract("content", "[0-9]+", 0)).alias("n"))
+
+
 @query(f"SELECT f.id, f.analyzer FROM {FINDINGS} JOIN documents d ON d.doc_id = f.id WHERE f.analyzer = 'src7' AND contains(lower(d.text), 'th')")
 def x8_findings_search(spark, sf):
     hits = T.findings(spark, sf).where("analyzer = 'src7'").select("id", "analyzer")

@@ -108,3 +108,17 @@ def test_postings_hold_short_terms(spark, tmp_path):
     sf = documents(spark, tmp_path, [(1, "An ox, an extraordinarily big Ox", "src1")])
     rows = plans.QUERIES["x1_postings_whole"](spark, sf).collect()
     assert {(r["term"], r["tf"]) for r in rows} == {("an", 2), ("ox", 2), ("extraordinarily", 1), ("big", 1)}
+
+
+def test_whole_texts_numbers_and_prefixes(spark, tmp_path):
+    texts = ["x" * 40 + "1234567890", "x" * 40 + "\N{GRINNING FACE}\u00e4e\u0301", "9" * 30]
+    sf = documents(spark, tmp_path, [(k, t, f"common-prefix-{k}") for k, t in enumerate(texts)])
+    value = lambda name, c: {r["id"]: r[c] for r in plans.QUERIES[name](spark, sf).collect()}
+    hashed = {}
+    for k, t in enumerate(texts):
+        hashed[k] = 0
+        for c in t:
+            hashed[k] = (hashed[k] * 257 + ord(c)) % 1_000_000_007
+    assert value("fh1_polynomial_hash_whole", "h") == hashed
+    assert value("fj1_map_int_whole", "n") == {0: 1234567890, 1: 0, 2: 0}
+    assert [r["shared"] for r in plans.QUERIES["a20_common_prefix_whole"](spark, sf).collect()] == [14]
