@@ -84,6 +84,14 @@ def p6_event_filter(spark, sf):
     return held.select("id", "name", "tokens")
 
 
+@query(f"SELECT id, name, tokens FROM {EVENTS} WHERE name = 'click' AND ts BETWEEN (SELECT min(ts) + INTERVAL 3 DAY FROM events) AND (SELECT min(ts) + INTERVAL 12 DAY FROM events)")
+def p6_event_filter_whole(spark, sf):
+    e = T.events(spark, sf)
+    first = e.agg(F.min("ts").alias("first"))
+    held = e.where("name = 'click'").join(F.broadcast(first), F.expr("ts between first + interval 3 days and first + interval 12 days"))
+    return held.select("id", "name", "tokens")
+
+
 @query(f"SELECT id, analyzer, severity, file FROM {FINDINGS} WHERE severity = 'warning' AND contains(file, 'src1') AND NOT accepted")
 def p7_finding_predicate(spark, sf):
     return T.findings(spark, sf).where((F.col("severity") == "warning") & F.contains("file", F.lit("src1")) & ~F.col("accepted")).select("id", "analyzer", "severity", "file")

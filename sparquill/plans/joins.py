@@ -68,6 +68,11 @@ def j11_every_version_predates(spark, sf):
     return T.decisions(spark, sf).where("topic % 5 = 0").groupBy("topic").agg(F.max("created").alias("m")).where("m < date'1998-03-01'").select("topic")
 
 
+@query(f"SELECT topic FROM {DECISIONS} GROUP BY topic HAVING max(created) < DATE '1998-03-01'")
+def j11_every_version_predates_whole(spark, sf):
+    return T.decisions(spark, sf).groupBy("topic").agg(F.max("created").alias("m")).where("m < date'1998-03-01'").select("topic")
+
+
 @query("""SELECT coalesce(d.doc_id, l.doc_id + 50) AS id, CASE WHEN l.doc_id IS NULL THEN 'unindexed' WHEN d.doc_id IS NULL THEN 'removed' WHEN l.quality = 0 THEN 'stale' ELSE 'fresh' END AS state
  FROM documents d FULL OUTER JOIN labels l ON l.doc_id + 50 = d.doc_id""")
 def j12_reconcile(spark, sf):

@@ -147,6 +147,11 @@ def r8_live_tombstones(spark, sf):
     return T.decisions(spark, sf).where("seq % 3 = 0 and created >= date'1996-01-01'").groupBy("topic").agg(F.max("created").alias("deleted"))
 
 
+@query(f"SELECT topic, max(created) AS deleted FROM {DECISIONS} WHERE created >= DATE '1996-01-01' GROUP BY topic")
+def r8_live_tombstones_whole(spark, sf):
+    return T.decisions(spark, sf).where("created >= date'1996-01-01'").groupBy("topic").agg(F.max("created").alias("deleted"))
+
+
 @query(f"SELECT id FROM {EVENTS} WHERE NOT (name = 'purchase' AND (k IS NULL OR k < 40))")
 def r3_done_tasks(spark, sf):
     return T.events(spark, sf).where(~((F.col("name") == "purchase") & (F.col("k").isNull() | (F.col("k") < 40)))).select("id")

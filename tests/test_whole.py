@@ -122,3 +122,17 @@ def test_whole_texts_numbers_and_prefixes(spark, tmp_path):
     assert value("fh1_polynomial_hash_whole", "h") == hashed
     assert value("fj1_map_int_whole", "n") == {0: 1234567890, 1: 0, 2: 0}
     assert [r["shared"] for r in plans.QUERIES["a20_common_prefix_whole"](spark, sf).collect()] == [14]
+
+
+def test_every_remainder_is_read(spark):
+    sf = "/root/testdata/sf0.001"
+    ids = lambda name, c: {r[c] for r in plans.QUERIES[name](spark, sf).collect()}
+    newest = {}
+    for r in spark.read.parquet(f"{sf}/orders.parquet").collect():
+        newest[r["o_custkey"]] = max(newest.get(r["o_custkey"], ""), str(r["o_orderdate"])[:10])
+    old = {t for t, d in newest.items() if d < "1998-03-01"}
+    assert any(t % 5 for t in old) and ids("j11_every_version_predates_whole", "topic") == old
+    session = {r["event_id"]: r["user_id"] for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    assert {session[i] % 3 for i in ids("p6_event_filter_whole", "id")} == {0, 1, 2}
+    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderdate >= '1996-01-01'")
+    assert ids("r8_live_tombstones_whole", "topic") == {r["o_custkey"] for r in orders.collect()}
