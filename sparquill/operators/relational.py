@@ -140,3 +140,32 @@ def clones(docs: DataFrame, k: int = 50, bucket: int = 10, matches: int = 2, lea
     span = F.col("end") - F.col("start") + 1
     severity = F.when((span >= critical) & (F.size("locations") >= places), "critical").when(span >= warning, "warning")
     return found.withColumn("severity", severity).where("severity is not null").select("file", "start", "end", "severity", "matches", "locations")
+
+
+def mining(events: DataFrame, span: int = 30 * 60_000_000, repeats: int = 4, failures: int = 2, rows: int = 6, cap: int = 3) -> DataFrame:
+    """session, shape, content, at: repetition, friction and convergence of sessions (id, ts_us, session, name, kind, k).
+
+    Of equal contents of a shape the first counts, and at most `cap` of a session and shape are kept, in order of arrival.
+    Events have no file or prompt: a sequence is bound to its session, and k stands for the text of a correction.
+    """
+
+    def dense(df: DataFrame, shape: str, signature: Column, least: int) -> DataFrame:
+        df = df.withColumn("sig", signature)
+        w = Window.partitionBy("session", "sig").orderBy("ts_us").rangeBetween(-span, 0)
+        counted = df.select("session", "sig", "ts_us", F.count("*").over(w).alias("n"), F.min("ts_us").over(w).alias("since"))
+        best = counted.groupBy("session", "sig").agg(F.max(F.struct("n", (-F.col("ts_us")).alias("e"), "since")).alias("b")).where(F.col("b.n") >= least)
+        minutes = F.bround((-F.col("b.e") - F.col("b.since")) / 60_000_000, 0).cast("bigint")
+        return best.select("session", F.lit(shape).alias("shape"), F.concat_ws(" ", "sig", "b.n", minutes).alias("content"), (-F.col("b.e")).alias("at"))
+
+    repetition = dense(events, "repetition", F.col("name"), repeats)
+    friction = dense(events.where("name = 'error'"), "friction", F.concat(F.lit("failed:"), F.col("kind")), failures)
+    w = Window.partitionBy("session").orderBy("ts_us", "id")
+    ahead = w.rowsBetween(1, rows)
+    e = events.withColumn("then", F.first(F.when(F.col("name") == "view", F.col("ts_us")), ignorenulls=True).over(ahead))
+    e = e.withColumn("c", F.first(F.when(F.col("name") == "error", F.struct("then", "k")), ignorenulls=True).over(ahead))
+    # the whole sequence has to fit the span
+    e = e.where((F.col("name") == "view") & (F.col("c.then") - F.col("ts_us") <= span))
+    convergence = e.select("session", F.lit("convergence").alias("shape"), F.concat_ws(" ", F.lit("view"), "c.k").alias("content"), F.col("ts_us").alias("at"))
+    found = repetition.unionByName(friction).unionByName(convergence).groupBy("session", "shape", "content").agg(F.min("at").alias("at"))
+    arrival = Window.partitionBy("session", "shape").orderBy("at", "content")
+    return found.withColumn("rn", F.row_number().over(arrival)).where(F.col("rn") <= cap).drop("rn")

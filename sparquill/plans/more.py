@@ -184,6 +184,11 @@ def f22_mining_runner(spark, sf):
     return r.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("name", "session", "n")
 
 
+@query()
+def f22_mining_findings(spark, sf):
+    return R.mining(T.events(spark, sf))
+
+
 @query(f"SELECT id, CASE WHEN name = 'error' THEN 'failed:' || kind ELSE coalesce(kind, name) END AS signature FROM {EVENTS}")
 def fs7_failure_signature(spark, sf):
     return T.events(spark, sf).select("id", F.when(F.col("name") == "error", F.concat(F.lit("failed:"), "kind")).otherwise(F.coalesce("kind", "name")).alias("signature"))

@@ -136,3 +136,41 @@ def test_every_remainder_is_read(spark):
     assert {session[i] % 3 for i in ids("p6_event_filter_whole", "id")} == {0, 1, 2}
     orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderdate >= '1996-01-01'")
     assert ids("r8_live_tombstones_whole", "topic") == {r["o_custkey"] for r in orders.collect()}
+
+
+def mined(events, span, least, rows, cap):
+    out = []
+    for session in {e[2] for e in events}:
+        own = sorted((e for e in events if e[2] == session), key=lambda e: (e[1], e[0]))
+        for shape, sig in (("repetition", lambda e: e[3]), ("friction", lambda e: f"failed:{e[4]}" if e[3] == "error" else None)):
+            times = defaultdict(list)
+            for e in own:
+                if sig(e):
+                    times[sig(e)].append(e[1])
+            for s, at in times.items():
+                runs = [[t for t in at if end - span <= t <= end] for end in at]
+                best = max(runs, key=len)
+                if len(best) >= least[shape]:
+                    out.append((session, shape, f"{s} {len(best)} {round((best[-1] - best[0]) / 60_000_000)}", best[-1]))
+        for i, e in enumerate(own):
+            c = next((n for n in range(i + 1, min(i + rows + 1, len(own))) if own[n][3] == "error"), None)
+            b = c and next((n for n in range(c + 1, min(c + rows + 1, len(own))) if own[n][3] == "view"), None)
+            if e[3] == "view" and b and own[b][1] - e[1] <= span:
+                out.append((session, "convergence", f"view {own[c][5]}", e[1]))
+    kept, seen, count = set(), set(), defaultdict(int)
+    for session, shape, content, at in sorted(out, key=lambda r: (r[3], r[2])):
+        if (session, shape, content) not in seen and count[session, shape] < cap:
+            seen.add((session, shape, content))
+            count[session, shape] += 1
+            kept.add((session, shape, content, at))
+    return kept
+
+
+def test_mining_findings(spark):
+    rng, kinds = random.Random(3), {"view": "outline", "error": "failure", "click": "symbol"}
+    events = [(n, rng.randrange(400) * 60_000_000, n % 9, name, kinds[name], rng.randrange(4)) for n in range(900) for name in [rng.choice(list(kinds))]]
+    events += [(1000 + n, n * 86_400_000_000, 50, "click", "symbol", 1) for n in range(9)]  # spread over days: no finding
+    df = spark.createDataFrame(events, "id bigint, ts_us bigint, session bigint, name string, kind string, k int")
+    ours = {(r["session"], r["shape"], r["content"], r["at"]) for r in R.mining(df).collect()}
+    assert ours == mined(events, 1_800_000_000, {"repetition": 4, "friction": 2}, 6, 3)
+    assert {r[1] for r in ours} == {"repetition", "friction", "convergence"} and 50 not in {r[0] for r in ours}
