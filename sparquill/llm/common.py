@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +112,36 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(acc + np.uint64(m))
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Tables written meanwhile hand Python at most so many rows at a time: for rows that are large themselves."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def slices(it, rows: int = 1000):
+    """Arrow batches in pieces whose Python objects stay few; what a task has freed goes back to the system at its end."""
+    try:
+        for b in it:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system: an idle worker must not hold what its last task used."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(it):
     """Rows of Arrow batches as lists, one batch at a time."""
     for b in it:

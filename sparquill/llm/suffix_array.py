@@ -2,9 +2,9 @@
 
 Suffixes are classified as S (smaller than the next) or L; leftmost S positions (LMS) cut the text into substrings. Sorting
 these substrings, naming equal ones alike, sorting the string of names recursively and inducing the other suffixes from
-them gives the array in linear work. The induction goes bucket by bucket and moves all suffixes that a bucket induces at
-once, so its steps are array operations. A string of names with more than `MANY` names is sorted by doubling ranks
-instead, as there bucket steps would be single suffixes; it is at most a third of the text.
+them gives the array. The induction moves all suffixes at once that a bucket induces; where the alphabet has more than
+`MANY` signs (strings of names) buckets hold few suffixes, and all that lie at the same distance from an LMS suffix move
+at once instead. Both are the same induction, and recursion goes on until all names differ.
 """
 
 from __future__ import annotations
@@ -86,31 +86,52 @@ def induce(t: np.ndarray, s: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndar
     return sa
 
 
-def by_doubling(t: np.ndarray, depth: int) -> np.ndarray:
-    """The suffix array of a string of names, to a depth of as many names."""
-    rank = t.astype(np.int64)
-    n, k = len(rank), 1
+def _levels(t: np.ndarray, rank: np.ndarray, held: np.ndarray, fixed: np.ndarray, pick, above: int) -> np.ndarray:
+    """Merge suffixes into `held`, sorted suffixes with fixed keys, level by level, a level being the suffixes one step before
+    those of the last. A suffix is placed by its sign and the rank of the suffix after it; `above` moves it behind the fixed ones."""
+    n = len(t)
+    wide = 2 * n + 2
+    induced = np.zeros(n, bool)
+    fresh = held
     while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - k)] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        k *= 2
-        if fresh[1:].all() or k >= depth:
-            return order
-
-
-def suffix_array(t: np.ndarray, sigma: int, depth: int) -> np.ndarray:
-    """Positions of the suffixes of t in order; order beyond `depth` signs may be arbitrary. t ends with its only 0."""
+        at = fresh[fresh > 0] - 1
+        at = at[pick[at]]
+        if not len(at):
+            return held
+        rank[held] = np.arange(len(held))
+        late = induced[held]
+        key = fixed[held]
+        key[late] = t[held[late]] * wide + above + rank[held[late] + 1]
+        mine = t[at] * wide + above + rank[at + 1]
+        order = np.argsort(mine, kind="stable")
+        at, mine = at[order], mine[order]
+        held = np.insert(held, np.searchsorted(key, mine), at)
+        induced[at] = True
+        fresh = at
+
+
+def induce_many(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same induction for an alphabet with about as many signs as suffixes, where buckets hold single suffixes: all
+    suffixes at the same distance from their inducing one move at once."""
+    n = len(t)
+    wide = 2 * n + 2
+    rank, fixed = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    lms = lms[np.argsort(t[lms], kind="stable")]
+    fixed[lms] = t[lms] * wide + n + np.arange(len(lms))
+    held = _levels(t, rank, lms, fixed, ~s, 0)
+    held = np.concatenate([[n - 1], held[~s[held]]])
+    fixed[held] = t[held] * wide + np.arange(len(held))
+    return _levels(t, rank, held, fixed, s, n)
+
+
+def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
+    """Positions of the suffixes of t in order. t ends with its only 0."""
     n = len(t)
     if n <= 2:
         return np.arange(n)[::-1].copy()
     s = classify(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    sa = induce(t, s, sigma, lms)
+    sa = induce(t, s, sigma, lms) if sigma <= MANY else induce_many(t, s, lms)
     if len(lms) <= 1:
         return sa
     is_lms = np.zeros(n, bool)
@@ -134,26 +155,32 @@ def suffix_array(t: np.ndarray, sigma: int, depth: int) -> np.ndarray:
     names = int(name[in_order[-1]]) + 1
     if names < len(lms):
         t1 = name[lms]
-        order = suffix_array(t1, names, depth) if names <= MANY else by_doubling(t1, depth)
-        lms_sorted = lms[order]
+        lms_sorted = lms[suffix_array(t1, names)]
     else:
         lms_sorted = in_order
-    return induce(t, s, sigma, lms_sorted)
+    return induce(t, s, sigma, lms_sorted) if sigma <= MANY else induce_many(t, s, lms_sorted)
+
 
+def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, stride: int = 64) -> np.ndarray:
+    """Permuted common prefixes: for each position, the length it shares with the suffix before it in order, up to `most`.
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted common prefixes: for each position, the length it shares with the suffix before it in order, up to `most`."""
+    A position shares at least one sign less than the position before it does, so every `stride`-th position is compared
+    from its first sign, and each one after these from where its neighbour leaves off. t's last sign is its only 0, so no
+    comparison runs past the end.
+    """
     n = len(t)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int64)
-    live = np.flatnonzero(before >= 0)
-    for j in range(most):
-        at, other = live + j, before[live] + j
-        inside = (at < n) & (other < n)
-        live, at, other = live[inside], at[inside], other[inside]
-        live = live[t[at] == t[other]]
-        if not len(live):
-            break
-        out[live] = j + 1
+    for r in range(min(stride, n)):
+        at = np.arange(r, n, stride)
+        have = np.maximum(out[at - 1] - 1, 0) if r else np.zeros(len(at), np.int64)
+        live = np.flatnonzero((before[at] >= 0) & (have < most))
+        while len(live):
+            p, h = at[live], have[live]
+            live = live[t[p + h] == t[before[p] + h]]
+            have[live] += 1
+            live = live[have[live] < most]
+        have[before[at] < 0] = 0
+        out[at] = have
     return out

@@ -4,12 +4,15 @@ A byte goes if it lies in a string of `length` bytes that also starts in a docum
 judged on the input, within documents, whole texts as UTF-8.
 
 1. Anchors. Every window of `length` bytes has an anchor, its leftmost least k-mer by hash, so equal windows have equal
-   anchors, and the windows of one anchor form a segment. Segments are gathered by anchor (packed columns, one row for each
-   task and bucket). An anchor of one document ends here; of documents with equal segments all but the least are covered.
-2. Suffix arrays. What is left are different segments around a shared anchor: the ends of common passages. Their bytes are
-   the shards' strings: induced sorting and permuted common prefixes put equal windows side by side, the least document of
-   a class covers the others, and one entry for each class goes on.
-3. Classes of all shards meet by digest, and the least document covers the classes of the others.
+   anchors, and the windows of one anchor form a segment. An anchor that one document holds ends here: this is the filter
+   that keeps most of the text out of the sort. A segment that several documents hold is sorted once, for the least of them;
+   it covers the others, told by two 64-bit hashes (anchor and segment, at most 72 bytes; the chance of any error over 100 TB
+   is below 1e-5).
+2. Suffix arrays. Different segments around a shared anchor are the strings of a shard. All segments of an anchor lie in one
+   shard, so shards need nothing of each other: induced sorting and permuted common prefixes put equal windows side by side,
+   compared by their bytes, and the least document of a class covers the others.
+3. An anchor with more segments than SPLIT (the end of a line that a third of all documents hold) is split over shards. The
+   windows that no document of its own shard covers meet once more by their bytes, as an aggregate.
 
 Exact copies of a text are found first, by digest, and covered whole by the copy with the least doc_id.
 
@@ -33,8 +36,10 @@ K = 28
 POSITION = np.uint64((1 << 31) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 ONE = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-#: Bytes of text to a bucket, entries gathered before they are packed, bytes of segments to a suffix array.
-BUCKET_BYTES, ENTRIES, SHARD_BYTES = 4_000_000, 400_000, 1_000_000
+#: Bytes of text to a bucket, entries gathered before they are packed, packed rows in an Arrow batch.
+BUCKET_BYTES, ENTRIES, PACKED_ROWS = 4_000_000, 400_000, 128
+#: Bytes of segments to a suffix array, and open segments of an anchor above which they are split into several.
+SHARD_BYTES, SPLIT = 500_000, 4_000
 
 
 class Powers:
@@ -74,7 +79,7 @@ class Text:
         self.anchor = grams[at[self.start]]
         stop = self.end + length
         self.segment = common.mix((self.sums[stop] - self.sums[self.start]) * self.down[self.start] + (stop - self.start).astype(np.uint64))
-        self.key = common.mix(self.anchor ^ (self.segment * np.uint64(3))) & ~np.uint64(1)
+        self.key = key_of(self.anchor, self.segment)
 
     def windows(self, at: np.ndarray, size: int) -> np.ndarray:
         return common.mix((self.sums[at + size] - self.sums[at]) * self.down[at])
@@ -89,14 +94,15 @@ def from_planes(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-PACK = "bucket int, keys binary, more binary, docs binary, places binary"
+PACK = "bucket int, keys binary, more binary, docs binary"
+FIELDS = ["bucket", "keys", "more", "docs"]
 
 
-def pack(bits: int, key: np.ndarray, more: np.ndarray, docs: np.ndarray, places: np.ndarray | None = None) -> pa.RecordBatch:
-    """Entries, one row for each bucket of the key's leading bits."""
+def pack(bits: int, key: np.ndarray, more: np.ndarray, docs: np.ndarray, settled: bool = False) -> pa.RecordBatch:
+    """Entries, one row for each bucket of the key's leading bits; settled ones have no second hash."""
     order = np.argsort(key, kind="stable")
-    key, more, docs = key[order], more[order], docs[order]
-    places = places[order] if places is not None else None
+    key, docs = key[order], docs[order]
+    more = None if settled else more[order]
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(key)]])
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
@@ -104,28 +110,41 @@ def pack(bits: int, key: np.ndarray, more: np.ndarray, docs: np.ndarray, places:
         [
             pa.array([int(bucket[i]) for i, _ in spans], pa.int32()),
             pa.array([key[i:j].tobytes() for i, j in spans], pa.binary()),
-            pa.array([more[i:j].tobytes() for i, j in spans], pa.binary()),
+            pa.array([None if settled else more[i:j].tobytes() for i, j in spans], pa.binary()),
             pa.array([planes(docs[i:j]) for i, j in spans], pa.binary()),
-            pa.array([planes(places[i:j]) if places is not None else None for i, j in spans], pa.binary()),
         ],
-        ["bucket", "keys", "more", "docs", "places"],
+        FIELDS,
     )
 
 
+def key_of(anchor: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """One key for a segment within its document; the lowest bit is free."""
+    return common.mix(anchor ^ (segment * np.uint64(3))) & ~np.uint64(1)
+
+
 def mark(length: int, bits: int):
-    """mapInArrow function: texts to packed (anchor, segment, document)."""
+    """mapInArrow function: texts to packed (anchor, segment, document), the least document for each segment.
+
+    Within what is gathered at a time the other documents of a segment are covered already and go by as settled, so an
+    anchor that any number of documents hold adds a row for each gathering and not for each document.
+    """
 
     def run(it):
         powers, held, size, seen = Powers(), [], 0, {}
 
         def emit():
             a, g, d = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pack(bits, a, g, d)
-
-        for b in it:
+            order = np.lexsort((d, g, a))
+            a, g, d = a[order], g[order], d[order]
+            first = np.concatenate([[True], (a[1:] != a[:-1]) | (g[1:] != g[:-1])])
+            yield pack(bits, a[first], g[first], d[first])
+            if not first.all():
+                yield pack(bits, key_of(a[~first], g[~first]), g, d[~first], settled=True)
+
+        for b in common.slices(it):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                # of equal texts in a row of entries only ones with ever smaller ids count
+                # of equal texts gathered at a time only ones with ever smaller ids count
                 if len(data) < length or seen.get(same := hashlib.blake2b(data, digest_size=16).digest(), doc_id + 1) <= doc_id:
                     continue
                 seen[same] = doc_id
@@ -134,27 +153,56 @@ def mark(length: int, bits: int):
                 held.append((t.anchor[first], t.segment[first], np.full(len(first), doc_id, np.int64)))
                 size += len(first)
                 if size >= ENTRIES:
-                    yield emit()
+                    yield from emit()
                     held, size, seen = [], 0, {}
         if held:
-            yield emit()
+            yield from emit()
 
     return run
 
 
-def by_bucket(it):
-    """Packed rows in the order of their buckets, to the entries of one bucket at a time."""
+KEYS = "doc_id bigint, key bigint"
+
+
+def keys_batch(docs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys.view(np.int64))], ["doc_id", "key"])
+
+
+def settle(parts: list[tuple]):
+    """A bucket's entries to the keys of covered and open segments."""
+    a, g, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((d, g, a))
+    a, g, d = a[order], g[order], d[order]
+    new_a = np.concatenate([[True], a[1:] != a[:-1]])
+    new_g = new_a | np.concatenate([[True], g[1:] != g[:-1]])
+    ga, low = least(new_a, d)
+    high = np.maximum.reduceat(d, np.flatnonzero(new_a))
+    gg, low_g = least(new_g, d)
+    classes = np.bincount(ga[new_g])
+    shared = (low != high)[ga]
+    covered = shared & (d > low_g[gg])
+    # the least document of a segment speaks for it; where an anchor has one segment nothing is open
+    opened = shared & (classes[ga] > 1) & (d == low_g[gg])
+    at = np.flatnonzero(covered | opened)
+    if len(at):
+        yield keys_batch(d[at], key_of(a[at], g[at]) | opened[at].astype(np.uint64))
+
+
+def settle_segments(it):
+    """mapInArrow function: (doc_id, key); the key's lowest bit is set where the segment is open, clear where covered."""
     now, parts = None, []
     for b in it:
-        for bucket, keys, more, docs, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for bucket, keys, more, docs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if more is None:
+                yield keys_batch(from_planes(docs), np.frombuffer(keys, np.uint64))
+                continue
             if parts and bucket != now:
-                yield [np.concatenate(x) for x in zip(*parts, strict=True)]
+                yield from settle(parts)
                 parts = []
             now = bucket
-            d = from_planes(docs)
-            parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(more, np.uint64 if len(more) == len(keys) else np.uint32), d, from_planes(places) if places is not None else np.zeros(len(d), np.int64)))
+            parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(more, np.uint64), from_planes(docs)))
     if parts:
-        yield [np.concatenate(x) for x in zip(*parts, strict=True)]
+        yield from settle(parts)
 
 
 def least(new: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,92 +211,17 @@ def least(new: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.minimum.reduceat(docs, np.flatnonzero(new))
 
 
-def settle_segments(it):
-    """mapInArrow function: (doc_id, key); the key's lowest bit is set where the segment is open, clear where covered."""
-    for a, g, d, _ in by_bucket(it):
-        order = np.lexsort((d, g, a))
-        a, g, d = a[order], g[order], d[order]
-        new_a = np.concatenate([[True], a[1:] != a[:-1]])
-        new_g = new_a | np.concatenate([[True], g[1:] != g[:-1]])
-        ga, low = least(new_a, d)
-        high = np.maximum.reduceat(d, np.flatnonzero(new_a))
-        gg, low_g = least(new_g, d)
-        classes = np.bincount(ga[new_g])
-        shared = (low != high)[ga]
-        covered = shared & (d > low_g[gg])
-        # the least document of a class speaks for it; where an anchor has one class nothing is open
-        opened = shared & (classes[ga] > 1) & (d == low_g[gg])
-        key = common.mix(a ^ (g * np.uint64(3))) & ~np.uint64(1)
-        at = np.flatnonzero(covered | opened)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array((key[at] | opened[at].astype(np.uint64)).view(np.int64))], ["doc_id", "key"])
-
-
-def settle_windows(it):
-    """mapInArrow function: (doc_id, place) of windows that a smaller document has."""
-    for key, more, d, place in by_bucket(it):
-        order = np.lexsort((d, more, key))
-        key, more, d, place = key[order], more[order], d[order], place[order]
-        group, low = least(np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])]), d)
-        at = np.flatnonzero(d > low[group])
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(place[at])], ["doc_id", "place"])
-
-
-RESOLVED = f"doc_id bigint, tag bigint, spans binary, {PACK}"
-
-
-def resolve(length: int, bits: int):
-    """mapInArrow function: documents and their keys to covered spans, and to packed classes of open windows."""
+RESOLVED = "doc_id bigint, tag bigint, spans binary, anchor bigint, start bigint, segment binary"
+
+
+def resolve(length: int):
+    """mapInArrow function: documents and their keys to covered spans (one row each), and to open segments (anchor set)."""
+    names = [x.split()[0] for x in RESOLVED.split(", ")]
 
     def run(it):
         powers = Powers()
-        docs: list[tuple] = []
-        shard: list[tuple] = []
-        size = 0
-
-        def flush():
-            if shard:
-                # segments, each ended by a 1, bytes moved up by 2, and a last 0
-                starts = np.cumsum([0] + [len(s[2]) + 1 for s in shard])
-                t = np.ones(starts[-1] + 1, np.int64)
-                t[-1] = 0
-                owner, window = np.full(len(t), -1, np.int64), np.zeros(len(t), bool)
-                for k, s in enumerate(shard):
-                    t[starts[k] : starts[k + 1] - 1] = np.frombuffer(s[2], np.uint8).astype(np.int64) + 2
-                    owner[starts[k] : starts[k + 1]] = k
-                    window[starts[k] : starts[k + 1] - length] = True
-                sa = suffix_array(t, 258, length)
-                shared = common_prefixes(t, sa, length)
-                group = np.cumsum(shared[sa] < length)
-                place, group = sa[window[sa]], group[window[sa]]
-                segment = owner[place]
-                at = np.array([s[1] for s in shard])[segment] + place - starts[segment]
-                of = np.array([s[0] for s in shard])[segment]
-                ids = np.array([d[0] for d in docs], np.int64)
-                doc = ids[of]
-                new = np.concatenate([[True], group[1:] != group[:-1]])
-                index, low = least(new, doc)
-                local = doc > low[index]
-                for i, p in zip(of[local].tolist(), at[local].tolist(), strict=True):
-                    docs[i][2].append((p, p + length))
-                digest = np.concatenate([s[3] for s in shard])
-                offset = np.cumsum([0] + [len(s[3]) for s in shard])
-                other = np.concatenate([s[4] for s in shard])
-                mine = np.flatnonzero(~local)
-                where = offset[segment[mine]] + place[mine] - starts[segment[mine]]
-                tags = np.array([d[1] for d in docs], np.int64)[of[mine]]
-                packed = pack(bits, digest[where], (other[segment[mine]] >> np.uint64(32)).astype(np.uint32), doc[mine], (tags << 32) | at[mine])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(packed), t) for t in (pa.int64(), pa.int64(), pa.binary())] + packed.columns, [x.split()[0] for x in RESOLVED.split(", ")])
-            if docs:
-                rows = [(d, tag, np.array(s, "<i8").tobytes()) for d, tag, s in docs]
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 4],
-                    [x.split()[0] for x in RESOLVED.split(", ")],
-                )
-
-        for b in it:
+        for b in common.slices(it):
+            docs, opened = [], []
             for doc_id, tag, text, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 if len(data) < length:
@@ -258,16 +231,81 @@ def resolve(length: int, bits: int):
                 at = np.minimum(np.searchsorted(known, t.key), len(known) - 1)
                 covered = known[at] == t.key
                 at = np.minimum(np.searchsorted(known, t.key | np.uint64(1)), len(known) - 1)
-                opened = (known[at] == (t.key | np.uint64(1))) & ~covered
-                docs.append((doc_id, tag, [(s, e + length) for s, e in zip(t.start[covered].tolist(), t.end[covered].tolist(), strict=True)]))
-                for k in np.flatnonzero(opened).tolist():
-                    s, e = int(t.start[k]), int(t.end[k])
-                    shard.append((len(docs) - 1, s, data[s : e + length], t.windows(np.arange(s, e + 1), length), t.anchor[k : k + 1]))
-                    size += e + length - s + 1
-                if size >= SHARD_BYTES or len(docs) >= 20_000:
-                    yield from flush()
-                    docs, shard, size = [], [], 0
-        yield from flush()
+                still = (known[at] == (t.key | np.uint64(1))) & ~covered
+                if covered.any():
+                    docs.append((doc_id, tag, np.array(merged(np.stack([t.start[covered], t.end[covered] + length], axis=1)), "<i8").tobytes()))
+                for a, s, e in zip(t.anchor[still].view(np.int64).tolist(), t.start[still].tolist(), t.end[still].tolist(), strict=True):
+                    opened.append((doc_id, tag, a, s, data[s : e + length]))
+            d, o = list(zip(*docs, strict=True)) or [[]] * 3, list(zip(*opened, strict=True)) or [[]] * 5
+            none = [pa.nulls(len(d[0]), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(d[0], pa.int64()), pa.array(d[1], pa.int64()), pa.array(d[2], pa.binary()), *none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(o[0], pa.int64()), pa.array(o[1], pa.int64()), pa.nulls(len(o[0]), pa.binary()), pa.array(o[2], pa.int64()), pa.array(o[3], pa.int64()), pa.array(o[4], pa.binary())], names)
+
+    return run
+
+
+SORTED = "doc_id bigint, tag bigint, spans binary, start bigint, window binary"
+
+
+def sort_shard(rows: list[tuple], length: int):
+    """Open segments (anchor, salt, doc_id, tag, start, segment, split) to the spans that smaller documents cover; windows of
+    split anchors that no document of this shard covers go on whole."""
+    # segments, each ended by a 1, bytes moved up by 2, and a last 0
+    starts = np.cumsum([0] + [len(r[5]) + 1 for r in rows])
+    t = np.frombuffer(b"\xff".join(r[5] for r in rows) + b"\xff\xff", np.uint8).astype(np.int64) + 2
+    t[starts[1:] - 1] = 1
+    t[-1] = 0
+    owner = np.repeat(np.arange(len(rows)), np.diff(starts))
+    window = np.zeros(len(t), bool)
+    edges = np.zeros(len(t), np.int64)
+    np.add.at(edges, starts[:-1], 1)
+    np.add.at(edges, starts[1:] - length, -1)
+    window = np.cumsum(edges) > 0
+    sa = suffix_array(t, 258)
+    shared = common_prefixes(t, sa, length)
+    group = np.cumsum(shared[sa] < length)
+    place, group = sa[window[sa]], group[window[sa]]
+    doc = np.array([r[2] for r in rows], np.int64)[owner[place]]
+    index, low = least(np.concatenate([[True], group[1:] != group[:-1]]), doc)
+    covered = np.zeros(len(t), bool)
+    covered[place[doc > low[index]]] = True
+    out = []
+    at = np.flatnonzero(covered)
+    if len(at):
+        # runs of covered windows within a segment
+        new = np.concatenate([[True], (np.diff(at) > 1) | (owner[at[1:]] != owner[at[:-1]])])
+        first, last = at[new], at[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])]
+        of = owner[first]
+        base = np.array([r[4] for r in rows], np.int64)[of] - starts[of]
+        pairs = np.stack([first + base, last + base + length], axis=1).astype("<i8")
+        cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist()
+        for i, j in zip(cuts, [*cuts[1:], len(of)], strict=True):
+            r = rows[of[i]]
+            out.append((r[2], r[3], pairs[i:j].tobytes(), None, None))
+    for k, r in enumerate(rows):
+        if r[6]:
+            for p in range(len(r[5]) - length + 1):
+                if not covered[starts[k] + p]:
+                    out.append((r[2], r[3], None, r[4] + p, r[5][p : p + length]))
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, types, strict=True)], [x.split()[0] for x in SORTED.split(", ")])
+
+
+def sort_shards(length: int):
+    """mapInArrow function: open segments in the order of anchor and salt to covered spans and windows, in shards of whole groups."""
+
+    def run(it):
+        shard, size, now = [], 0, None
+        for b in common.slices(it):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size >= SHARD_BYTES and row[:2] != now:
+                    yield sort_shard(shard, length)
+                    shard, size = [], 0
+                now = row[:2]
+                shard.append(row)
+                size += len(row[5]) + 1
+        if shard:
+            yield sort_shard(shard, length)
 
     return run
 
@@ -299,12 +337,12 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def remove(length: int, characters: bool = False, names: tuple[str, ...] = ()):
-    """mapInArrow function: texts, covered spans and places to what is removed and what is kept; further columns pass."""
+def remove(length: int, characters: bool = False):
+    """mapInArrow function: texts, covered spans and places to what is removed and what is kept; the last column passes."""
 
     def run(it):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for b in it:
+        for b in common.slices(it):
             ids, sizes, spans, kept = [], [], [], []
             for doc_id, text, least_id, packed, places in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
@@ -312,7 +350,7 @@ def remove(length: int, characters: bool = False, names: tuple[str, ...] = ()):
                     cut = [(0, len(data))]
                 else:
                     known = np.frombuffer(b"".join(packed or ()), "<i8").reshape(-1, 2)
-                    more = np.array(places or [], np.int64) & ((1 << 32) - 1)
+                    more = np.array(places or [], np.int64)
                     cut = merged(np.concatenate([known, np.stack([more, more + length], axis=1)]))
                 if characters:
                     cut = whole_characters(data, cut)
@@ -324,22 +362,22 @@ def remove(length: int, characters: bool = False, names: tuple[str, ...] = ()):
                     left.append(data[at:s])
                     at = e
                 kept.append(b"".join([*left, data[at:]]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *b.columns[5:]], ["doc_id", "n_bytes", "spans", "kept", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), b.column(5)], ["doc_id", "n_bytes", "spans", "kept", "row"])
 
     return run
 
 
 def dedupe(docs: DataFrame, length: int = 50, characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, spans (removed bytes, start to end), kept (the remaining bytes) of every document, and `carry`.
+    """doc_id, n_bytes, spans (removed bytes, start to end), kept (the remaining bytes) of every document.
 
-    characters: leave characters that are covered only in part.
+    characters: leave characters that are covered only in part. carry: columns that come along in a struct `row`.
     """
     if length < K:
         raise ValueError(f"length has to be at least {K}")
     spark = docs.sparkSession
     work = common.Workspace(spark, "suffix-dedup")
     rows = common.texts(docs)
-    tag = F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 4), 16, 10).cast("bigint")
+    tag = F.xxhash64("text")
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
     known = rows.select("doc_id", digest.alias("digest"), tag.alias("tag"), F.octet_length("text").cast("bigint").alias("b"))
     copies = known.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("b").alias("b"))
@@ -347,31 +385,42 @@ def dedupe(docs: DataFrame, length: int = 50, characters: bool = False, carry: t
     total = copies.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
     bits = max(8, int(total // BUCKET_BYTES).bit_length())
 
-    def dealt(packed: DataFrame) -> DataFrame:
-        return packed.select("bucket", "keys", "more", "docs", "places").repartition("bucket").sortWithinPartitions("bucket")
-
-    keys = work.table(dealt(rows.mapInArrow(mark(length, bits), PACK)).mapInArrow(settle_segments, "doc_id bigint, key bigint"), "keys")
+    dealt = rows.mapInArrow(mark(length, bits), PACK).repartition("bucket").sortWithinPartitions("bucket")
+    with common.batches_of(spark, PACKED_ROWS):
+        keys = work.table(dealt.mapInArrow(settle_segments, KEYS), "keys")
     work.release()
 
     # only the first of equal texts is looked into; a document's keys are bounded by its own length
     firsts = copies.select(F.col("least_id").alias("doc_id")).distinct()
     asked = keys.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).join(firsts, "doc_id", "left_semi")
-    looked = rows.select("doc_id", "text").join(asked, "doc_id").withColumn("tag", tag).select("doc_id", "tag", "text", "keys")
-    resolved = work.table(looked.mapInArrow(resolve(length, bits), RESOLVED), "resolved")
+    looked = rows.select("doc_id", "text").join(asked, "doc_id").select("doc_id", tag.alias("tag"), "text", "keys")
+    resolved = work.table(looked.mapInArrow(resolve(length), RESOLVED), "resolved")
     work.drop(keys)
     work.release()
-    places = dealt(resolved.where("bucket is not null")).mapInArrow(settle_windows, "doc_id bigint, place bigint")
-    places = work.table(places, "places")
-    found = work.table(resolved.where("bucket is null").select("doc_id", "tag", "spans"), "spans")
-    work.drop(resolved)
+
+    opened = resolved.where("anchor is not null").select("anchor", "doc_id", "tag", "start", "segment")
+    many = work.table(opened.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT), "many")
+    salt = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "start"), F.expr(f"n div {SPLIT} + 1"))).cast("int")
+    shards = opened.join(many, "anchor", "left").select("anchor", salt.alias("salt"), "doc_id", "tag", "start", "segment", F.col("n").isNotNull().alias("split"))
+    shards = shards.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    sorted_ = work.table(shards.mapInArrow(sort_shards(length), SORTED), "sorted")
+    work.release()
+
+    # windows of split anchors meet by their bytes; a shard has sent one row for each window and least document
+    windows = sorted_.where("window is not null").select("window", "doc_id", "tag", "start")
+    firsts = windows.groupBy("window").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("most")).where("m < most")
+    places = windows.join(firsts, "window").where("doc_id > m").groupBy("doc_id", "tag").agg(F.collect_set("start").alias("places"))
+    found = resolved.where("anchor is null").select("doc_id", "tag", "spans").unionByName(sorted_.where("window is null").select("doc_id", "tag", "spans"))
+    spans = found.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("packed")).join(places, ["doc_id", "tag"], "full")
+    spans = work.table(spans, "spans")
+    work.drop(resolved, sorted_, many)
     work.release()
 
-    spans = found.groupBy("doc_id", "tag").agg(F.array(F.first("spans")).alias("packed"))
-    spans = spans.join(places.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(F.collect_set("place").alias("places")), ["doc_id", "tag"], "left")
     # the table of first copies is keyed by digest: documents meet it without their texts
     led = known.select("doc_id", "tag", "digest").distinct().join(copies.select("digest", "least_id"), "digest").select("doc_id", "tag", "least_id")
     facts = led.join(spans, ["doc_id", "tag"], "left")
-    whole = common.texts(docs, *(F.col(c).alias(f"_{c}") for c in carry))
-    joined = whole.withColumn("tag", tag).join(facts, ["doc_id", "tag"]).select("doc_id", "text", "least_id", "packed", "places", *(F.col(f"_{c}").alias(c) for c in carry))
-    schema = REMOVED + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.mapInArrow(remove(length, characters, carry), schema)
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("int")
+    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), carried.alias("row")).where(F.col("doc_id").isNotNull())
+    joined = whole.withColumn("tag", tag).join(facts, ["doc_id", "tag"]).select("doc_id", "text", "least_id", "packed", "places", "row")
+    out = joined.mapInArrow(remove(length, characters), f"{REMOVED}, row {joined.schema['row'].dataType.simpleString()}")
+    return out if carry else out.drop("row")

@@ -73,13 +73,15 @@ def test_ngram_join_empty(spark):
     assert ngram_join.link_components(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_suffix_array_against_sorting():
+@pytest.mark.parametrize("many", [4096, 1])
+def test_suffix_array_against_sorting(monkeypatch, many):
+    monkeypatch.setattr(suffix_array, "MANY", many)
     rng = np.random.default_rng(0)
     for _ in range(150):
         k = int(rng.integers(1, 5))
         t = np.concatenate([rng.integers(1, k + 1, int(rng.integers(1, 60))), [0]])
         b = t.tolist()
-        sa = suffix_array.suffix_array(t, k + 1, 1 << 30)
+        sa = suffix_array.suffix_array(t, k + 1)
         assert sa.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
         shared = suffix_array.common_prefixes(t, sa, 7)
         for x, y in zip(sa, sa[1:], strict=False):
@@ -101,10 +103,15 @@ def expected_removed(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("shard", [1_500_000, 200])
-def test_suffix_dedup(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "split", "entries"), [(1_500_000, 4000, 400_000), (200, 3, 400_000), (200, 3, 50)])
+def test_suffix_dedup(spark, monkeypatch, shard, split, entries):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    monkeypatch.setattr(suffix_dedup, "ENTRIES", entries)
     rows = corpus(2)
+    # a line that a third of the rows hold, with other neighbours in each
+    line = "This line stands in very many of the documents of this table, whoever wrote them."
+    rows += [(200 + i, f"{i * 7919 % 1000} before\n{line}\n{i * 104729 % 1000} after it comes {'more ' * (i % 13)}") for i in range(60)]
     out = suffix_dedup.dedupe(frame(spark, [*rows, (None, "lost")])).collect()
     want = expected_removed(rows)
     assert len(out) == len(rows)
@@ -117,9 +124,9 @@ def test_suffix_dedup(spark, monkeypatch, shard):
 def test_suffix_dedup_keeps_characters(spark):
     text = "é" * 60
     rows = [(1, "a" + text), (2, text + "b"), (3, None)]
-    for r in suffix_dedup.dedupe(frame(spark, rows), characters=True, carry=("n",)).collect():
+    for r in suffix_dedup.dedupe(frame(spark, rows), characters=True, carry=("n", "spans")).collect():
         bytes(r["kept"]).decode("utf-8")
-        assert r["n"] == "x"
+        assert (r["row"]["n"], r["row"]["spans"]) == ("x", 2)
 
 
 def test_decontamination_against_brute_force(spark):
