@@ -59,7 +59,7 @@ def expected_components(rows, n, num, den):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "num", "den", "small"), [(5, 8, 10, 48), (3, 90, 100, 4)])
+@pytest.mark.parametrize(("n", "num", "den", "small"), [(5, 8, 10, 32), (3, 90, 100, 2), (5, 8, 10, 2)])
 def test_ngram_join(spark, monkeypatch, n, num, den, small):
     monkeypatch.setattr(ngram_join, "SMALL", small)
     rows = corpus()
