@@ -5,7 +5,7 @@ the k-mer alone, so equal passages have equal anchors wherever they stand. The a
 each bin keeps its smallest; the fingerprint is the bins' low bytes in hexadecimal, 00 for a bin without anchor. The
 likeness of two fingerprints is the share of common anchors (Dice), estimated from the bins.
 
-Texts shorter than a k-mer have one anchor, the whole text; the empty text has none and is like empty texts only. Null
+Texts shorter than a k-mer have all their 3-byte strings (a shorter one itself) as anchors; the empty text has none and is like empty texts only. Null
 texts count as empty, rows without doc_id are left out, repeated rows each get their row in the order of their text,
 further columns are ignored, an empty table gives an empty result.
 """
@@ -27,9 +27,11 @@ K, S, BINS = 14, 5, 128
 
 
 def anchors(data: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the closed syncmers, in order."""
+    """Positions and hashes of the closed syncmers, in order; texts shorter than k have all their 3-byte strings instead."""
     if len(data) < k:
-        return np.zeros(min(1, len(data)), np.int64), np.array([xxhash.xxh3_64_intdigest(data)] if data else [], np.uint64)
+        m = min(3, len(data))
+        at = np.arange(len(data) - m + 1 if data else 0)
+        return at, np.array([xxhash.xxh3_64_intdigest(data[i : i + m]) for i in at], np.uint64)
     b = np.frombuffer(data, np.uint8).astype(np.uint64)
     n = len(b) - s + 1
     small = np.zeros(n, np.uint64)
