@@ -23,7 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+from . import common
+
+#: A quoted value counts where what follows it can follow a value; any other quote is an ordinary sign, so one that is never
+#: closed ends with its tag. The number of steps in a tag is bounded, and a longer one ends at its first ">".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[\"']){0,1000}+(?=>)|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose inside is no page text, void elements, inline elements.
 SKIPPED = frozenset("script style noscript template svg iframe object canvas select textarea button head title math audio video".split())
@@ -86,9 +90,17 @@ def parse(html: str) -> list[Node]:
             if stack[k][0] in stops:
                 return
 
-    at, end = 0, len(html)
+    at, end, last = 0, len(html), html.rfind(">")
+    closing: dict[str, int] = {}  # where the last closing tag of a name is
+
+    def closed_after(tag: str, at: int) -> bool:
+        if tag not in closing:
+            closing[tag] = max((m.start() for m in re.finditer(rf"</{tag}[\s/>]", html, re.I)), default=-1)
+        return closing[tag] >= at
+
     while at < end:
-        m = TOKEN.search(html, at)
+        # a comment needs no ">" to end, everything else does
+        m = TOKEN.search(html, at) if at <= last or html.find("<!--", at) >= 0 or html.find("<![CDATA[", at) >= 0 else None
         start = m.start() if m else end
         if start > at and not skip:
             pieces.append((html[at:start], links > 0))
@@ -111,6 +123,12 @@ def parse(html: str) -> list[Node]:
             continue
         if tag == "html":
             continue
+        if skip and (tag == "body" or tag in ENDS_P) and any(t == "head" for t, _ in stack[1:3]):
+            close({"head"}, frozenset())
+        if tag == "button" and skip:
+            close({"button"}, frozenset(["table", "form"]))
+        if tag in SKIPPED and tag not in RAW and not closed_after(tag, at):
+            continue  # an element that nothing ends can't hide the rest of the page
         if tag in ENDS_P:
             close({"p"}, frozenset(["table", "td", "article", "section", "div", "button"]))
         if tag in CLOSES:
@@ -279,7 +297,7 @@ def extract_texts(w: dict):
     """mapInArrow function: html to main text."""
 
     def run(it):
-        for b in it:
+        for b in common.slices(it):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([main_text(x, w) for x in b.column(2).to_pylist()], pa.string())], ["page_id", "url", "text"])
 
     return run
