@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import sys
 import tempfile
 import time
 import uuid
@@ -19,9 +20,11 @@ MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in local tests."""
+    """The folder that driver and executors share. Where none is set a local session makes a temporary one; a cluster has to name it."""
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="sparquill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -81,7 +84,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of byte strings, remembered up to a bound."""
 
-    BOUND = 1_000_000
+    BOUND = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
@@ -124,18 +127,27 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def slices(it, rows: int = 1000):
-    """Arrow batches in pieces whose Python objects stay few; what a task has freed goes back to the system at its end."""
+#: Where a worker process keeps its tokenizers from task to task.
+ENCODERS = "_sparquill_encoders"
+
+
+def slices(it, rows: int = 1000, keep: bool = False):
+    """Arrow batches in pieces whose Python objects stay few; what a task has freed goes back to the system at its end.
+
+    keep: leave the process its tokenizers for the next task.
+    """
     try:
         for b in it:
             for i in range(0, b.num_rows, rows):
                 yield b.slice(i, rows)
     finally:
-        give_back()
+        give_back(keep)
 
 
-def give_back() -> None:
+def give_back(keep: bool = False) -> None:
     """Return freed memory of this worker to the system: an idle worker must not hold what its last task used."""
+    if not keep:
+        sys.modules.pop(ENCODERS, None)
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

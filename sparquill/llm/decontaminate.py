@@ -6,8 +6,11 @@ overlap by half, and items and windows get MinHash signatures. A window that agr
 candidate; a candidate is kept if the document's shingles hold at least 8 in 10 of the item's, counted on the words
 themselves. With 128 slots a window that holds 8 in 10 of an item is missed with a chance below 1e-11.
 
-Items are taken in blocks of bounded size, each compared with all documents. Texts with fewer than `n` words are one
-shingle; null or blank texts match nothing. Rows without an id are left out, repeated rows each get their rows, further
+An item with fewer than `n` words is one shingle of all its words, and a document holds it where these words stand in a row;
+its signature is that one hash, looked up among the document's shingles of the same number of words.
+
+Items are taken in blocks of bounded size, each compared with all documents; items with equal texts are searched for once.
+Null or blank texts match nothing. Rows without an id are left out, repeated rows each get their rows, further
 columns are ignored, an empty table gives an empty result.
 """
 
@@ -46,6 +49,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.items, hashes = [], common.WordHashes()
         slots: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         member = []
         for item_id, text in items:
             words = common.lower_words(text)
@@ -53,11 +57,15 @@ class Index:
                 continue
             h = np.unique(common.shingle_hashes(hashes.of(words), n))
             self.items.append((item_id, word_shingles(words, n), h))
+            if len(words) < n:
+                self.short[len(words)][int(h[0])].append(len(self.items) - 1)
+                continue
             member.append(h)
             size = 1 << max(0, int(len(h) - 1).bit_length())
             for v in signature(h).tolist():
                 slots[size][v].append(len(self.items) - 1)
         self.slots = {k: dict(v) for k, v in slots.items()}
+        self.short_hashes = {m: np.array(sorted(t), np.uint64) for m, t in self.short.items()}
         self.member = np.unique(np.concatenate(member)) if member else np.zeros(0, np.uint64)
         self.bits = np.zeros(1 << BITS, bool)
         self.bits[(self.member >> np.uint64(64 - BITS)).astype(np.int64)] = True
@@ -81,12 +89,20 @@ class Index:
         words = common.lower_words(text)
         if not words or not self.items:
             return []
-        found = self.candidates(common.shingle_hashes(hashes.of(words), n))
-        own = word_shingles(words, n) if found else set()
+        h = hashes.of(words)
+        found = self.candidates(common.shingle_hashes(h, n)) if len(words) >= n and len(self.member) else set()
+        for size, table in self.short.items():
+            if len(words) >= size:
+                at = common.shingle_hashes(h, size)
+                found.update(k for v in np.unique(at[np.isin(at, self.short_hashes[size])]).tolist() for k in table[v])
+        own: dict[int, set] = {}
         out = []
         for k in sorted(found):
             item_id, wanted, _ = self.items[k]
-            shared = len(wanted & own)
+            size = len(next(iter(wanted)))
+            if size not in own:
+                own[size] = word_shingles(words, size)
+            shared = len(wanted & own[size])
             if shared * den >= num * len(wanted):
                 out.append((item_id, shared, len(wanted)))
         return out
@@ -97,7 +113,7 @@ def search(items: list[tuple[int, str]], n: int, num: int, den: int):
 
     def run(it):
         index, hashes = Index(items, n), common.WordHashes()
-        for b in it:
+        for b in common.slices(it):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows += [(doc_id, *x) for x in index.held(text, hashes, n, num, den)]
@@ -108,8 +124,8 @@ def search(items: list[tuple[int, str]], n: int, num: int, den: int):
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
+    """The distinct items in blocks of bounded size, dealt by a hash of both columns."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull()).distinct()
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-size["n"] * 2 // BLOCK_ITEMS), -(-size["b"] * 2 // BLOCK_BYTES)) if size["n"] > BLOCK_ITEMS or size["b"] > BLOCK_BYTES else 1
     for k in range(blocks):
@@ -129,7 +145,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = 5, num: int = 8,
     def clean(block):
         def run(it):
             index, hashes = Index(block, n), common.WordHashes()
-            for b in it:
+            for b in common.slices(it):
                 keep = [not index.held(x or "", hashes, n, num, den) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))
 

@@ -85,6 +85,12 @@ QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join,
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _short_shingles(key: str) -> str:
+    """Runs of as many words as a benchmark item with fewer than five words has."""
+    words = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT {key}, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT {key}, {words} AS w FROM documents) x JOIN (SELECT DISTINCT len({words}) AS m FROM benchmark) s ON m BETWEEN 1 AND 4 AND len(w) >= m) y"
+
+
 def _shingles(table: str, key: str) -> str:
     words = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
     return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {key}, {words} AS w FROM {table}) x WHERE len(w) > 0) y"
@@ -99,6 +105,6 @@ SQL: dict[str, str] = {
  length(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '')) AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(length(body) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 11 ELSE 13 END) AS BIGINT) AS formatted_chars FROM e WHERE conv_id IS NOT NULL GROUP BY conv_id""",
-    "op6_decontamination": f"""WITH d AS ({_shingles("documents", "doc_id")}), b AS ({_shingles("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+    "op6_decontamination": f"""WITH d AS ({_shingles("documents", "doc_id")} UNION {_short_shingles("doc_id")}), b AS ({_shingles("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
  SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY ALL) s JOIN n USING (item_id) WHERE n_shared * 10 >= 8 * n_item""",
 }
