@@ -60,7 +60,7 @@ def symbols(text: str) -> np.ndarray:
 def count_trigrams(it):
     """mapInArrow function: trigrams of symbols, counted over the task's texts."""
     total = np.zeros(SYMBOLS**3, np.int64)
-    for b in it:
+    for b in common.slices(it):
         for text in b.column(0).to_pylist():
             s = np.concatenate([[0, 0], symbols(text), [0]])
             total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
@@ -140,7 +140,7 @@ class Restorer:
 
 def features(words: set[str]) -> set[str]:
     """Whole words, and their first 4 to 7 letters."""
-    return {"=" + w for w in words if len(w) <= 40} | {w[:k] for w in words for k in (4, 5, 6, 7) if len(w) > k}
+    return {"=" + w for w in words} | {w[:k] for w in words for k in (4, 5, 6, 7) if len(w) > k}
 
 
 def count_evidence(trigrams: np.ndarray):
@@ -148,7 +148,7 @@ def count_evidence(trigrams: np.ndarray):
 
     def run(it):
         restorer, counts = Restorer(trigrams), {}
-        for b in it:
+        for b in common.slices(it):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for f in features(restorer.words(text)):
                     c = counts.setdefault(f, [0, 0])
@@ -164,7 +164,7 @@ def hold_evidence(trigrams: np.ndarray, names: dict[str, int]):
 
     def run(it):
         restorer = Restorer(trigrams)
-        for b in it:
+        for b in common.slices(it):
             held = [sorted(names[f] for f in features(restorer.words(x)) if f in names) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(held, pa.list_(pa.int32()))], ["label", "held"])
 
@@ -228,12 +228,12 @@ PRIOR = -2.5
 
 
 def score(restorer: Restorer, model: dict, text: str) -> float:
-    """Up to three pieces of evidence add up; where there are none, a hint can only order the texts below one half."""
+    """All pieces of evidence add up; where there are none, a hint can only order the texts below one half."""
     held = features(restorer.words(text))
-    found = sorted((model["evidence"][f] for f in held if f in model["evidence"]), reverse=True)[:3]
+    found = sorted((model["evidence"][f] for f in held if f in model["evidence"]), reverse=True)
     hint = max((model["hints"][f] for f in held if f in model["hints"]), default=0.0)
     z = PRIOR + (sum(math.log(p / (1 - p)) + 2.0 for p in found) if found else min(2.0, 2 * hint))
-    return 1 / (1 + math.exp(-z))
+    return 1 / (1 + math.exp(-min(z, 500.0)))
 
 
 def score_texts(model: dict):
@@ -241,7 +241,7 @@ def score_texts(model: dict):
 
     def run(it):
         restorer = Restorer(model["trigrams"])
-        for b in it:
+        for b in common.slices(it):
             s = [score(restorer, model, x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
@@ -258,7 +258,7 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFram
 
     def run(it):
         restorer = Restorer(model["trigrams"])
-        for b in it:
+        for b in common.slices(it):
             at = b.schema.get_field_index("text")
             yield b.filter(pa.array([score(restorer, model, x or "") < threshold for x in b.column(at).to_pylist()], pa.bool_()))
 
