@@ -26,11 +26,13 @@ class CountCache:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def stored(self, version: str) -> DataFrame:
+    def exists(self) -> bool:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(self.path)
-        found = p.getFileSystem(conf).exists(p)
-        rows = self.spark.read.schema(CACHE).parquet(self.path) if found else self.spark.createDataFrame([], CACHE)
+        return p.getFileSystem(conf).exists(p)
+
+    def stored(self, version: str) -> DataFrame:
+        rows = self.spark.read.schema(CACHE).parquet(self.path) if self.exists() else self.spark.createDataFrame([], CACHE)
         return rows.where(F.col("tokenizer_sha256") == version).groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens"))
 
     def append(self, rows: DataFrame) -> None:
@@ -42,7 +44,7 @@ def encode_lengths(name: str, where: str | None, version: str):
 
     def run(it):
         enc = tokenizing.encoder(name, where)
-        for b in it:
+        for b in common.slices(it, keep=True):
             n = [enc.count(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content_sha256", "tokenizer_sha256", "n_tokens"])
 
@@ -52,10 +54,16 @@ def encode_lengths(name: str, where: str | None, version: str):
 def count_tokens(docs: DataFrame, cache: CountCache, tokenizer: str = "byte_bpe_50k.json", where: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every document, counts from the cache where it has them."""
     version = tokenizing.version(tokenizer, where)
+    work = common.Workspace(docs.sparkSession, "token-counts")
     rows = common.texts(docs).withColumn("content_sha256", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     # one text for each digest: copies meet before the shuffle, so a hot text costs one row a task
     distinct = rows.groupBy("content_sha256").agg(F.first("text").alias("text"))
-    misses = distinct.join(cache.stored(version).select("content_sha256"), "content_sha256", "left_anti")
-    cache.append(misses.select("content_sha256", "text").mapInArrow(encode_lengths(tokenizer, where, version), CACHE))
+    known = work.table(cache.stored(version), "known") if cache.exists() else cache.stored(version)
+    misses = distinct.join(known.select("content_sha256"), "content_sha256", "left_anti").select("content_sha256", "text")
+    fresh = work.table(misses.mapInArrow(encode_lengths(tokenizer, where, version), CACHE), "fresh")
+    cache.append(fresh)
     light = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "content_sha256")
-    return light.join(cache.stored(version), "content_sha256").select("doc_id", "n_bytes", "n_tokens")
+    # written, so that the join has nothing but exchanges below it and a digest that many rows hold can be split at run time
+    needed = known.join(light.select("content_sha256").distinct(), "content_sha256", "left_semi").select("content_sha256", "n_tokens")
+    counts = work.table(needed.unionByName(fresh.select("content_sha256", "n_tokens")).groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    return light.join(counts, "content_sha256").select("doc_id", "n_bytes", "n_tokens")
