@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sparquill.llm import chat_format, common, decontaminate, html_extract, ngram_join, packing, queries, suffix_array, suffix_dedup, syncmers, tokenizing, token_counts, toxicity
+from sparquill.llm import chat_format, common, decontaminate, html_extract, ngram_join, packing, quality, queries, suffix_array, suffix_dedup, syncmers, tokenizing, token_counts, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -132,8 +132,8 @@ def test_suffix_dedup_keeps_characters(spark):
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(3)
     words = ["v%d" % i for i in range(200)]
-    items = [(k, " ".join(rng.choices(words, k=rng.randint(1, 50)))) for k in range(25)] + [(98, None), (99, " ")]
-    rows = [(0, None), (1, ""), (2, items[0][1]), (2, items[0][1])]
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(1, 50)))) for k in range(25)] + [(98, None), (99, " "), (97, "Rare phrase"), (96, "one two three four"), (96, "one two three four"), (None, "lost")]
+    rows = [(0, None), (1, ""), (2, items[0][1]), (2, items[0][1]), (3, "a rare PHRASE inside"), (4, "rare, phrase"), (5, "one two three four"), (6, "two three four"), (7, "zero one two three four five"), (None, "rare phrase")]
     for i in range(10, 80):
         own = rng.choices(words, k=rng.randint(0, 300))
         if i % 3 == 0:
@@ -142,8 +142,16 @@ def test_decontamination_against_brute_force(spark):
                 w[3] = "changed"
             own[len(own) // 2 : len(own) // 2] = w
         rows.append((i, " ".join(own)))
-    sets = lambda t: decontaminate.word_shingles(common.lower_words(t or ""), 5)
-    want = sorted((i, k) for i, t in rows for k, s in items if sets(s) and len(sets(s) & sets(t)) * 10 >= 8 * len(sets(s)))
+    def runs(t, m):
+        w = common.lower_words(t or "")
+        return {tuple(w[i : i + m]) for i in range(len(w) - m + 1)} if m else set()
+
+    want = []
+    for k, s in set(items):
+        m = min(5, len(common.lower_words(s or "")))
+        if m and k is not None:
+            want += [(i, k) for i, t in rows if i is not None and len(runs(s, m) & runs(t, m)) * 10 >= 8 * len(runs(s, m))]
+    want.sort()
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     docs = frame(spark, rows)
     out = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect())
@@ -151,7 +159,11 @@ def test_decontamination_against_brute_force(spark):
     assert want
     clean = decontaminate.keep_clean(docs, bench)
     assert clean.columns == docs.columns
-    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, _ in rows if i not in {d for d, _ in want})
+    assert sorted(r["doc_id"] for r in clean.collect() if r["doc_id"] is not None) == sorted(i for i, _ in rows if i is not None and i not in {d for d, _ in want})
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.contaminated(docs, none).count() == 0
+    assert decontaminate.keep_clean(docs, none).count() == len(rows)
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
 def test_packing_round_trip(spark):
@@ -179,7 +191,8 @@ def test_packing_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_cutting_stock_plan_is_tight():
+def test_cutting_stock_plan_is_tight(spark):
+    assert spark.range(3).count() == 3  # the driver has started Spark: the solver must not stall in it
     rng = np.random.default_rng(0)
     h = np.bincount(rng.integers(1, 257, 20_000), minlength=257)[1:]
     sizes = np.flatnonzero(h) + 1
@@ -220,6 +233,32 @@ def test_token_count_cache(spark, tmp_path):
     assert len(first) == len(rows)
 
 
+def test_token_query_equals_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizing.path("byte_bpe_50k.json"))
+    rows = [*corpus(9), (900, "lone \t tab"), (901, "many words " * 600), (902, "don't <|endoftext|> stop"), (None, "lost")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op8_token_counts(spark, str(tmp_path)).collect()
+    want = sorted((i, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows if i is not None)
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in out) == want
+    assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in out)
+    assert any(r["over_limit"] for r in out)
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert token_counts.count_tokens(empty, token_counts.CountCache(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_likeness_against_sets():
+    """The likeness of fingerprints is near the Dice coefficient of the anchors' sets that they stand for."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(900)]
+    a = " ".join(words)
+    for share in (0.0, 0.3, 0.6, 0.9, 1.0):
+        b = " ".join(w if rng.random() < share or share == 1.0 else w[::-1] + "z" for w in words)
+        x, y = ({int(h) for h in syncmers.anchors(t.encode())[1]} for t in (a, b))
+        assert abs(syncmers.likeness(syncmers.fingerprint(a.encode()), syncmers.fingerprint(b.encode())) - 2 * len(x & y) / (len(x) + len(y))) < 0.12
+
+
 def test_fingerprints(spark):
     rows = corpus(6)
     out = syncmers.compare_with_next(frame(spark, rows)).collect()
@@ -270,6 +309,35 @@ def test_html(spark):
     assert {r["page_id"]: r["text"] for r in out}[2] == ""
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><body><p>{}</p></body></html>",
+        "<html><head><meta charset=x><p>{}</p></html>",
+        "<body><button><p>{}</p></body>",
+        "<body><article><p title=\"it>{}</p></article></body>",
+        "<body><p data-x=\"<b>no</b>\" class='a>b'>{}</p></body>",
+        "<body><!-- never closed? --><p>{}</p><!-- open",
+    ],
+)
+def test_html_with_faults(page):
+    text = "Here is a whole sentence of text, long enough to be content."
+    assert html_extract.main_text(page.format(text), html_extract.fit()) == text
+
+
+def test_html_is_linear():
+    for unit in ('<p title="it>a ', '<p "', '<p a=">" ', "<! ", "<button>x", "<p '\"'\""):
+        html_extract.parse(unit * 20_000)
+
+
+def test_html_tables(spark):
+    none = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert html_extract.extract(none).count() == 0
+    long = "<p>" + "A sentence with quite a few words in it. " * 20_000 + "</p>"
+    df = spark.createDataFrame([(1, "u", long, "x", 1)], "page_id bigint, url string, html string, text string, n_chars int")
+    assert html_extract.extract(df).collect()[0]["text"] == long[3:-5]
+
+
 def test_html_on_unseen_templates():
     w = html_extract.fit()
     good = 0
@@ -304,7 +372,37 @@ def test_deobfuscation():
     assert r.words("") == set()
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op9_toxicity", "toxic", 0.8), ("op10_quality", "quality", 0.95)])
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(3)
+    r = toxicity.Restorer(rng.integers(0, 50, toxicity.SYMBOLS**3))
+    for word in ("1d10t", "aab", "m.o", "s$a", "xx11", "@b-"):
+        best = {}
+        paths = [("", 0.0, 0, 0)]
+        for i in range(len(word)):
+            paths = [(done + out, p + cost + (r.log[a][b][toxicity.symbol(out)] if out else 0.0), *((b, toxicity.symbol(out)) if out else (a, b))) for done, p, a, b in paths for out, cost in r.options(word, i)]
+        for done, p, a, b in paths:
+            best[done] = max(best.get(done, -1e9), p + r.log[a][b][0])
+        assert np.isclose(best[r.decode(word)], max(best.values()))
+
+
+def test_machine_against_pair_sums():
+    rng = np.random.default_rng(4)
+    w, v = rng.normal(size=30), rng.normal(size=(30, 5))
+    i, x = np.array([1, 4, 9, 20]), rng.normal(size=4)
+    pairs = sum(x[a] * x[b] * (v[i[a]] * v[i[b]]).sum() for a in range(4) for b in range(a))
+    assert np.isclose(quality.raw(w, v, i, x)[0], (w[i] * x).sum() + pairs)
+
+
+def test_toxic_precision_and_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = queries.op9_toxicity(spark, sf).join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
+    both = sum(r["predicted"] * r["toxic"] for r in rows)
+    assert both / sum(r["predicted"] for r in rows) >= 0.85
+    assert both / sum(r["toxic"] for r in rows) >= 0.6
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op10_quality", "quality", 0.95)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
     out = queries.QUERIES[name](spark, sf)
@@ -323,3 +421,5 @@ def test_classifiers_on_odd_rows(spark, module):
     docs = frame(spark, corpus(8))
     model = m.fit(docs, spark.createDataFrame([], f"doc_id bigint, {label} int"))
     assert m.scores(docs, model).count() == len(corpus(8))
+    assert m.scores(docs.limit(0), model).count() == 0
+    assert m.scores(docs.unionByName(frame(spark, [(None, "lost")])), model).count() == len(corpus(8))
