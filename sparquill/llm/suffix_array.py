@@ -105,27 +105,44 @@ def _levels(t: np.ndarray, rank: np.ndarray, held: np.ndarray, fixed: np.ndarray
         mine = t[at] * wide + above + rank[at + 1]
         order = np.argsort(mine, kind="stable")
         at, mine = at[order], mine[order]
-        held = np.insert(held, np.searchsorted(key, mine), at)
+        to = np.searchsorted(key, mine) + np.arange(len(at))
+        old = np.ones(len(held) + len(at), bool)
+        old[to] = False
+        merged = np.empty(len(old), np.int64)
+        merged[to], merged[old] = at, held
+        held = merged
         induced[at] = True
         fresh = at
 
 
 def induce_many(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The same induction for an alphabet with about as many signs as suffixes, where buckets hold single suffixes: all
-    suffixes at the same distance from their inducing one move at once."""
+    """The same induction for an alphabet with about as many signs as suffixes, where buckets hold few suffixes: all suffixes
+    at the same distance from their inducing one move at once. A suffix whose sign occurs once has its place from the start."""
     n = len(t)
     wide = 2 * n + 2
+    once = np.bincount(t)[t] == 1
     rank, fixed = np.zeros(n, np.int64), np.zeros(n, np.int64)
     lms = lms[np.argsort(t[lms], kind="stable")]
-    fixed[lms] = t[lms] * wide + n + np.arange(len(lms))
-    held = _levels(t, rank, lms, fixed, ~s, 0)
-    held = np.concatenate([[n - 1], held[~s[held]]])
-    fixed[held] = t[held] * wide + np.arange(len(held))
-    return _levels(t, rank, held, fixed, s, n)
-
-
-def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
-    """Positions of the suffixes of t in order. t ends with its only 0."""
+    fixed[lms] = n + np.arange(len(lms))
+    held = np.concatenate([lms, np.flatnonzero(once & ~s)])
+    fixed[held] += t[held] * wide
+    held = held[np.argsort(fixed[held], kind="stable")]
+    held = _levels(t, rank, held, fixed, ~s & ~once, 0)
+    large = held[~s[held]]
+    fixed[:] = 0
+    fixed[large] = np.arange(len(large))
+    held = np.concatenate([large, np.flatnonzero(once & s)])
+    fixed[held] += t[held] * wide
+    held = held[np.argsort(fixed[held], kind="stable")]
+    return _levels(t, rank, held, fixed, s & ~once, n)
+
+
+def suffix_array(t: np.ndarray, sigma: int, apart: int = -1) -> np.ndarray:
+    """Positions of the suffixes of t in order. t ends with its only 0.
+
+    apart: a sign, less than all but 0, whose occurrences count as different from each other, in any order: the end mark of
+    joined strings, past which nothing has to be compared.
+    """
     n = len(t)
     if n <= 2:
         return np.arange(n)[::-1].copy()
@@ -142,7 +159,7 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     length[lms[-1]] = 1
     a, b = in_order[:-1], in_order[1:]
     same = length[a] == length[b]
-    same &= ~((a == n - 1) | (b == n - 1))
+    same &= ~((a == n - 1) | (b == n - 1)) & (t[a] != apart)
     live, j = np.flatnonzero(same), 0
     while len(live):
         differ = t[a[live] + j] != t[b[live] + j]

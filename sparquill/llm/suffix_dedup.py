@@ -261,7 +261,8 @@ def sort_shard(rows: list[tuple], length: int):
     np.add.at(edges, starts[:-1], 1)
     np.add.at(edges, starts[1:] - length, -1)
     window = np.cumsum(edges) > 0
-    sa = suffix_array(t, 258)
+    sa = suffix_array(t, 258, apart=1)
+    t[starts[1:] - 1] = 258 + np.arange(len(rows))
     shared = common_prefixes(t, sa, length)
     group = np.cumsum(shared[sa] < length)
     place, group = sa[window[sa]], group[window[sa]]
