@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common, tokenizing
 
-#: Most simplex steps after the greedy start; a plan is feasible after each, and later steps only save sequences.
-STEPS = 300
+#: The linear program counts as solved once no plan can need fewer sequences by more than this share (Farley's bound).
+GAP = 1e-3
 
 
 def encode_ids(name: str, where: str | None, end_id: int):
@@ -34,7 +34,7 @@ def encode_ids(name: str, where: str | None, end_id: int):
 
     def run(it):
         enc = tokenizing.encoder(name, where)
-        for b in it:
+        for b in common.slices(it, keep=True):
             ids = [enc.ids(x) + end for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([narrow(x) for x in ids], pa.binary())], ["doc_id", "doc_tokens", "ids"])
 
@@ -95,7 +95,7 @@ def greedy(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[np.nd
     Each pattern uses up a size that no later pattern has, so the basis is triangular.
     """
     m = len(sizes)
-    left, patterns, times = demand.astype(float), [], []
+    left, patterns, times, order = demand.astype(float), [], [], []
     alive = np.ones(m, bool)
     while alive.any():
         top = int(np.flatnonzero(alive)[-1])
@@ -111,20 +111,39 @@ def greedy(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[np.nd
         left[out], alive[out] = 0, False
         patterns.append(pattern)
         times.append(x)
-    return patterns, np.array(times), np.linalg.inv(np.array(patterns, float).T)
+        order.append(out)
+    return patterns, np.array(times), inverse_of(np.array(patterns, float)[:, order].T, order)
+
 
+def inverse_of(lower: np.ndarray, order: list[int]) -> np.ndarray:
+    """Inverse of a lower triangular matrix by substitution, its columns then put back in the order of the sizes.
 
-def solve(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = STEPS) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often each is used; together they hold every item exactly once or leave free slots."""
+    Plain array sums on purpose: threaded linear algebra can stall in a driver that has started Spark.
+    """
+    m = len(lower)
+    inverse = np.zeros((m, m))
+    for i in range(m):
+        row = -(lower[i, :i, None] * inverse[:i]).sum(axis=0)
+        row[i] += 1
+        inverse[i] = row / lower[i, i]
+    out = np.empty((m, m))
+    out[:, order] = inverse
+    return out
+
+
+def solve(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often each is used; together they hold every item exactly once."""
     m = len(sizes)
     if not m:
         return []
     patterns, x, inverse = greedy(sizes, demand, room)
-    for _ in range(steps):
+    while True:
+        # the dual bound is the present number of sequences divided by the value of the best pattern
         value, pattern = knapsack(inverse.sum(axis=0), sizes, room)
-        if value <= 1 + 1e-9:
+        if value <= 1 + gap:
             break
-        u = inverse @ pattern
+        used = np.flatnonzero(pattern)
+        u = (inverse[:, used] * pattern[used]).sum(axis=1)
         ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
         out = int(ratio.argmin())
         theta = ratio[out]
@@ -191,7 +210,7 @@ def cut(length: int):
 
     def run(it):
         names = [x.split()[0] for x in PIECES.split(", ")]
-        for b in it:
+        for b in common.slices(it):
             out: list[list] = [[] for _ in names]
             for doc_id, n, packed, n_full, rest, full_sequence, sequence, offset in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids = np.frombuffer(packed[:-1], "<u2").astype("<u4").tobytes() if packed[-1:] == b"2" else packed[:-1]
@@ -212,7 +231,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", where: str | Non
     encoded = work.table(encoded.withColumn("uid", F.monotonically_increasing_id()), "ids")
 
     rows = encoded.count()
-    salts = max(16, -(-rows // 100_000))
+    # one row for each salt comes to the driver: one for a million documents
+    salts = max(16, -(-rows // 1_000_000))
     light = encoded.select(
         "uid",
         F.expr(f"doc_tokens div {length}").alias("n_full"),
@@ -226,7 +246,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", where: str | Non
     counts = light.groupBy("salt", "size").agg(F.count("*").alias("n"), F.sum("n_full").alias("n_full"))
     bases = counts.withColumn("base", F.sum("n").over(Window.partitionBy("size").orderBy("salt")) - F.col("n")).select("salt", "size", "base")
     full_bases = counts.groupBy("salt").agg(F.sum("n_full").alias("s"))
-    full_of = {r["salt"]: r["s"] for r in full_bases.collect()} if salts <= 100_000 else None
+    full_of = {r["salt"]: r["s"] for r in full_bases.collect()}
     histogram = {r["size"]: r["n"] for r in counts.where("size > 0").groupBy("size").agg(F.sum("n").alias("n")).collect()}
 
     sizes = np.array(sorted(histogram), np.int64)
@@ -234,14 +254,11 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", where: str | Non
     table = slots(plan, sizes)
     first_full = sum(t for _, t in plan)
 
-    if full_of is not None:
-        total, starts = first_full, []
-        for s in sorted(full_of):
-            starts.append((s, total))
-            total += full_of[s]
-        full_start = spark.createDataFrame(starts or [(0, 0)], "salt bigint, full_start bigint")
-    else:
-        full_start = full_bases.withColumn("full_start", F.sum("s").over(Window.orderBy("salt")) - F.col("s") + first_full).select("salt", "full_start")
+    total, starts = first_full, []
+    for salt in sorted(full_of):
+        starts.append((salt, total))
+        total += full_of[salt]
+    full_start = spark.createDataFrame(starts or [(0, 0)], "salt bigint, full_start bigint")
     placed = ranked.join(bases, ["salt", "size"]).join(full_start, "salt").withColumn("rank", F.col("rank") + F.col("base")).withColumn("full_sequence", F.col("full_start") + F.col("full_before"))
     placed = work.table(placed.select("uid", "n_full", "rest", "size", "rank", "full_sequence"), "ranks")
     rests = placed.where("rest > 0").select("uid", "rest", "size", "rank").mapInArrow(assign(table), "uid bigint, rest bigint, sequence_id bigint, slot bigint")

@@ -7,6 +7,7 @@ Any other text goes through the library whole.
 
 from __future__ import annotations
 
+import array
 import hashlib
 import json
 import re
@@ -16,6 +17,9 @@ import types
 import numpy as np
 import regex
 
+from . import common
+
+
 def path(name: str) -> str:
     import public_tokenizers
 
@@ -28,35 +32,54 @@ SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: b for b in SELF} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(SELF))}
 ENDS = frozenset(".,!?:;)")
 ORDINARY = re.compile("[\x00-\u024f]*")
+#: Signs that a text cut at blanks and line ends must not hold: the mark used for cutting, and all other white space.
+BLANKS = [c for c in map(chr, range(128)) if c == "\x01" or c.isspace() and c not in " \n"]
+ALL_BLANKS = BLANKS + [c for c in map(chr, range(128, sys.maxunicode)) if c.isspace()]
 
 
 class Words(dict):
-    """Word to its ids, as little-endian unsigned 32-bit bytes. Once BOUND words are held, further ones aren't kept."""
+    """Word to its ids, as little-endian unsigned 32-bit bytes. Two generations of BOUND words are held: a full one becomes
+    the old one, and words that are met again move on."""
 
-    BOUND = 400_000
+    BOUND = 250_000
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, {}
 
     def pack(self, ids: list[int]):
-        return np.array(ids, "<u4").tobytes()
+        return array.array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     join = staticmethod(b"".join)
 
     def encode(self, text: str):
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, word: str):
+    def merged(self, piece: str):
+        """Ids of one pre-token."""
+        shown = "\u0120" + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(SHOWN)
+        return self.pack([t.id for t in self.model.tokenize(shown)])
+
+    def of(self, word: str):
         text = word if word == "\n" else word[1:] if word[:1] == "\x01" else " " + word
-        if word[-1:] in ENDS and word[:-1].isalpha() and ORDINARY.fullmatch(text):
-            ids = self.join([self[word[:-1]], self["\x01" + word[-1]]])
-        elif not ORDINARY.fullmatch(text):
-            ids = self.encode(text)
-        elif len(pieces := [text] if word.isalpha() else PIECES.findall(text)) == 1:
-            ids = self.pack([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(SHOWN))])
-        else:
-            ids = self.join([self[p[1:] if p[0] == " " and len(p) > 1 else p if p == "\n" else "\x01" + p] for p in pieces])
-        if len(word) <= 48 and len(self) < self.BOUND:
+        if not text.isascii() and not ORDINARY.fullmatch(text):
+            return self.encode(text)
+        if word.isalpha():
+            return self.merged(text)
+        if word[-1] in ENDS and word[:-1].isalpha():
+            return self.join([self[word[:-1]], self["\x01" + word[-1]]])
+        pieces = PIECES.findall(text)
+        if len(pieces) == 1:
+            return self.merged(text)
+        return self.join([self[p[1:] if p[0] == " " and len(p) > 1 else p if p == "\n" else "\x01" + p] for p in pieces])
+
+    def __missing__(self, word: str):
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self.of(word)
+        if len(word) <= 48:
+            if len(self) >= self.BOUND:
+                self.old = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -91,28 +114,31 @@ class Encoder:
         pre = said.get("pre_tokenizer") or {}
         self.plain = not said.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and said["model"]["type"] == "BPE"
 
-    def whole(self, text: str) -> bool:
-        """Whether the text has to go through the library as one piece."""
-        return not self.plain or "\x01" in text or text.split() != text.replace("\n", " ").split(" ") or self.special.search(text) is not None
+    def cut(self, text: str) -> list[str] | None:
+        """The words of a text whose blanks all stand alone; None where it has to go through the library as one piece."""
+        if not self.plain or self.special.search(text) is not None or any(c in text for c in (BLANKS if text.isascii() else ALL_BLANKS)):
+            return None
+        words = ("\x01" + text.replace("\n", " \n \x01")).split(" ")
+        return None if "" in words or "\x01" in words else words
 
     def ids(self, text: str) -> bytes:
         if self.pieces:
             return np.array(self.pieces.encode(text), "<u4").tobytes()
-        if self.whole(text):
+        if (words := self.cut(text)) is None:
             return self.words.encode(text)
-        return b"".join(map(self.words.__getitem__, ("\x01" + text.replace("\n", " \n \x01")).split(" ")))
+        return b"".join(map(self.words.__getitem__, words))
 
     def count(self, text: str) -> int:
         if self.pieces:
             return len(self.pieces.encode(text))
-        if self.whole(text):
+        if (words := self.cut(text)) is None:
             return self.lengths.encode(text)
-        return sum(map(self.lengths.__getitem__, ("\x01" + text.replace("\n", " \n \x01")).split(" ")))
+        return sum(map(self.lengths.__getitem__, words))
 
 
 def encoder(name: str, where: str | None = None) -> Encoder:
-    """The encoder of this process: a Python worker keeps its words from task to task."""
-    kept = sys.modules.setdefault("_sparquill_encoders", types.ModuleType("_sparquill_encoders")).__dict__
+    """The encoder of this process: a Python worker keeps its words from task to task, until it runs a task of another kind."""
+    kept = sys.modules.setdefault(common.ENCODERS, types.ModuleType(common.ENCODERS)).__dict__
     return kept.get((name, where)) or kept.setdefault((name, where), Encoder(name, where))
 
 
