@@ -25,18 +25,13 @@ GAP = 1e-3
 
 def encode_ids(name: str, where: str | None, end_id: int):
     """mapInArrow function: text to its ids and the end mark, 2 bytes an id where all fit, else 4."""
-    end = np.array([end_id], "<u4").tobytes()
-
-    def narrow(ids: bytes) -> bytes:
-        # an odd byte tells the two widths apart
-        x = np.frombuffer(ids, "<u4")
-        return x.astype("<u2").tobytes() + b"2" if x.max() < 1 << 16 else ids + b"4"
-
     def run(it):
         enc = tokenizing.encoder(name, where)
+        # a last byte tells the two widths apart
+        last = np.array([end_id], f"<u{enc.width}").tobytes() + str(enc.width).encode()
         for b in common.slices(it, keep=True):
-            ids = [enc.ids(x) + end for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([narrow(x) for x in ids], pa.binary())], ["doc_id", "doc_tokens", "ids"])
+            ids = [enc.packed(x) + last for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // enc.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "doc_tokens", "ids"])
 
     return run
 

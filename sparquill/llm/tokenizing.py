@@ -33,21 +33,22 @@ SHOWN = {b: b for b in SELF} | {b: 256 + i for i, b in enumerate(b for b in rang
 ENDS = frozenset(".,!?:;)")
 ORDINARY = re.compile("[\x00-\u024f]*")
 #: Signs that a text cut at blanks and line ends must not hold: the mark used for cutting, and all other white space.
-BLANKS = [c for c in map(chr, range(128)) if c == "\x01" or c.isspace() and c not in " \n"]
-ALL_BLANKS = BLANKS + [c for c in map(chr, range(128, sys.maxunicode)) if c.isspace()]
+BLANKS = [c for c in map(chr, range(sys.maxunicode)) if c == "\x01" or c.isspace() and c not in " \n"]
 
 
 class Words(dict):
-    """Word to its ids, as little-endian unsigned 32-bit bytes. Two generations of BOUND words are held: a full one becomes
+    """Word to its ids, little-endian and unsigned, of 2 bytes where all ids of the vocabulary fit, else of 4. Two generations of BOUND words are held: a full one becomes
     the old one, and words that are met again move on."""
 
-    BOUND = 250_000
+    BOUND = 350_000
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, {}
+        self.tokenizer, self.tokenize, self.old = tokenizer, tokenizer.model.tokenize, {}
+        self.width = 2 if max(tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
 
     def pack(self, ids: list[int]):
-        return array.array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+        return array.array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, f"<u{self.width}").tobytes()
 
     join = staticmethod(b"".join)
 
@@ -57,7 +58,7 @@ class Words(dict):
     def merged(self, piece: str):
         """Ids of one pre-token."""
         shown = "\u0120" + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(SHOWN)
-        return self.pack([t.id for t in self.model.tokenize(shown)])
+        return self.pack([t.id for t in self.tokenize(shown)])
 
     def of(self, word: str):
         text = word if word == "\n" else word[1:] if word[:1] == "\x01" else " " + word
@@ -75,7 +76,10 @@ class Words(dict):
     def __missing__(self, word: str):
         ids = self.old.pop(word, None)
         if ids is None:
-            ids = self.of(word)
+            if word.isascii() and word.isalpha():  # the most frequent case, without further calls
+                ids = self.pack([t.id for t in self.tokenize("\u0120" + word)])
+            else:
+                ids = self.of(word)
         if len(word) <= 48:
             if len(self) >= self.BOUND:
                 self.old = dict(self)
@@ -116,12 +120,24 @@ class Encoder:
 
     def cut(self, text: str) -> list[str] | None:
         """The words of a text whose blanks all stand alone; None where it has to go through the library as one piece."""
-        if not self.plain or self.special.search(text) is not None or any(c in text for c in (BLANKS if text.isascii() else ALL_BLANKS)):
+        if not self.plain or self.special.search(text) is not None:
+            return None
+        # printable signs hold no blank but " ", and not the mark
+        if not text.replace("\n", "").isprintable() and any(c in text for c in BLANKS):
             return None
         words = ("\x01" + text.replace("\n", " \n \x01")).split(" ")
         return None if "" in words or "\x01" in words else words
 
+    @property
+    def width(self) -> int:
+        """Bytes of an id in `packed`."""
+        return 4 if self.pieces else self.words.width
+
     def ids(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit numbers."""
+        return np.frombuffer(self.packed(text), f"<u{self.width}").astype("<u4").tobytes()
+
+    def packed(self, text: str) -> bytes:
         if self.pieces:
             return np.array(self.pieces.encode(text), "<u4").tobytes()
         if (words := self.cut(text)) is None:
