@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +105,41 @@ def tokens(text: Column) -> Column:
 def lined_tokens(text: Column) -> Column:
     """The same tokens (t), each with the number of its line (from 1)."""
     return F.flatten(F.transform(F.split(text, "\n"), lambda x, i: F.transform(tokens(x), lambda t: F.struct(t.alias("t"), (i + 1).alias("line")))))
+
+
+def first_match(tokens: Column, patterns: list[str]) -> Column:
+    """The first pattern that matches any token, else null."""
+
+    def matches(pattern: str) -> Column:
+        return F.exists(tokens, lambda t: F.rlike(t, F.lit("(?s)" + glob_to_regex(pattern))))
+
+    return F.coalesce(*[F.when(matches(p), F.lit(p)) for p in patterns])
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether a path is ignored: of the ordered rules the last that matches decides, and a leading ! takes the path back in."""
+    out = F.lit(False)
+    for rule in rules:
+        out = F.when(F.contains(path, F.lit(rule.removeprefix("!"))), F.lit(not rule.startswith("!"))).otherwise(out)
+    return out
+
+
+def time_range(since: str | None, until: str | None) -> tuple[int, int]:
+    """Microseconds of two RFC 3339 times; an open end is unbounded, an end before the start an error."""
+
+    def micros(x: str) -> int:
+        return round(datetime.datetime.fromisoformat(x.replace("Z", "+00:00")).timestamp() * 1_000_000)
+
+    a, b = micros(since) if since else -(1 << 62), micros(until) if until else 1 << 62
+    if a > b:
+        raise ValueError("since lies after until")
+    return a, b
+
+
+def duration_us(text: str) -> int:
+    """Microseconds of a duration such as 7d, 36h, 90m, 1.5s or 200ms, or of several of these in a row."""
+    units = {"d": 86_400_000_000, "h": 3_600_000_000, "m": 60_000_000, "s": 1_000_000, "ms": 1000, "us": 1}
+    parts = re.findall(r"([0-9]+(?:\.[0-9]+)?)(ms|us|d|h|m|s)", text)
+    if not parts or "".join(n + u for n, u in parts) != text:
+        raise ValueError(f"not a duration: {text}")
+    return round(sum(float(n) * units[u] for n, u in parts))

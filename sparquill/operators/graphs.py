@@ -7,6 +7,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import checkpoints
+
 
 def strong_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """node, component (its least node) of components with more than one node.
@@ -14,9 +16,10 @@ def strong_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     Nodes without both an incoming and an outgoing edge are trimmed first, again and again; then the least reachable label
     is spread forward and backward, and nodes whose labels agree form a component. What does not agree goes on.
     """
+    checkpoints(edges.sparkSession)
     live = edges.where("src <> dst").select("src", "dst").distinct()
     found = None
-    for _ in range(rounds):
+    for left in range(rounds, -1, -1):
         before = -1
         while True:
             both = live.select(F.col("src").alias("n")).intersect(live.select(F.col("dst").alias("n")))
@@ -27,6 +30,8 @@ def strong_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
             before = now
         if not now:
             break
+        if not left:
+            raise RuntimeError(f"components have not been told apart after {rounds} rounds")
         nodes = live.select(F.col("src").alias("node")).distinct()
         forward = spread(live, nodes.withColumn("label", F.col("node")))
         # backward only from the roots of labels, within them

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.store import checkpoints
 
 
 def capped(df: DataFrame, limit: int, default: int = 1000) -> DataFrame:
@@ -89,15 +90,33 @@ def not_followed(df: DataFrame, keys: Sequence[str], at: str, first: Column, the
     return df.withColumn("_then", F.count(F.when(then, 1)).over(w)).where(first & (F.col("_then") == 0)).drop("_then")
 
 
-def bfs(edges: DataFrame, root: DataFrame, depth: int, work=None) -> DataFrame:
-    """node, level: nodes reached from the roots along src to dst; each level one join against nodes not yet seen."""
-    seen = root.select("node", F.lit(0).alias("level")).distinct()
-    front = seen
+def bfs(edges: DataFrame, root: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """node, level: nodes reached from the roots along src to dst; each level is one join against nodes not yet seen.
+
+    A level is cut from its lineage, so no plan holds an earlier one twice. most: nodes in all, nearer levels and lesser nodes first.
+    """
+    checkpoints(edges.sparkSession)
+    e = edges.select("src", "dst").distinct()
+    seen = front = root.select("node", F.lit(0).alias("level")).distinct().checkpoint()
     for k in range(1, depth + 1):
-        step = front.select(F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("level"))
+        step = front.select(F.col("node").alias("src")).join(e, "src").select(F.col("dst").alias("node")).distinct()
+        front = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("level")).checkpoint()
         seen = seen.unionByName(front)
-    return seen
+    return seen if most is None else top_k(seen, most, "level", "node")
+
+
+def closure(edges: DataFrame, src: str, dst: str, rounds: int = 30) -> DataFrame:
+    """All pairs (src, dst) with a way along the edges; each round is cut from its lineage and joins only new pairs."""
+    checkpoints(edges.sparkSession)
+    e = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b")).distinct().checkpoint()
+    found = front = e
+    for _ in range(rounds):
+        step = front.select("_a", F.col("_b").alias("_m")).join(e.select(F.col("_a").alias("_m"), "_b"), "_m").select("_a", "_b").distinct()
+        front = step.join(found, ["_a", "_b"], "left_anti").checkpoint()
+        if front.isEmpty():
+            return found.select(F.col("_a").alias(src), F.col("_b").alias(dst))
+        found = found.unionByName(front).checkpoint()
+    raise RuntimeError(f"ways are longer than {rounds} edges")
 
 
 def window_hashes(df: DataFrame, keys: Sequence[str], tokens: str, k: int) -> DataFrame:

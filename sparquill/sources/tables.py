@@ -100,3 +100,50 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, line_no (from 1), text: the lines of documents as source lines."""
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("p", "text")).select("id", (F.col("p") + 1).alias("line_no"), "text")
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, title, status, owner, created, completed, parent: orders as tasks."""
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "claimed").otherwise("done")
+    created = F.col("o_orderdate").cast("date")
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderpriority").alias("title"),
+        status.alias("status"),
+        F.when(F.col("o_orderstatus") != "O", F.col("o_custkey")).alias("owner"),
+        created.alias("created"),
+        F.when(F.col("o_orderstatus") == "F", F.date_add(created, 30)).alias("completed"),
+        (F.col("o_custkey") % 50).alias("parent"),
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, sender, addressee (0: all), content, priority, parent, created, expires (an hour later): events as messages."""
+    e = events(spark, sf_dir)
+    return e.select("id", F.col("session").alias("sender"), F.when(F.col("session") % 10 == 1, 0).otherwise(F.col("k")).cast("bigint").alias("addressee"), F.col("name").alias("content"), F.when(F.col("tokens") >= 60, "high").otherwise("normal").alias("priority"), (F.col("session") % 7).alias("parent"), F.col("ts_us").alias("created"), (F.col("ts_us") + 3_600_000_000).alias("expires"))
+
+
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ts_us, session, shape, status, rejections, memory: events as proposals."""
+    e = events(spark, sf_dir)
+    status = F.when(F.col("k") < 40, "open").when(F.col("k") < 70, "accepted").otherwise("rejected")
+    return e.select("id", "ts_us", "session", F.col("name").alias("shape"), status.alias("status"), F.when(F.col("k") >= 70, 1).otherwise(0).alias("rejections"), F.when(F.col("k").between(40, 69), F.col("id")).alias("memory"))
+
+
+def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, analyzer, kind, name, file, size, est_tokens: parts as survey entries."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("analyzer"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.concat_ws("/", "p_brand", "p_type").alias("file"), F.col("p_size").cast("int").alias("size"), F.floor("p_retailprice").cast("bigint").alias("est_tokens"))
+
+
+def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, kind, deleted: customers in debt as tombstones."""
+    c = table(spark, sf_dir, "customer").where("c_acctbal < 0")
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"), F.floor("c_acctbal").cast("bigint").alias("deleted"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, symbols (ids in order), size: the parts that line items name as indexed files."""
+    s = symbols(spark, sf_dir)
+    return s.groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_list("symbol")).alias("symbols"), F.sum(F.col("end") - F.col("start")).cast("bigint").alias("size"))
