@@ -206,14 +206,20 @@ def cut(length: int):
     def run(it):
         names = [x.split()[0] for x in PIECES.split(", ")]
         for b in common.slices(it):
-            out: list[list] = [[] for _ in names]
-            for doc_id, n, packed, n_full, rest, full_sequence, sequence, offset in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids = np.frombuffer(packed[:-1], "<u2").astype("<u4").tobytes() if packed[-1:] == b"2" else packed[:-1]
-                places = [(i * length, length, full_sequence + i, 0) for i in range(n_full)] + ([(n_full * length, rest, sequence, offset)] if rest else [])
-                for start, size, there, at in places:
-                    for column, v in zip(out, (doc_id, start, size, ids[start * 4 : (start + size) * 4], n, there, at), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, out, strict=True)], names)
+            doc_id, n, packed, n_full, rest, full_sequence, sequence, offset = b.columns
+            full, rest = n_full.to_numpy(), rest.to_numpy()
+            count = full + (rest > 0)
+            of = np.repeat(np.arange(len(count)), count)
+            k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            last = k == full[of]
+            start = k * length
+            size = np.where(last, rest[of], length)
+            there = np.where(last, sequence.fill_null(0).to_numpy()[of], full_sequence.to_numpy()[of] + k)
+            at = np.where(last, offset.fill_null(0).to_numpy()[of], 0)
+            whole = [np.frombuffer(x, "<u2", len(x) // 2).astype("<u4").tobytes() if x[-1:] == b"2" else x for x in packed.to_pylist()]
+            ids = [whole[i][s * 4 : (s + m) * 4] for i, s, m in zip(of.tolist(), start.tolist(), size.tolist(), strict=True)]
+            columns = [doc_id.to_numpy()[of], start, size, pa.array(ids, pa.binary()), n.to_numpy()[of], there, at]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in columns], names)
 
     return run
 

@@ -42,8 +42,9 @@ class Words(dict):
 
     BOUND = 350_000
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.tokenize, self.old = tokenizer, tokenizer.model.tokenize, {}
+    def __init__(self, tokenizer, merge=None):
+        self.tokenizer, self.old = tokenizer, {}
+        self.merge = merge or (lambda piece: [t.id for t in tokenizer.model.tokenize(piece.decode("latin-1").translate(SHOWN))])
         self.width = 2 if max(tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
 
@@ -55,29 +56,24 @@ class Words(dict):
     def encode(self, text: str):
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def merged(self, piece: str):
-        """Ids of one pre-token."""
-        shown = "\u0120" + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(SHOWN)
-        return self.pack([t.id for t in self.tokenize(shown)])
-
     def of(self, word: str):
         text = word if word == "\n" else word[1:] if word[:1] == "\x01" else " " + word
         if not text.isascii() and not ORDINARY.fullmatch(text):
             return self.encode(text)
         if word.isalpha():
-            return self.merged(text)
+            return self.pack(self.merge(text.encode()))
         if word[-1] in ENDS and word[:-1].isalpha():
             return self.join([self[word[:-1]], self["\x01" + word[-1]]])
         pieces = PIECES.findall(text)
         if len(pieces) == 1:
-            return self.merged(text)
+            return self.pack(self.merge(text.encode()))
         return self.join([self[p[1:] if p[0] == " " and len(p) > 1 else p if p == "\n" else "\x01" + p] for p in pieces])
 
     def __missing__(self, word: str):
         ids = self.old.pop(word, None)
         if ids is None:
             if word.isascii() and word.isalpha():  # the most frequent case, without further calls
-                ids = self.pack([t.id for t in self.tokenize("\u0120" + word)])
+                ids = self.pack(self.merge(b" " + word.encode()))
             else:
                 ids = self.of(word)
         if len(word) <= 48:
@@ -97,6 +93,25 @@ class Lengths(Words):
         return len(ids)
 
 
+def ranked_merge(model: dict, tokenizer):
+    """A faster merge of single pre-tokens (bytes to ids) with the ranks of the file; None unless it gives the library's ids.
+
+    It holds where ids rise with the merges' ranks and the library encodes every entry of the vocabulary as itself, both of
+    which are checked here.
+    """
+    import tiktoken
+
+    vocabulary, own = model["vocab"], {chr(v): k for k, v in SHOWN.items()}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocabulary.get("".join(m), -1) for m in merges]
+    if any(a >= b for a, b in zip([-1, *ids], ids, strict=False)) or model.get("dropout") or model.get("ignore_merges") or not all(c in own for t in vocabulary for c in t):
+        return None
+    if any(len(found := tokenizer.model.tokenize(t)) != 1 or found[0].id != k for t, k in vocabulary.items()):
+        return None
+    ranks = {bytes(own[c] for c in t): k for t, k in vocabulary.items()}
+    return tiktoken.Encoding("file", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Encoder:
     """Ids or their number for whole texts; for a sentencepiece .model the library alone is used."""
 
@@ -112,11 +127,13 @@ class Encoder:
         t = Tokenizer.from_file(self.file)
         t.no_padding()
         t.no_truncation()
-        self.pieces, self.words, self.lengths = None, Words(t), Lengths(t)
+        self.pieces = None
         self.special = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or r"(?!)")
         said = json.loads(open(self.file, encoding="utf-8").read())
         pre = said.get("pre_tokenizer") or {}
         self.plain = not said.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and said["model"]["type"] == "BPE"
+        merge = ranked_merge(said["model"], t) if self.plain else None
+        self.words, self.lengths = Words(t, merge), Lengths(t, merge)
 
     def cut(self, text: str) -> list[str] | None:
         """The words of a text whose blanks all stand alone; None where it has to go through the library as one piece."""
