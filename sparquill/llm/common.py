@@ -61,8 +61,17 @@ class Workspace:
             p.getFileSystem(conf).delete(p, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Hand Python fewer rows and bytes at a time than Spark does by default: texts may be long, and a batch is held twice."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (bigint), text (null: empty) and the named columns; rows without a doc_id are left out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more).where(F.col("doc_id").isNotNull())
 
 

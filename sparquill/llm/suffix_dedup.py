@@ -37,9 +37,9 @@ POSITION = np.uint64((1 << 31) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 ONE = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 #: Bytes of text to a bucket, entries gathered before they are packed, packed rows in an Arrow batch.
-BUCKET_BYTES, ENTRIES, PACKED_ROWS = 4_000_000, 400_000, 128
+BUCKET_BYTES, ENTRIES, PACKED_ROWS = 4_000_000, 300_000, 128
 #: Bytes of segments to a suffix array, and open segments of an anchor above which they are split into several.
-SHARD_BYTES, SPLIT = 500_000, 4_000
+SHARD_BYTES, SPLIT = 250_000, 4_000
 
 
 class Powers:
