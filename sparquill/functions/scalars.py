@@ -143,3 +143,11 @@ def duration_us(text: str) -> int:
     if not parts or "".join(n + u for n, u in parts) != text:
         raise ValueError(f"not a duration: {text}")
     return round(sum(float(n) * units[u] for n, u in parts))
+
+
+def ignored_command(signature: Column, names: list[str]) -> Column:
+    """Whether a command is one of the names, or one of them with arguments."""
+    out = F.lit(False)
+    for name in names:
+        out = out | (signature == name) | F.startswith(signature, F.lit(name + " "))
+    return out

@@ -1,2 +1,2 @@
-from . import aggregates, analyzers, filters, joins, more, stores, windows  # noqa: F401
+from . import aggregates, analyzers, derived, filters, joins, more, stores, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

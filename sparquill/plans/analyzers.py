@@ -15,11 +15,6 @@ def postings(spark, sf):
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-@query(f"SELECT id, term, count(*) AS tf FROM {POSTINGS} WHERE length(term) >= 12 GROUP BY ALL")
-def x1_postings(spark, sf):
-    return postings(spark, sf).where("length(term) >= 12")
-
-
 @query(f"SELECT id, term, count(*) AS tf FROM {POSTINGS} GROUP BY ALL")
 def x1_postings_whole(spark, sf):
     return postings(spark, sf)
@@ -80,20 +75,6 @@ def f8_todo_scan(spark, sf):
     return held.select("id", F.col("line_no").cast("bigint").alias("line_no"), F.regexp_extract("text", "(?i)(license|copyright)", 1).alias("keyword"))
 
 
-@query("""WITH w AS (SELECT doc_id AS id, lang, string_split(text, ' ') AS t FROM documents WHERE n_chars < 3000), g AS (SELECT id, lang, i, t[i:i + 11] AS gram FROM (SELECT *, unnest(range(1, len(t) - 10)) AS i FROM w) x),
- c AS (SELECT lang, gram FROM g GROUP BY ALL HAVING count(*) BETWEEN 2 AND 10) SELECT a.id AS a, b.id AS b, count(*) AS windows FROM g a JOIN c ON a.lang = c.lang AND a.gram = c.gram JOIN g b ON b.lang = c.lang AND b.gram = c.gram AND a.id < b.id GROUP BY ALL""")
-def f1_clone_windows(spark, sf):
-    m = T.memories(spark, sf).where("size < 3000").select("id", F.col("category").alias("lang"), F.split("content", " ").alias("t")).where("size(t) >= 12")
-    g = m.select("id", "lang", "t", F.explode(F.sequence(F.lit(1), F.size("t") - 11)).alias("i")).select("id", "lang", F.slice("t", F.col("i"), F.lit(12)).alias("gram"))
-    g = g.withColumn("h", F.xxhash64("gram"))
-    # groups of at most ten places by definition, so the pairs of a group are bounded
-    held = g.groupBy("lang", "gram").agg(F.count("*").alias("n")).where("n between 2 and 10").select("lang", "gram", F.xxhash64("gram").alias("h"))
-    places = g.join(held, ["lang", "h", "gram"], "left_semi")
-    a, b = places.alias("a"), places.alias("b")
-    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, same).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("windows"))
-
-
 @query()
 def f1_clone_findings(spark, sf):
     return R.clones(T.memories(spark, sf).select("id", F.col("category").alias("lang"), "content"))

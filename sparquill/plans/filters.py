@@ -76,14 +76,6 @@ def p5_all_tags(spark, sf):
     return T.memories(spark, sf).where(S.all_tags(F.col("tags"), ["long", "lang:de"])).select("id")
 
 
-@query(f"SELECT id, name, tokens FROM {EVENTS} WHERE name = 'click' AND session % 3 = 1 AND ts BETWEEN (SELECT min(ts) + INTERVAL 3 DAY FROM events) AND (SELECT min(ts) + INTERVAL 12 DAY FROM events)")
-def p6_event_filter(spark, sf):
-    e = T.events(spark, sf)
-    first = e.agg(F.min("ts").alias("first"))
-    held = e.where("name = 'click' and session % 3 = 1").join(F.broadcast(first), F.expr("ts between first + interval 3 days and first + interval 12 days"))
-    return held.select("id", "name", "tokens")
-
-
 @query(f"SELECT id, name, tokens FROM {EVENTS} WHERE name = 'click' AND ts BETWEEN (SELECT min(ts) + INTERVAL 3 DAY FROM events) AND (SELECT min(ts) + INTERVAL 12 DAY FROM events)")
 def p6_event_filter_whole(spark, sf):
     e = T.events(spark, sf)
@@ -134,15 +126,6 @@ def fm5_memory_score(spark, sf):
     return m.select("id", F.round(score, 6).alias("score"))
 
 
-@query("SELECT doc_id AS id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(text[1:40], ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 257 + c) % 1000000007) AS h FROM documents WHERE length(text) > 0")
-def fh1_polynomial_hash(spark, sf):
-    # code points by way of UTF-32, four bytes each
-    hexed = F.hex(F.encode(F.substring("content", 1, 40), "UTF-32"))
-    n = F.length(hexed) / 8
-    chars = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.conv(F.substring(hexed, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
-    return T.memories(spark, sf).where("length(content) > 0").select("id", S.polynomial_hash(chars).alias("h"))
-
-
 @query("SELECT doc_id AS id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 257 + c) % 1000000007) AS h FROM documents WHERE length(text) > 0")
 def fh1_polynomial_hash_whole(spark, sf):
     codes = F.transform(F.split("content", ""), lambda c: F.ascii(c).cast("bigint"))

@@ -63,11 +63,6 @@ def j10_blocked_by_tombstone(spark, sf):
     return d.join(stones, (d["topic"] == stones["t"]) & (d["created"] <= stones["gone"]), "left_anti").select("seq")
 
 
-@query(f"SELECT topic FROM {DECISIONS} GROUP BY topic HAVING max(created) < DATE '1998-03-01' AND topic % 5 = 0")
-def j11_every_version_predates(spark, sf):
-    return T.decisions(spark, sf).where("topic % 5 = 0").groupBy("topic").agg(F.max("created").alias("m")).where("m < date'1998-03-01'").select("topic")
-
-
 @query(f"SELECT topic FROM {DECISIONS} GROUP BY topic HAVING max(created) < DATE '1998-03-01'")
 def j11_every_version_predates_whole(spark, sf):
     return T.decisions(spark, sf).groupBy("topic").agg(F.max("created").alias("m")).where("m < date'1998-03-01'").select("topic")

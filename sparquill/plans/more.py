@@ -71,14 +71,6 @@ def a17_cohesion(spark, sf):
     return inside.join(n, "g").withColumn("cohesion", F.round(F.col("inside") / F.expr("(n * (n - 1)) div 2"), 9))
 
 
-@query("""SELECT lang, min(source) AS lo, max(source) AS hi, (SELECT max(k) FROM range(0, 7) r(k) WHERE min(source)[1:k] = max(source)[1:k]) AS shared FROM documents GROUP BY lang""")
-def a20_common_prefix(spark, sf):
-    # all members lie between the least and the greatest, so these two share what all share
-    g = T.memories(spark, sf).groupBy(F.col("category").alias("lang")).agg(F.min("source").alias("lo"), F.max("source").alias("hi"))
-    same = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda k: F.substring(F.col("lo"), F.lit(1), k) == F.substring(F.col("hi"), F.lit(1), k))
-    return g.withColumn("shared", F.array_max(same).cast("bigint"))
-
-
 @query("""SELECT lang, lo, hi, CAST(list_max(list_filter(range(0, least(length(lo), length(hi)) + 1), lambda k: lo[1:k] = hi[1:k])) AS BIGINT) AS shared FROM (SELECT lang, min(source) AS lo, max(source) AS hi FROM documents GROUP BY lang) t""")
 def a20_common_prefix_whole(spark, sf):
     g = T.memories(spark, sf).groupBy(F.col("category").alias("lang")).agg(F.min("source").alias("lo"), F.max("source").alias("hi"))
@@ -142,11 +134,6 @@ def k25_message_ttl(spark, sf):
     return T.events(spark, sf).select("id", F.coalesce(F.when(F.col("k") > 50, F.col("ts_us") + F.col("k")), F.col("ts_us") + 3_600_000_000).alias("expires_us"))
 
 
-@query(f"SELECT topic, max(created) AS deleted FROM {DECISIONS} WHERE seq % 3 = 0 AND created >= DATE '1996-01-01' GROUP BY topic")
-def r8_live_tombstones(spark, sf):
-    return T.decisions(spark, sf).where("seq % 3 = 0 and created >= date'1996-01-01'").groupBy("topic").agg(F.max("created").alias("deleted"))
-
-
 @query(f"SELECT topic, max(created) AS deleted FROM {DECISIONS} WHERE created >= DATE '1996-01-01' GROUP BY topic")
 def r8_live_tombstones_whole(spark, sf):
     return T.decisions(spark, sf).where("created >= date'1996-01-01'").groupBy("topic").agg(F.max("created").alias("deleted"))
@@ -177,13 +164,6 @@ def f20_read_check(spark, sf):
     return out.select("id", F.col("quality").isNotNull().alias("indexed"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("fresh"), S.estimated_tokens(F.col("size"), F.lit(3.0)).alias("tokens"))
 
 
-@query(f"""WITH r AS (SELECT session, name, count(*) AS n FROM {EVENTS} GROUP BY ALL HAVING count(*) >= 2) SELECT name, session, n FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, session) AS rn FROM r) t WHERE rn <= 3""")
-def f22_mining_runner(spark, sf):
-    r = T.events(spark, sf).groupBy("session", "name").agg(F.count("*").alias("n")).where("n >= 2")
-    w = Window.partitionBy("name").orderBy(F.desc("n"), "session")
-    return r.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("name", "session", "n")
-
-
 @query()
 def f22_mining_findings(spark, sf):
     return R.mining(T.events(spark, sf))
@@ -204,11 +184,6 @@ def fm9_severity_rank(spark, sf):
     return T.findings(spark, sf).select("id", S.severity_rank(F.col("severity")).alias("rank"))
 
 
-@query("SELECT doc_id AS id, coalesce(TRY_CAST(regexp_extract(text, '[0-9]+', 0)[1:6] AS BIGINT), 0) AS n FROM documents")
-def fj1_map_int(spark, sf):
-    return T.memories(spark, sf).select("id", S.map_int(F.substring(F.regexp_extract("content", "[0-9]+", 0), 1, 6)).alias("n"))
-
-
 @query("SELECT doc_id AS id, coalesce(TRY_CAST(regexp_extract(text, '[0-9]+', 0) AS BIGINT), 0) AS n FROM documents")
 def fj1_map_int_whole(spark, sf):
     return T.memories(spark, sf).select("id", S.map_int(F.regexp_extract("content", "[0-9]+", 0)).alias("n"))

@@ -299,7 +299,7 @@ def p8_survey_predicate(spark, sf):
     return T.survey(spark, sf).where((F.col("analyzer") == "Brand#2") & (F.col("kind") == "PROMO") & F.contains("file", F.lit("d#2/"))).select("id")
 
 
-@query(f"SELECT id, CASE WHEN list_bool_or(list_transform(tags, x -> x LIKE 'lang:d%')) THEN 'lang:d*' WHEN list_bool_or(list_transform(tags, x -> x LIKE '%1')) THEN '*1' END AS excluded_by FROM {MEMORIES}")
+@query(f"SELECT id, CASE WHEN list_bool_or(list_transform(tags, lambda x: x LIKE 'lang:d%')) THEN 'lang:d*' WHEN list_bool_or(list_transform(tags, lambda x: x LIKE '%1')) THEN '*1' END AS excluded_by FROM {MEMORIES}")
 def p10_first_exclude(spark, sf):
     return T.memories(spark, sf).select("id", S.first_match(F.col("tags"), ["lang:d*", "*1"]).alias("excluded_by"))
 

@@ -38,13 +38,6 @@ def w4_sequence_match(spark, sf):
     return out.select(F.col("id").alias("first"), F.col("c.id").alias("correction"), F.col("c.next_view").alias("then"))
 
 
-@query("""SELECT doc_id AS id, i AS at, w[i:i+2] AS gram FROM (SELECT doc_id, string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')) - 1)) AS i FROM documents WHERE n_chars < 400) t""")
-def w6_token_windows(spark, sf):
-    m = T.memories(spark, sf).where("size < 400").select("id", F.split("content", " ").alias("w")).where("size(w) >= 3")
-    at = m.select("id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 2)).alias("at"))
-    return at.select("id", F.col("at").cast("bigint").alias("at"), F.slice("w", F.col("at"), F.lit(3)).alias("gram"))
-
-
 @query()
 def w6_window_hashes(spark, sf):
     m = T.memories(spark, sf).select("id", S.tokens(F.col("content")).alias("t"))
