@@ -151,3 +151,8 @@ def ignored_command(signature: Column, names: list[str]) -> Column:
     for name in names:
         out = out | (signature == name) | F.startswith(signature, F.lit(name + " "))
     return out
+
+
+def wildcard(q: str) -> str:
+    """A query without any syntax of its own matches anywhere."""
+    return q if any(c in q for c in '*?:+-"~^()') else f"*{q}*"
