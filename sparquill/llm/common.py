@@ -93,7 +93,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of byte strings, remembered up to a bound."""
 
-    BOUND = 300_000
+    BOUND = 600_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
