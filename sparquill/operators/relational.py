@@ -65,10 +65,26 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, gap: int) -> DataFra
     return runs.groupBy(*keys, "_island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_island")
 
 
+def regions(df: DataFrame, keys: Sequence[str], a: str, b: str, gap: int) -> DataFrame:
+    """Islands in two dimensions, by the order of a and b: a region goes on while a moves by at most `gap` and b by 0 to `gap`."""
+    w = Window.partitionBy(*keys).orderBy(a, b)
+    near = (F.col(a) - F.lag(a).over(w) <= gap) & (F.col(b) - F.lag(b).over(w)).between(0, gap)
+    runs = df.withColumn("_new", F.when(near, 0).otherwise(1)).withColumn("_region", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = [g(c).alias(f"{c}_{e}") for c in (a, b) for g, e in ((F.min, "from"), (F.max, "to"))]
+    return runs.groupBy(*keys, "_region").agg(*ends, F.count("*").alias("n")).drop("_region")
+
+
 def within_budget(df: DataFrame, keys: Sequence[str], rank: Sequence[Column | str], cost: str, budget: int) -> DataFrame:
-    """Rows in rank order until one exceeds the budget; the first is always kept, and nothing after the first refusal."""
+    """Rows in rank order until one exceeds the budget; the first is always kept, and nothing after the first refusal.
+
+    Costs are not negative. A row before which its own partition alone spends more can't be kept or be the first refusal,
+    so each partition gives at most what fits the budget and one row more, and few keys are no bottleneck.
+    """
+    paid = F.coalesce(F.col(cost), F.lit(0))
+    part = Window.partitionBy(*keys, "_part").orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)
+    few = df.withColumn("_part", F.spark_partition_id()).withColumn("_spent", F.sum(paid).over(part)).where(F.col("_spent") - paid <= budget).drop("_part", "_spent")
     w = Window.partitionBy(*keys).orderBy(*rank)
-    run = df.withColumn("spent", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("position", F.row_number().over(w))
+    run = few.withColumn("spent", F.sum(paid).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("position", F.row_number().over(w))
     return run.where((F.col("position") == 1) | (F.col("spent") <= budget))
 
 

@@ -27,10 +27,11 @@ def x2_edge_grams(spark, sf):
     return p.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
-@query("""SELECT DISTINCT p_partkey AS id, lower(p_name)[i:i + 2] AS gram FROM part, range(1, 60) r(i) WHERE length(p_name) >= i + 2""")
+@query("""SELECT DISTINCT p_partkey AS id, lower(p_name)[i:i + k - 1] AS gram FROM part, range(3, 9) n(k), range(1, (SELECT max(length(p_name)) + 1 FROM part)) r(i) WHERE length(p_name) >= i + k - 1""")
 def x3_substring_grams(spark, sf):
     p = T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("n")).where("length(n) >= 3")
-    grams = F.transform(F.sequence(F.lit(1), F.length("n") - 2), lambda i: F.substring(F.col("n"), i, F.lit(3)))
+    of_length = lambda k: F.transform(F.sequence(F.lit(1), F.length("n") - k + 1), lambda i: F.substring(F.col("n"), i, k))
+    grams = F.flatten(F.transform(F.sequence(F.lit(3), F.least(F.lit(8), F.length("n"))), of_length))
     return p.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
 
 

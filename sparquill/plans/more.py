@@ -55,11 +55,16 @@ def p25_agent_signals(spark, sf):
     return t.select("session", "prompts", F.col("last.seq").alias("last_seq"), (F.col("last.role") == "user").alias("waiting"))
 
 
-@query(f"SELECT session, CAST(sum(tokens) FILTER (k < 50) AS BIGINT) AS recent, CAST(sum(tokens + k + floor(0.1 * tokens) + floor(1.25 * k)) AS BIGINT) AS weighted FROM {EVENTS} GROUP BY session")
+@query(f"""SELECT session, CAST(sum(w) FILTER (ts_us // 86400000000 = now // 86400000000) AS BIGINT) AS today, CAST(sum(w) FILTER (ts_us > now - 18000000000) AS BIGINT) AS last_5h, CAST(sum(w) AS BIGINT) AS weighted
+ FROM (SELECT session, ts_us, tokens + k + floor(0.1 * tokens) + floor(1.25 * k) AS w, max(ts_us) OVER () AS now FROM {EVENTS}) x GROUP BY session""")
 def a18_usage_windows(spark, sf):
+    """Today and the last five hours, up to the newest event."""
     e = T.events(spark, sf)
     weighted = F.col("tokens") + F.col("k") + F.floor(F.col("tokens") * F.lit(0.1)) + F.floor(F.col("k") * F.lit(1.25))
-    return e.groupBy("session").agg(F.sum(F.when(F.col("k") < 50, F.col("tokens"))).alias("recent"), F.sum(weighted).cast("bigint").alias("weighted"))
+    # one row
+    e = e.withColumn("w", weighted).join(F.broadcast(e.agg(F.max("ts_us").alias("now"))))
+    total = lambda c: F.sum(F.when(c, F.col("w"))).cast("bigint")
+    return e.groupBy("session").agg(total(F.expr("ts_us div 86400000000 = now div 86400000000")).alias("today"), total(F.expr("ts_us > now - 18000000000")).alias("last_5h"), F.sum("w").cast("bigint").alias("weighted"))
 
 
 @query("""WITH e AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey), m AS (SELECT a % 7 AS g, count(*) AS inside FROM e WHERE a % 7 = b % 7 GROUP BY 1),
@@ -84,10 +89,10 @@ def a27_filter_preview(spark, sf):
     return T.memories(spark, sf).groupBy(first.alias("pattern")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT count(*) AS calls, count(*) FILTER (n > 1) AS texts_repeated, CAST(sum((n - 1) * b) AS BIGINT) AS bytes_saved, CAST(sum(n * b) AS BIGINT) AS context_bytes FROM (SELECT md5(text) AS h, count(*) AS n, octet_length(encode(any_value(text))) AS b FROM documents GROUP BY 1) t""")
+@query("""SELECT CAST(sum(n) AS BIGINT) AS calls, CAST(sum(n - 1) AS BIGINT) AS pruned, count(*) FILTER (n > 1) AS texts_repeated, CAST(sum((n - 1) * b) AS BIGINT) AS bytes_saved, CAST(sum(b) AS BIGINT) AS context_bytes FROM (SELECT md5(text) AS h, count(*) AS n, octet_length(encode(any_value(text))) AS b FROM documents GROUP BY 1) t""")
 def a33_pruning_statistics(spark, sf):
     g = T.memories(spark, sf).groupBy(F.md5(F.col("content").cast("binary")).alias("h")).agg(F.count("*").alias("n"), F.max(F.octet_length("content")).cast("bigint").alias("b"))
-    return g.agg(F.count("*").alias("calls"), F.count_if(F.col("n") > 1).alias("texts_repeated"), F.sum((F.col("n") - 1) * F.col("b")).alias("bytes_saved"), F.sum(F.col("n") * F.col("b")).alias("context_bytes"))
+    return g.agg(F.sum("n").alias("calls"), F.sum(F.col("n") - 1).alias("pruned"), F.count_if(F.col("n") > 1).alias("texts_repeated"), F.sum((F.col("n") - 1) * F.col("b")).alias("bytes_saved"), F.sum("b").alias("context_bytes"))
 
 
 @query("""SELECT l.doc_id AS id, CASE WHEN d.doc_id IS NULL THEN 'corrupt' WHEN list_contains(['src1', 'src2'], d.source) THEN 'in-file' ELSE 'path' END AS orphan FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 0) d USING (doc_id)""")

@@ -59,6 +59,12 @@ def w8_interval_merge(spark, sf):
     return R.merge_intervals(T.symbols(spark, sf), ["file"], "start", "end")
 
 
+@query(f"""WITH s AS (SELECT *, lag("start") OVER w AS pa, lag("end") OVER w AS pb FROM {SYMBOLS} WINDOW w AS (PARTITION BY file ORDER BY "start", "end")), m AS (SELECT *, CASE WHEN "start" - pa <= 64 AND "end" - pb BETWEEN 0 AND 64 THEN 0 ELSE 1 END AS new FROM s),
+ i AS (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT file, min("start") AS start_from, max("start") AS start_to, min("end") AS end_from, max("end") AS end_to, count(*) AS n FROM i GROUP BY file, k""")
+def w7_regions(spark, sf):
+    return R.regions(T.symbols(spark, sf), ["file"], "start", "end", 64)
+
+
 @query("""SELECT category, id FROM (SELECT lang AS category, doc_id AS id, n_chars, sum(n_chars) OVER w AS spent, row_number() OVER w AS rn FROM documents WINDOW w AS (PARTITION BY lang ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING)) t WHERE rn = 1 OR spent <= 20000""")
 def w10_running_budget(spark, sf):
     return R.within_budget(T.memories(spark, sf), ["category"], ["size", "id"], "size", 20000).select("category", "id")
@@ -87,13 +93,17 @@ def w14_repeat_output(spark, sf):
     return m.select("id", F.lag("id").over(w).alias("earlier")).where("earlier is not null and id - earlier <= 5000")
 
 
-@query(f"""SELECT id, earlier_reads FROM (SELECT id, name, count(*) FILTER (name = 'view') OVER (PARTITION BY session ORDER BY ts_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_reads FROM {EVENTS}) t WHERE name = 'purchase'""")
+@query(f"""SELECT id, earlier_reads FROM (SELECT id, name, count(*) FILTER (name = 'view') OVER (PARTITION BY session, k ORDER BY ts_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_reads FROM {EVENTS}) t WHERE name = 'purchase'""")
 def w15_superseded_reads(spark, sf):
-    w = Window.partitionBy("session").orderBy("ts_us", "id").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("session", "k").orderBy("ts_us", "id").rowsBetween(Window.unboundedPreceding, -1)
     return T.events(spark, sf).withColumn("earlier_reads", F.count(F.when(F.col("name") == "view", 1)).over(w)).where("name = 'purchase'").select("id", "earlier_reads")
 
 
-@query(f"""SELECT id, session, r FROM (SELECT id, session, row_number() OVER (PARTITION BY session ORDER BY ts_us, id) - 1 AS r FROM {EVENTS}) t WHERE r BETWEEN 1 AND 10""")
+@query(f"""SELECT id, ts_us FROM (SELECT e.id, e.ts_us FROM {EVENTS} JOIN (SELECT user_id AS s, epoch_us(ts) AS t FROM events WHERE event_id = 77) a ON e.session = s AND e.ts_us >= t WHERE e.id = 77 OR e.kind IN ('read', 'outline', 'symbol') ORDER BY e.ts_us, e.id LIMIT 11) x WHERE id <> 77""")
 def w17_calls_after_anchor(spark, sf):
-    w = Window.partitionBy("session").orderBy("ts_us", "id")
-    return T.events(spark, sf).select("id", "session", (F.row_number().over(w) - 1).alias("r")).where("r between 1 and 10")
+    """Eleven rows from the anchor on, itself among them, and then without it."""
+    e = T.events(spark, sf)
+    anchor = e.where("id = 77").select(F.col("session").alias("s"), F.col("ts_us").alias("t"))
+    # the row of one id
+    after = e.join(F.broadcast(anchor), (F.col("session") == F.col("s")) & (F.col("ts_us") >= F.col("t"))).where((F.col("id") == 77) | F.col("kind").isin("read", "outline", "symbol"))
+    return R.top_k(after.select("id", "ts_us"), 11, "ts_us", "id").where("id <> 77")

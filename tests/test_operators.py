@@ -46,3 +46,17 @@ def test_glob():
     import re
 
     assert re.match(S.glob_to_regex("a*c").replace("\\Q", "").replace("\\E", ""), "abbc")
+
+
+def test_budget_stops_at_the_first_refusal_in_any_partition(spark):
+    rows = [("a", k, c) for k, c in enumerate([5, 100, 1, 1, 0, 2])] + [("b", k, 1) for k in range(40)]
+    want = [("a", 0)] + [("b", k) for k in range(10)]
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "g string, r int, c int").repartition(parts)
+        assert sorted((r["g"], r["r"]) for r in R.within_budget(df, ["g"], ["r"], "c", 10).collect()) == want
+
+
+def test_regions_break_in_either_dimension(spark):
+    df = spark.createDataFrame([("k", a, b) for a, b in ((1, 1), (3, 4), (4, 2), (5, 3), (20, 4))], "k string, a int, b int")
+    out = sorted((r["a_from"], r["a_to"], r["b_from"], r["b_to"], r["n"]) for r in R.regions(df, ["k"], "a", "b", 5).collect())
+    assert out == [(1, 3, 1, 4, 2), (4, 5, 2, 3, 2), (20, 20, 4, 4, 1)]
