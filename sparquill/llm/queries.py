@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, decontaminate, html_extract, ngram_join, packing, quality, suffix_dedup, syncmers, token_counts, toxicity
+from . import asof, chat_format, common, decontaminate, html_extract, ngram_join, packing, quality, suffix_dedup, syncmers, token_counts, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,7 +81,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_chat_format, op4_syncmer_fingerprints, op5_packing, op6_decontamination, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_quality)}
+DAY, HOUR = 86_400_000_000, 3_600_000_000
+
+
+def op13_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and the orders at most 72 hours before them; an odd checksum of the id floors a time to its day."""
+    odd = lambda c: F.crc32(F.col(c).cast("string")) % 2 == 1
+    placed = lambda c, ts: F.when(odd(c), F.floor(F.col(ts) / DAY) * DAY).otherwise(F.col(ts))
+    clicks = read(spark, sf_dir, "clicks").select(F.col("click_id").alias("id"), F.col("client_id").alias("client"), asof.micros("ts").alias("us"))
+    sales = read(spark, sf_dir, "sales").select("sale_id", F.col("client_id").alias("client"), "priority", F.floor(F.col("total") * 100 + 0.5).cast("bigint").alias("total_cents"), asof.micros("sold_at").alias("us"))
+    orders = sales.withColumn("at", placed("sale_id", "us")).drop("us")
+    twins = orders.where(F.crc32(F.col("sale_id").cast("string")) % 3 != 0).withColumns({"sale_id": -1 - F.col("sale_id"), "priority": 6 - F.col("priority")})
+    rank = [F.col("priority"), F.bitwise_not("sale_id")]  # the complement falls as the id rises
+    out = asof.asof_join(clicks.select("id", "client", placed("id", "us").alias("ts")), orders.unionByName(twins), 72 * HOUR, rank, ["sale_id", "total_cents"])
+    return out.select(F.col("id").alias("click_id"), F.col("client").alias("client_id"), F.col("ts").alias("ts_us"), "sale_id", (F.col("ts") - F.col("at")).alias("lag_us"), "total_cents", F.coalesce("n_tied", F.lit(0)).alias("n_tied"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_chat_format, op4_syncmer_fingerprints, op5_packing, op6_decontamination, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_quality, op13_asof_join)}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -96,6 +112,12 @@ def _shingles(table: str, key: str) -> str:
     return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {key}, {words} AS w FROM {table}) x WHERE len(w) > 0) y"
 
 
+def _crc32(digits: str) -> str:
+    """The unsigned CRC-32 of a text of ASCII signs: eight steps of the reflected polynomial for each sign."""
+    steps = "list_reduce(list_prepend(xor(c, b), CAST(range(8) AS UBIGINT[])), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), CAST(list_transform(string_split({digits}, ''), lambda s: ascii(s)) AS UBIGINT[])), lambda c, b: {steps}), 4294967295)"
+
+
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
     "op3_chat_format": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
@@ -107,4 +129,12 @@ SQL: dict[str, str] = {
  CAST(sum(length(body) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 11 ELSE 13 END) AS BIGINT) AS formatted_chars FROM e WHERE conv_id IS NOT NULL GROUP BY conv_id""",
     "op6_decontamination": f"""WITH d AS ({_shingles("documents", "doc_id")} UNION {_short_shingles("doc_id")}), b AS ({_shingles("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
  SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY ALL) s JOIN n USING (item_id) WHERE n_shared * 10 >= 8 * n_item""",
+    "op13_asof_join": f"""WITH c AS (SELECT DISTINCT click_id, client_id, CASE WHEN {_crc32("CAST(click_id AS VARCHAR)")} % 2 = 1 THEN epoch_us(ts) // 86400000000 * 86400000000 ELSE epoch_us(ts) END AS ts_us FROM clicks),
+ s AS (SELECT sale_id, client_id, priority, CAST(floor(total * 100 + 0.5) AS BIGINT) AS total_cents, {_crc32("CAST(sale_id AS VARCHAR)")} AS h, epoch_us(sold_at) AS us FROM sales),
+ a AS (SELECT * EXCLUDE (us), CASE WHEN h % 2 = 1 THEN us // 86400000000 * 86400000000 ELSE us END AS t0 FROM s),
+ o AS (SELECT sale_id, client_id, priority, total_cents, t0 FROM a UNION ALL SELECT -1 - sale_id, client_id, 6 - priority, total_cents, t0 FROM a WHERE h % 3 <> 0),
+ w AS (SELECT *, row_number() OVER (PARTITION BY client_id, t0 ORDER BY priority DESC NULLS LAST, sale_id NULLS LAST) AS rn, count(*) OVER (PARTITION BY client_id, t0) AS n_tied FROM o WHERE client_id IS NOT NULL AND t0 IS NOT NULL),
+ b AS (SELECT c.*, w.sale_id, w.total_cents, w.n_tied, w.t0 FROM c ASOF LEFT JOIN (SELECT * FROM w WHERE rn = 1) w ON c.client_id = w.client_id AND c.ts_us >= w.t0),
+ m AS (SELECT *, coalesce(ts_us - t0 <= 259200000000, false) AS near FROM b)
+ SELECT click_id, client_id, ts_us, CASE WHEN near THEN sale_id END AS sale_id, CASE WHEN near THEN ts_us - t0 END AS lag_us, CASE WHEN near THEN total_cents END AS total_cents, CASE WHEN near THEN n_tied ELSE 0 END AS n_tied FROM m""",
 }
