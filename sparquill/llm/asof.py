@@ -48,7 +48,7 @@ def best_of_time(orders: DataFrame, rank: Sequence[Column], carry: Sequence[str]
 
 def with_next(times: DataFrame, tolerance: int) -> DataFrame:
     """The rows (client, at distinct) and `next`, the client's next time; null where that is further away than the tolerance."""
-    top = tolerance.bit_length()
+    top = max(1, tolerance.bit_length())
     widths = [*range(top, 0, -STEP), 0]
     firsts = {0: times}
     for w in reversed(widths[:-1]):
@@ -70,12 +70,12 @@ def node_code(level: Column, node: Column) -> Column:
     return F.call_function("shiftleft", node * 2 + 1, level)
 
 
-def cover(start: Column, until: Column, depth: int) -> Column:
-    """(level, node) of the canonical nodes of [start, until), cut into leaves of 2**-depth of its length."""
+def cover(start: Column, until: Column, depth: int, bits: int) -> Column:
+    """(level, node) of the canonical nodes of [start, until), cut into leaves of 2**-depth of its length; a length has so many bits at most."""
     leaf = F.greatest(F.length(F.bin(until - start)) - 1 - depth, F.lit(0))
     low, high = shift(start, leaf), shift(until - 1, leaf) + 1
     found = []
-    for k in range(min(depth, 61) + 3):
+    for k in range(min(depth, bits) + 3):
         # what a step leaves: nodes a to b of this level, of which those without a sibling inside are taken
         a, b = shift(low + ((1 << k) - 1), k), shift(high, k) - 1
         found += [F.when((a <= b) & (a % 2 != 0), F.struct((leaf + k).alias("level"), a.alias("node")))]
@@ -93,11 +93,15 @@ def asof_join(events: DataFrame, orders: DataFrame, tolerance: int, rank: Sequen
     """Events (id, client, ts: bigint) with the best of the latest orders (client, at: bigint) at or before them.
 
     tolerance: how much earlier at most. rank: columns of the orders, the largest wins at equal times. carry: columns of the
-    orders that the result has, null where nothing matches, besides `at` and `n_tied`, the orders at the matched time.
+    orders that the result has, null where nothing matches, besides `at` and `n_tied`, the orders at the matched time; their
+    names are free but for these two and id, client and ts.
     """
     work = common.Workspace(events.sparkSession, "asof")
-    spans = work.table(intervals(orders.select("client", "at", *[r.alias(f"k{i}") for i, r in enumerate(rank)], *carry), tolerance, [F.col(f"k{i}") for i in range(len(rank))], carry), "spans")
-    nodes = spans.select("*", F.explode(cover(F.col("at"), F.col("until"), depth)).alias("n"))
+    held = {f"c{i}": c for i, c in enumerate(carry)}
+    keys = {f"k{i}": r for i, r in enumerate(rank)}
+    rows = orders.select("client", "at", *[r.alias(k) for k, r in keys.items()], *[F.col(f"`{c}`").alias(k) for k, c in held.items()])
+    spans = work.table(intervals(rows, tolerance, [F.col(k) for k in keys], list(held)), "spans")
+    nodes = spans.select("*", F.explode(cover(F.col("at"), F.col("until"), depth, (tolerance + 1).bit_length())).alias("n"))
     # the levels in use around a time; a node is never wider than such a block
     wide = tolerance.bit_length() + 1
     block = shift(F.call_function("shiftleft", F.col("n.node"), F.col("n.level")), wide)
@@ -105,8 +109,9 @@ def asof_join(events: DataFrame, orders: DataFrame, tolerance: int, rank: Sequen
     known = events.select("id", "client", "ts")
     met = known.where("client is not null and ts is not null").withColumn("block", shift(F.col("ts"), wide)).join(levels, ["client", "block"])
     ancestors = met.select("id", "client", "ts", F.explode("levels").alias("level")).select("id", "client", "ts", node_code(F.col("level"), shift(F.col("ts"), F.col("level"))).alias("code"))
-    valid = nodes.select("client", "at", "until", "n_tied", *carry, node_code(F.col("n.level"), F.col("n.node")).alias("code"))
-    matches = ancestors.join(valid, ["client", "code"]).where("at <= ts and ts < until").select("id", "client", "ts", "at", "n_tied", *carry)
+    valid = nodes.select("client", "at", "until", "n_tied", *held, node_code(F.col("n.level"), F.col("n.node")).alias("code"))
+    matches = ancestors.join(valid, ["client", "code"]).where("at <= ts and ts < until").select("id", "client", "ts", "at", "n_tied", *held)
     # an event's rows are itself and one match at most, so the largest of each column is the match
-    rows = known.unionByName(matches, allowMissingColumns=True)
-    return rows.groupBy("id", "client", "ts").agg(*[F.max(c).alias(c) for c in ("at", "n_tied", *carry)])
+    both = known.unionByName(matches, allowMissingColumns=True)
+    found = both.groupBy("id", "client", "ts").agg(*[F.max(c).alias(c) for c in ("at", "n_tied", *held)])
+    return found.select("id", "client", "ts", "at", "n_tied", *[F.col(k).alias(c) for k, c in held.items()])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import asof, chat_format, common, decontaminate, html_extract, ngram_join, packing, quality, suffix_dedup, syncmers, token_counts, toxicity
+from . import asof, centroids, chat_format, common, decontaminate, html_extract, ngram_join, packing, quality, suffix_dedup, syncmers, token_counts, token_files, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,6 +81,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, at = centroids.cluster(read(spark, sf_dir, "embeddings"), k=40, rounds=5, dimensions=64, scale=256, seed="2:")
+    return centroids.with_inertia(assigned, at).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{common.shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    token_files.write_manifest(token_files.write(read(spark, sf_dir, "documents"), folder, "word_bpe_49k.json", 2), folder, "word_bpe_49k.json", 2)
+    return token_files.read(spark, folder, token_files.crc32, "bigint").withColumnRenamed("value", "ids_crc32")
+
+
 DAY, HOUR = 86_400_000_000, 3_600_000_000
 
 
@@ -97,7 +108,7 @@ def op13_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("click_id"), F.col("client").alias("client_id"), F.col("ts").alias("ts_us"), "sale_id", (F.col("ts") - F.col("at")).alias("lag_us"), "total_cents", F.coalesce("n_tied", F.lit(0)).alias("n_tied"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_chat_format, op4_syncmer_fingerprints, op5_packing, op6_decontamination, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_quality, op13_asof_join)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_chat_format, op4_syncmer_fingerprints, op5_packing, op6_decontamination, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_quality, op11_centroid_clustering, op12_token_files, op13_asof_join)}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -84,6 +84,40 @@ class Words(dict):
         return ids
 
 
+class Apart(Words):
+    """Words of a tokenizer that drops all white space and cuts at it, and so encodes them apart. A word of signs that are
+    their own normal form is cut by the file's pattern; words of plain letters have their own merge."""
+
+    PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+    def __init__(self, tokenizer, pattern: str, merge=None):
+        super().__init__(tokenizer, merge)
+        self.pieces, self.letters = regex.compile(pattern), merge
+
+    def of(self, word: str):
+        lower = word.lower() if word.isascii() else word
+        if self.letters and self.PLAIN.fullmatch(lower):
+            return self.pack(self.letters(lower))
+        if word.isascii():
+            pieces = self.pieces.findall(lower)
+            if len(pieces) > 1:
+                return self.join([self[p] for p in pieces])
+        elif word[-1] in ENDS and word[:-1].isalpha():
+            return self.join([self[word[:-1]], self[word[-1]]])
+        return self.encode(word)
+
+    def __missing__(self, word: str):
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self.of(word)
+        if len(word) <= 48:
+            if len(self) >= self.BOUND:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Lengths(Words):
     """Word to the number of its ids."""
 
@@ -93,6 +127,81 @@ class Lengths(Words):
         return len(ids)
 
 
+class ApartLengths(Apart, Lengths):
+    """The same for words that are encoded apart."""
+
+
+#: Signs that Python counts as white space and the tokenizers' patterns don't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def drops_blanks(said: dict) -> bool:
+    """Whether a tokenizer file describes words that white space keeps apart: it is dropped, and nothing joins across it."""
+    normal, pre = said.get("normalizer") or {}, said.get("pre_tokenizer") or {}
+    steps, cuts = normal.get("normalizers", [normal] * bool(normal)), pre.get("pretokenizers", [pre])
+    plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"].get("Regex") == r"\s+" for n in steps)
+    first = cuts[0] if cuts else {}
+    pattern = first.get("pattern", {}).get("Regex", r"\s")
+    # alternatives of letters, signs and classes none of which takes white space
+    closed = re.fullmatch(r"(?:'[a-z]+\||\[\\p\{[LN]\}\]\+?\||\[\^\\s\\p\{L\}\\p\{N\}\]\+)+", pattern)
+    rest = all(c["type"] == "ByteLevel" and not c.get("add_prefix_space") and not c.get("use_regex", True) for c in cuts[1:])
+    return bool(plain and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and closed and rest)
+
+
+def merged(symbols: list[str], ranks: dict) -> list[str]:
+    """Symbols after all merges, the pair of least rank first: the plain way."""
+    while len(symbols) > 1:
+        rank, k = min((ranks.get(p, 1 << 60), k) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+        if rank == 1 << 60:
+            break
+        symbols = [*symbols[:k], symbols[k] + symbols[k + 1], *symbols[k + 2 :]]
+    return symbols
+
+
+def ended_merge(model: dict, tokenizer):
+    """A faster merge of single words of the letters a-z and U+00DF to U+00FF, where the last symbol of a word has a mark.
+
+    A byte that ends a word becomes a byte of its own, so a merge by ranks of byte strings applies. It gives the library's
+    ids where ids rise with the merges' ranks and every entry is what merging its own symbols gives; both are checked here,
+    by the library for entries that end a word and the plain way for others. None where that isn't so.
+    """
+    import tiktoken
+
+    mark, vocabulary = model.get("end_of_word_suffix"), model["vocab"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [vocabulary.get("".join(m), -1) for m in merges]
+    if not mark or any(a >= b for a, b in zip([-1, *ids], ids, strict=False)) or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    used = [*range(ord("a"), ord("z") + 1), 0xC3, *range(0x9F, 0xC0)]
+    inner = {SHOWN[b]: bytes([k]) for k, b in enumerate(used)}
+    final = {SHOWN[b]: bytes([k + 128]) for k, b in enumerate(used)}
+    own, ranks, order = {chr(v): k for k, v in SHOWN.items()}, {}, {m: k for k, m in enumerate(merges)}
+    for token, k in vocabulary.items():
+        ends = token.endswith(mark)
+        signs = [ord(c) for c in token.removesuffix(mark)]
+        if not signs or any(c not in inner for c in signs):
+            continue
+        if ends:
+            found = [t.id for t in tokenizer.model.tokenize("".join(map(chr, signs)))]
+        else:
+            found = [vocabulary[t] for t in merged([chr(c) for c in signs], order)]
+        if found != [k]:
+            return None
+        ranks[b"".join(inner[c] for c in signs[:-1]) + (final if ends else inner)[signs[-1]]] = k
+    if len(ranks) < 2 * len(used) or any(own[chr(c)] not in used for c in inner):
+        return None
+    low, high = bytes(inner[SHOWN[b]][0] if b in used else 255 for b in range(256)), {b: final[SHOWN[b]] for b in used}
+    # the rule needs a rank for every single byte; those that no word has come last
+    ranks |= {bytes([b]): len(vocabulary) + b for b in range(256) if bytes([b]) not in ranks}
+    piece = tiktoken.Encoding("file", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def merge(word: str) -> list[int]:
+        data = word.encode()
+        return piece(data[:-1].translate(low) + high[data[-1]])
+
+    return merge
+
+
 def ranked_merge(model: dict, tokenizer):
     """A faster merge of single pre-tokens (bytes to ids) with the ranks of the file; None unless it gives the library's ids.
 
@@ -132,11 +241,19 @@ class Encoder:
         said = json.loads(open(self.file, encoding="utf-8").read())
         pre = said.get("pre_tokenizer") or {}
         self.plain = not said.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and said["model"]["type"] == "BPE"
+        self.apart = not self.plain and drops_blanks(said)
         merge = ranked_merge(said["model"], t) if self.plain else None
-        self.words, self.lengths = Words(t, merge), Lengths(t, merge)
+        if self.apart:
+            pattern = said["pre_tokenizer"].get("pretokenizers", [said["pre_tokenizer"]])[0]["pattern"]["Regex"]
+            merge = ended_merge(said["model"], t)
+            self.words, self.lengths = Apart(t, pattern, merge), ApartLengths(t, pattern, merge)
+        else:
+            self.words, self.lengths = Words(t, merge), Lengths(t, merge)
 
     def cut(self, text: str) -> list[str] | None:
         """The words of a text whose blanks all stand alone; None where it has to go through the library as one piece."""
+        if self.apart:
+            return None if self.special.search(text) or SEPARATORS.search(text) else text.split()
         if not self.plain or self.special.search(text) is not None:
             return None
         # printable signs hold no blank but " ", and not the mark
