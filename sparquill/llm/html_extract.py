@@ -25,24 +25,48 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A quoted value counts where what follows it can follow a value; any other quote is an ordinary sign, so one that is never
-#: closed ends with its tag. The number of steps in a tag is bounded, and a longer one ends at its first ">".
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[\"']){0,1000}+(?=>)|[^>]*)>", re.S)
+#: What a "<" may start: comments, sections and declarations whole, of tags the name alone.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose inside is no page text, void elements, inline elements.
-SKIPPED = frozenset("script style noscript template svg iframe object canvas select textarea button head title math audio video".split())
+SKIPPED = frozenset("script style noscript template svg iframe object canvas select textarea button head title audio video".split())
+#: Those of them that stand within a line of text, and don't end its block.
+WITHIN = frozenset("svg iframe object canvas select textarea button audio video".split())
 RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover q s samp semantics small span strike strong sub sup time tt u var".split())
 #: An opening tag that ends an open element of the named ones.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
 WORD = re.compile(r"[a-z]+")
 #: Words of class, id and role that speak against and for content.
 AGAINST = frozenset("nav navigation navbar menu header masthead topbar footer sidebar side aside ad ads adv advert advertisement adsense banner promo sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay comment comments reply replies respond discussion disqus share sharing social related recommended breadcrumb breadcrumbs form login signup subscribe subscription newsletter widget copyright legal pagination pager tags toolbar search hidden contentinfo complementary".split())
+#: Words that name the place or kind of a block and speak for neither.
+PLAIN = frozenset("a all area author bar block body bottom box btn button buttons card center class column container contact count cta details end entry feed field footer form group head heading icon icons id info inner input item items label layout left level line link links list listing local logo main map meta mobile module more name new news outer page pages pane panel part popular post posts primary reader readers row section secondary set site size slot small span sticky sub support switch tab tabs text thread title to toggle tool top tree unit up user users view wide wrap wrapper zone".split())
 FOR = frozenset("article content main post entry story body text prose hentry".split())
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "body", "html", "dl")
 COMMENTS = frozenset("comment comments reply replies respond discussion disqus".split())
+#: Words that say enough whatever stands beside them.
+SURE = frozenset("navbar navigation sidebar topbar masthead adsense advert advertisement breadcrumb breadcrumbs disqus gdpr newsletter sponsored contentinfo complementary pagination".split())
+
+
+def said(value: str) -> frozenset:
+    """What the words of class, id and role say: "against", "comments", "for", or "hint" for a word of AGAINST that others
+    with a meaning of their own stand beside, as in notice-of-award."""
+    out = set()
+    for name in value.lower().split():
+        words = set(WORD.findall(name))
+        if words & AGAINST:
+            if words <= AGAINST | FOR | PLAIN or words & SURE:
+                out.add("against")
+                if words & COMMENTS:
+                    out.add("comments")
+            else:
+                out.add("hint")
+        if words & FOR:
+            out.add("for")
+    return frozenset(out)
 
 
 class Node:
@@ -51,15 +75,40 @@ class Node:
     def __init__(self, parent: int, tag: str, words: frozenset, at: int = -1):
         self.parent, self.tag, self.at, self.text, self.linked, self.label = parent, tag, at, None, 0, 0
         # a tag speaks for itself only where no word of its class speaks against it
-        self.features = ["tag=marked" if words & AGAINST else f"tag={tag}" if tag in TAGS else "tag=other"]
-        if words:
-            self.features += [k for k, s in (("against", AGAINST), ("comments", COMMENTS), ("for", FOR)) if words & s]
+        self.features = ["tag=marked" if "against" in words else f"tag={tag}" if tag in TAGS else "tag=other", *sorted(words)]
+
+
+class Tags:
+    """Where tags end. A quoted value counts where what follows it can follow a value; any other quote is an ordinary sign,
+    and a tag that no ">" outside of values ends goes to its first ">". What follows a place outside of values is the same
+    for every tag that comes by, so places known to lead to no end are remembered and each is passed once."""
+
+    def __init__(self, html: str):
+        self.html, self.lost = html, set()
+
+    def end(self, at: int) -> int:
+        html = self.html
+        first = html.find(">", at)
+        if first < 0 or (html.find('"', at, first) < 0 and html.find("'", at, first) < 0):
+            return first
+        passed = []
+        while (m := SPECIAL.search(html, at)) and m.start() not in self.lost:
+            at = m.start()
+            if html[at] == ">":
+                return at
+            passed.append(at)
+            close = html.find(html[at], at + 1)
+            at = close + 1 if close > 0 and (html[close + 1 : close + 2] or " ") in " \t\n\r\f\v/>" else at + 1
+        self.lost.update(passed)
+        return first
 
 
 def parse(html: str) -> list[Node]:
     """Block elements and runs of text in page order; a parent always comes before its children."""
     nodes = [Node(-1, "html", frozenset())]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, and their node or that of the block around them
+    opened: dict[str, list[int]] = {}  # where elements of a name stand in it
+    tags = Tags(html)
     pieces: list[tuple[str, bool]] = []
     skip = links = 0
 
@@ -75,20 +124,21 @@ def parse(html: str) -> list[Node]:
     def pop() -> None:
         nonlocal skip, links
         tag, _ = stack[-1]
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in WITHIN and (not skip or tag in SKIPPED):
             flush()
         stack.pop()
+        opened[tag].pop()
         skip -= tag in SKIPPED
         links -= tag == "a"
 
-    def close(tags: set | frozenset, stops: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                while len(stack) > k:
-                    pop()
-                return
-            if stack[k][0] in stops:
-                return
+    def last_of(names: set | frozenset) -> int:
+        return max((opened[t][-1] for t in names if opened.get(t)), default=0)
+
+    def close(names: set | frozenset, stops: frozenset) -> None:
+        k = last_of(names)
+        if k > last_of(stops):
+            while len(stack) > k:
+                pop()
 
     at, end, last = 0, len(html), html.rfind(">")
     closing: dict[str, int] = {}  # where the last closing tag of a name is
@@ -100,15 +150,20 @@ def parse(html: str) -> list[Node]:
 
     while at < end:
         # a comment needs no ">" to end, everything else does
-        m = TOKEN.search(html, at) if at <= last or html.find("<!--", at) >= 0 or html.find("<![CDATA[", at) >= 0 else None
+        m = MARKUP.search(html, at) if at <= last or html.find("<!--", at) >= 0 or html.find("<![CDATA[", at) >= 0 else None
+        if m and m[2] is not None and (close_at := tags.end(m.end())) < 0:
+            m = MARKUP.search(html, m.end()) if html.find("<!--", at) >= 0 or html.find("<![CDATA[", at) >= 0 else None
+            while m and m[2] is not None:
+                m = MARKUP.search(html, m.end())
         start = m.start() if m else end
         if start > at and not skip:
             pieces.append((html[at:start], links > 0))
         if not m:
             break
-        at = m.end()
         if m[2] is None:
+            at = m.end()
             continue
+        inside, at = html[m.end() : close_at], close_at + 1
         tag = m[2].lower()
         if m[1]:
             if tag == "br" and not skip:
@@ -138,17 +193,20 @@ def parse(html: str) -> list[Node]:
             at = stop.end() if stop else end
             continue
         block = stack[-1][1]
-        if tag not in INLINE:
+        if tag in WITHIN and not skip:
+            pieces.append((" ", links > 0))
+        if tag not in INLINE and tag not in WITHIN and not skip:
             flush()
-            if tag not in SKIPPED and not skip:
-                said = " ".join(b or c or d for a, b, c, d in ATTRIBUTE.findall(m[3]) if a.lower() in ("class", "id", "role", "itemprop")) if m[3] else ""
-                words = set(WORD.findall(said.lower()))
-                if m[3] and re.search(r"display\s*:\s*none|\bhidden\b|aria-hidden\s*=\s*[\"']?true", m[3], re.I):
-                    words.add("hidden")
-                nodes.append(Node(block, tag, frozenset(words), len(nodes)))
+            if tag not in SKIPPED:
+                named = " ".join(b or c or d for a, b, c, d in ATTRIBUTE.findall(inside) if a.lower() in ("class", "id", "role", "itemprop")) if inside else ""
+                words = said(named)
+                if inside and re.search(r"display\s*:\s*none|\bhidden\b|aria-hidden\s*=\s*[\"']?true", inside, re.I):
+                    words |= {"against"}
+                nodes.append(Node(block, tag, words, len(nodes)))
                 block = len(nodes) - 1
-        if m[3].endswith("/") and tag in INLINE:
+        if inside.endswith("/") and tag in INLINE:
             continue
+        opened.setdefault(tag, []).append(len(stack))
         stack.append((tag, block))
         skip += tag in SKIPPED
         links += tag == "a"
@@ -228,7 +286,8 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[str]:
         name = lambda *x: rng.choice(x)
         nav = name(f"<nav><ul>{links(rng.randint(3, 8))}</ul></nav>", f'<div class="{name("menu", "navbar", "top-nav")}"><ul>{links(5)}</ul></div>')
         head = name("", f"<header><h1>{text(1, 3)}</h1><p>{text(3, 8)}</p></header>", f'<div id="header"><a href="/">{text(1, 2)}</a><p>{text(3, 9)}</p></div>')
-        ad = name("", f'<div class="{name("ad", "ads banner", "sponsored", "promo")}">{text(3, 25)}</div>')
+        side_note = f'<div class="{name("promo-autumn", "ad-partner", "share-this", "cookie-hinweis")}">{text(3, 12)}</div>' if pick() < 0.2 else ""
+        ad = side_note + name("", f'<div class="{name("ad", "ads banner", "sponsored", "promo")}">{text(3, 25)}</div>')
         note = name("", f'<div class="{name("cookie-notice", "alert", "consent")}"><p>{text(6, 20)}</p></div>')
         side = name("", f"<aside><h3>{text(1, 3)}</h3><p>{text(5, 40)}</p><ul>{links(4)}</ul></aside>", f'<div class="{name("sidebar", "widget", "related")}"><h2>{text(1, 3)}</h2><ul>{links(5)}</ul><p>{text(4, 30)}</p></div>')
         form = name("", f'<form action="/s"><label>{text(1, 3)}</label><input name="q"><p>{text(3, 12)}</p></form>', f'<div class="{name("newsletter", "login")}"><form><p>{text(4, 15)}</p></form></div>')
@@ -237,10 +296,15 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[str]:
             blocks += [f"<p>{keep(1, 4)}</p>" for _ in range(rng.randint(5, 60))]
         if pick() < 0.3:
             blocks.insert(rng.randint(0, len(blocks)), f'<div class="{name("ad", "promo", "share", "related", "newsletter")}"><p>{text(3, 30)}</p></div>')
+        if pick() < 0.15:
+            odd = name("notice-of-award", "comment-piece", "header-story", "alert-history", "related-work-study", "menu-of-the-day")
+            blocks.insert(rng.randint(0, len(blocks)), f'<{(t := name("section", "div"))} class="{odd}"><p>{keep(12, 90)}</p><p>{keep(12, 90)}</p></{t}>')
         inner = f"<h1>{keep(2, 12)}</h1>" + "".join(blocks)
         talk = name("", "", f'<{(t := name("section", "div"))} {name("class", "id")}="{name("comments", "comment-list", "disqus")}"><h3>{text(1, 2)}</h3>' + "".join(f'<{(u := name("div", "article", "li"))} class="comment"><p>{text(4, 60)}</p></{u}>' for _ in range(rng.randint(1, 5))) + f"</{t}>")
         inside = pick() < 0.3
         inner += talk if inside else ""
+        if pick() < 0.08:
+            inner = f'<article class="{name("comment-piece", "notice-story", "header-feature")}">{inner}</article>'
         main = name(f"<article>{inner}</article>", f"<main><article>{inner}</article></main>", f"<main>{inner}</main>", f'<div class="{name("content", "post-body", "entry", "story")}">{inner}</div>', f'<div id="main"><div class="text">{inner}</div></div>', f"<article>{inner}</article>", f"<div>{inner}</div>", inner)
         foot = name(f"<footer>&copy; {text(1, 3)} {text(4, 15)}</footer>", f'<div id="footer"><p>&copy; {text(3, 10)}</p><ul>{links(3)}</ul></div>')
         before, after = [nav, head, ad, note], [form, side, "" if inside else talk]
