@@ -3,12 +3,12 @@
 A character language model (trigrams over 28 symbols) is counted over all documents. A word that looks disguised (digits or
 signs among letters, a letter three times in a row, letters set apart by blanks or dots) becomes a lattice: each character
 may stand for itself or for the letters it is used to imitate, may repeat the one before it, or may be filler. The Viterbi
-path under the channel's costs and the language model is the restored word. Words and their first letters are then looked
-up in a table of evidence learnt from labelled rows; the strongest pieces of evidence make the score.
+path under the channel's costs and the language model is the restored word. The score is a logistic regression over the
+text's distinct words, restored ones among them, and their first 3 to 8 letters; it is fitted to labelled rows.
 
 Null texts count as empty and get the score of texts without evidence; rows without doc_id are left out, repeated rows
-each get their row, further columns are ignored, an empty table gives an empty result. Without labels the evidence is
-empty and every score is the prior.
+each get their row, further columns are ignored, an empty table gives an empty result. Without labels there are no weights
+and every score is the prior.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows the evidence is learnt from, at most; chosen by a hash of doc_id. Pieces of evidence kept.
-TRAIN_ROWS, EVIDENCE = 20_000, 50_000
-#: Log-likelihood a feature has to gain over the base rate.
-LEAST_GAIN = 9.0
+#: Labelled rows the weights are fitted to, at most; chosen by a hash of doc_id.
+TRAIN_ROWS = 20_000
+#: Toxic rows that have to hold a feature, and their least share of all that hold it.
+LEAST_ROWS, LEAST_SHARE = 3, 0.3
+#: Ridge penalty, steps of the fit, weight of a toxic row.
+RIDGE, STEPS, TOXIC_WEIGHT = 0.3, 300, 2.0
 SYMBOLS = 28
 OTHER = 27
 #: The letters a sign may stand for.
@@ -139,8 +141,8 @@ class Restorer:
 
 
 def features(words: set[str]) -> set[str]:
-    """Whole words, and their first 4 to 7 letters."""
-    return {"=" + w for w in words} | {w[:k] for w in words for k in (4, 5, 6, 7) if len(w) > k}
+    """Whole words, and their first 3 to 8 letters."""
+    return {"=" + w for w in words} | {w[:k] for w in words for k in range(3, 9) if len(w) > k}
 
 
 def count_evidence(trigrams: np.ndarray):
@@ -171,25 +173,39 @@ def hold_evidence(trigrams: np.ndarray, names: dict[str, int]):
     return run
 
 
-def decision_list(rows: list[tuple[int, list[int]]], n: int, base: float) -> dict[int, float]:
-    """Feature to probability: always the feature that explains most of what no earlier one covers."""
-    rows = sorted((y, tuple(h)) for y, h in rows if h)
-    label = np.repeat([y for y, _ in rows], [len(h) for _, h in rows]).astype(np.int64)
-    feature = np.fromiter((f for _, h in rows for f in h), np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(h) for _, h in rows])
-    chosen: dict[int, float] = {}
-    while len(feature):
-        toxic, other = np.bincount(feature[label == 1], minlength=n), np.bincount(feature[label == 0], minlength=n)
-        p = toxic / np.maximum(1, toxic + other)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(p > 0.6, toxic * np.log(p / base) + np.where(other > 0, other * np.log((1 - p) / (1 - base)), 0), 0)
-        k = int(gain.argmax())
-        if gain[k] < LEAST_GAIN:
-            break
-        chosen[k] = toxic[k] / (toxic[k] + other[k] + 1.0)
-        rest = ~np.isin(row, row[feature == k])
-        label, feature, row = label[rest], feature[rest], row[rest]
-    return chosen
+def logistic(rows: list[tuple[int, list[int]]], n: int) -> tuple[np.ndarray, float]:
+    """Weights of n features and an intercept by accelerated gradient steps on the penalised likelihood.
+
+    Plain array sums on purpose: threaded linear algebra can stall in a driver that has started Spark.
+    """
+    rows = sorted((y, tuple(h)) for y, h in rows)
+    y = np.array([y for y, _ in rows], float)
+    sizes = np.array([len(h) for _, h in rows])
+    if not len(rows) or not n:
+        return np.zeros(n), PRIOR
+    # the intercept is a feature that every row holds and that isn't penalised
+    feature = np.fromiter((f for _, h in rows for f in (*h, n)), np.int64, int(sizes.sum()) + len(rows))
+    row = np.repeat(np.arange(len(rows)), sizes + 1)
+    weight, ridge = np.where(y > 0, TOXIC_WEIGHT, 1.0), np.append(np.full(n, RIDGE), 0.0)
+    times = lambda v: np.bincount(row, weights=v[feature], minlength=len(rows))
+    back = lambda z: np.bincount(feature, weights=z[row], minlength=n + 1)
+    # the largest curvature, by power iteration on a matrix without negative entries
+    u, most = np.ones(n + 1), 1.0
+    for _ in range(30):
+        u = back(0.25 * weight * times(u))
+        most = float(np.sqrt((u * u).sum()))
+        u /= most
+    rate = 1 / (1.1 * most + RIDGE)
+    w = v = np.append(np.zeros(n), PRIOR)
+    t, last = 1.0, np.inf
+    for _ in range(STEPS):
+        z = times(v)
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        loss = float((weight * np.logaddexp(0, np.where(y > 0, -z, z))).sum() + (ridge * v * v).sum() / 2)
+        after = v - rate * (back(weight * (p - y)) + ridge * v)
+        t, before = (1.0, 1.0) if loss > last else ((1 + math.sqrt(1 + 4 * t * t)) / 2, t)  # too far: start again from here
+        v, w, last = after + (before - 1) / t * (after - w), after, loss
+    return w[:n], float(w[n])
 
 
 def train_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, *columns: str) -> DataFrame:
@@ -200,49 +216,55 @@ def train_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, *col
     return common.texts(docs).join(F.broadcast(picked), "doc_id").select("text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, keep: int = EVIDENCE) -> dict:
-    """Trigrams of all texts, and evidence from labelled ones: feature to probability."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
+    """Trigrams of all texts, and weights of features fitted to labelled ones.
+
+    What comes to the driver is counts of trigrams, the features that enough toxic rows of the sample hold, and for each row
+    of the sample which of these it holds.
+    """
     counted = common.texts(docs).select("text").mapInArrow(count_trigrams, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()
     trigrams = np.zeros(SYMBOLS**3, np.int64)
     for r in counted:
         trigrams[r["code"]] = r["n"]
     sample = train_sample(docs, labels, "toxic", rows)
     seen = sample.mapInArrow(count_evidence(trigrams), "feature string, toxic bigint, other bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    # evidence has to outweigh chance over a million features: its log-likelihood gain over the base rate
-    base = sample.agg(F.avg("label")).first()[0] or 0.5
-    base = min(max(base, 0.01), 0.99)
-    p = F.col("toxic") / (F.col("toxic") + F.col("other"))
-    gain = F.col("toxic") * F.log(p / base) + F.when(F.col("other") > 0, F.col("other") * F.log((1 - p) / (1 - base))).otherwise(0.0)
-    strong = seen.where(F.col("toxic") > 0).withColumn("gain", gain).where((F.col("gain") >= LEAST_GAIN) & (p > 0.5)).orderBy(F.desc("gain"), "feature").limit(keep)
-    kept = strong.collect()
+    kept = seen.where((F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("other")))).orderBy("feature").select("feature").collect()
     names = {r["feature"]: k for k, r in enumerate(kept)}
-    held = sample.mapInArrow(hold_evidence(trigrams, names), "label int, held array<int>").collect()
-    chosen = decision_list([(r["label"], r["held"]) for r in held], len(names), base)
-    every = list(names)
-    hints = {r["feature"]: r["toxic"] / (r["toxic"] + r["other"] + 1.0) for k, r in enumerate(kept) if k not in chosen}
-    return {"trigrams": trigrams, "evidence": {every[k]: float(p) for k, p in chosen.items()}, "hints": hints}
+    held = sample.mapInArrow(hold_evidence(trigrams, names), "label int, held array<int>").collect() if names else []
+    w, b = logistic([(r["label"], r["held"]) for r in held], len(names))
+    return {"trigrams": trigrams, "weights": {f: float(w[k]) for f, k in names.items() if w[k]}, "intercept": b}
 
 
-#: Log-odds of a text without evidence.
+#: Log-odds of a text where nothing was learnt.
 PRIOR = -2.5
 
 
-def score(restorer: Restorer, model: dict, text: str) -> float:
-    """All pieces of evidence add up; where there are none, a hint can only order the texts below one half."""
-    held = features(restorer.words(text))
-    found = sorted((model["evidence"][f] for f in held if f in model["evidence"]), reverse=True)
-    hint = max((model["hints"][f] for f in held if f in model["hints"]), default=0.0)
-    z = PRIOR + (sum(math.log(p / (1 - p)) + 2.0 for p in found) if found else min(2.0, 2 * hint))
-    return 1 / (1 + math.exp(-min(z, 500.0)))
+class Scorer:
+    """Scores texts; what the model knows of a word is remembered, up to a bound."""
+
+    def __init__(self, model: dict):
+        self.restorer, self.weights, self.intercept, self.known = Restorer(model["trigrams"]), model["weights"], model["intercept"], {}
+
+    def of(self, word: str) -> tuple:
+        if (known := self.known.get(word)) is None:
+            known = tuple(f for f in features({word}) if f in self.weights)
+            if len(self.known) < Restorer.BOUND and len(word) <= 64:
+                self.known[word] = known
+        return known
+
+    def score(self, text: str) -> float:
+        held = {f for w in self.restorer.words(text) for f in self.of(w)}
+        z = self.intercept + sum(self.weights[f] for f in sorted(held))
+        return 1 / (1 + math.exp(-max(-500.0, min(z, 500.0))))
 
 
 def score_texts(model: dict):
     """mapInArrow function: text to score."""
 
     def run(it):
-        restorer = Restorer(model["trigrams"])
+        scorer = Scorer(model)
         for b in common.slices(it):
-            s = [score(restorer, model, x) for x in b.column(1).to_pylist()]
+            s = [scorer.score(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     return run
@@ -257,9 +279,9 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFram
     """The rows of docs, all columns, whose text scores below the threshold."""
 
     def run(it):
-        restorer = Restorer(model["trigrams"])
+        scorer = Scorer(model)
         for b in common.slices(it):
             at = b.schema.get_field_index("text")
-            yield b.filter(pa.array([score(restorer, model, x or "") < threshold for x in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([scorer.score(x or "") < threshold for x in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
