@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is set a local session makes a temporary one; a cluster has to name it."""
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="sparquill-")
         spark.conf.set("spark.checkpoint.dir", path)

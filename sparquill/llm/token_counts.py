@@ -51,17 +51,34 @@ def encode_lengths(name: str, where: str | None, version: str):
     return run
 
 
-def count_tokens(docs: DataFrame, cache: CountCache, tokenizer: str = "byte_bpe_50k.json", where: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens of every document, counts from the cache where it has them."""
-    version = tokenizing.version(tokenizer, where)
-    work = common.Workspace(docs.sparkSession, "token-counts")
-    rows = common.texts(docs).withColumn("content_sha256", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+def digested(docs: DataFrame) -> DataFrame:
+    return common.texts(docs).withColumn("content_sha256", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+
+
+def encode_misses(work: common.Workspace, rows: DataFrame, known: DataFrame, cache: CountCache, tokenizer: str, where: str | None, version: str) -> DataFrame:
+    """Counts of the digests that have none, appended to the cache and returned."""
     # one text for each digest: copies meet before the shuffle, so a hot text costs one row a task
     distinct = rows.groupBy("content_sha256").agg(F.first("text").alias("text"))
-    known = work.table(cache.stored(version), "known") if cache.exists() else cache.stored(version)
     misses = distinct.join(known.select("content_sha256"), "content_sha256", "left_anti").select("content_sha256", "text")
     fresh = work.table(misses.mapInArrow(encode_lengths(tokenizer, where, version), CACHE), "fresh")
     cache.append(fresh)
+    return fresh
+
+
+def store_counts(docs: DataFrame, cache: CountCache, tokenizer: str = "byte_bpe_50k.json", where: str | None = None) -> None:
+    """Fill the cache with the counts of these documents."""
+    version = tokenizing.version(tokenizer, where)
+    work = common.Workspace(docs.sparkSession, "token-counts")
+    work.drop(encode_misses(work, digested(docs), cache.stored(version), cache, tokenizer, where, version))
+
+
+def count_tokens(docs: DataFrame, cache: CountCache, tokenizer: str = "byte_bpe_50k.json", where: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens of every document, counts from the cache where it has them."""
+    version = tokenizing.version(tokenizer, where)
+    work = common.Workspace(docs.sparkSession, "token-counts")
+    rows = digested(docs)
+    known = work.table(cache.stored(version), "known") if cache.exists() else cache.stored(version)
+    fresh = encode_misses(work, rows, known, cache, tokenizer, where, version)
     light = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "content_sha256")
     # written, so that the join has nothing but exchanges below it and a digest that many rows hold can be split at run time
     needed = known.join(light.select("content_sha256").distinct(), "content_sha256", "left_semi").select("content_sha256", "n_tokens")
