@@ -20,6 +20,24 @@ def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """The rows with their place (from 0) under an order without ties.
+
+    Ranges of the order are dealt out and count their own rows; the driver adds up one number for each range.
+    """
+    checkpoints(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", at).checkpoint()
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before, total = [], 0
+    for r in sorted(dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        before.append((r["p"], total))
+        total += r["n"]
+    offsets = df.sparkSession.createDataFrame(before, "_part bigint, _before bigint")
+    return dealt.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + within).drop("_part", "_before", "_at")
+
+
 def latest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key under the order, by a row number that is computed on the shuffled partition."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -31,12 +49,19 @@ def replace_where(old: DataFrame, new: DataFrame, gone: Column) -> DataFrame:
     return old.where(~F.coalesce(gone, F.lit(False))).unionByName(new)
 
 
-def last_write_wins(local: DataFrame, incoming: DataFrame, key: str, version: str, values: Sequence[str]) -> DataFrame:
-    """One row for each key of either side, values from the newer version; the local one wins a tie."""
+def last_write_wins(local: DataFrame, incoming: DataFrame, key: str, version: str, values: Sequence[str], sticky: tuple[str, str] | None = None) -> DataFrame:
+    """One row for each key of either side, values from the newer version; the local one wins a tie.
+
+    sticky: an array column and an entry of it that stays once either side has it.
+    """
     a, b = local.alias("a"), incoming.alias("b")
-    newer = F.col(f"a.{version}").isNull() | (F.col(f"b.{version}") > F.col(f"a.{version}"))
-    pick = [F.when(newer, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in (version, *values)]
-    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *pick)
+    newer = F.col(f"a.{key}").isNull() | F.coalesce(F.col(f"b.{version}") > F.col(f"a.{version}"), F.lit(False))
+    picked = {c: F.when(newer, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")) for c in (version, *values)}
+    if sticky:
+        column, entry = sticky
+        either = F.coalesce(F.array_contains(f"a.{column}", entry), F.lit(False)) | F.coalesce(F.array_contains(f"b.{column}", entry), F.lit(False))
+        picked[column] = F.when(either, F.array_union(F.coalesce(picked[column], F.array().cast("array<string>")), F.array(F.lit(entry)))).otherwise(picked[column])
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *[c.alias(n) for n, c in picked.items()])
 
 
 def densest_window(df: DataFrame, keys: Sequence[str], at: str, span: int, least: int) -> DataFrame:

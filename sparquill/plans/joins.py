@@ -37,12 +37,6 @@ def j5_defining_files(spark, sf):
     return T.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("name")).agg(F.sort_array(F.collect_set("l_suppkey")).alias("files")).where("size(files) <= 3")
 
 
-@query("SELECT p_partkey AS symbol FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)")
-def j6_unreferenced(spark, sf):
-    p = T.table(spark, sf, "part").select(F.col("p_partkey").alias("symbol"))
-    return p.join(T.edges(spark, sf).where("w >= 49").select(F.col("src").alias("symbol")), "symbol", "left_anti")
-
-
 @query("""WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM documents) SELECT p_partkey AS id FROM part WHERE lower(string_split(p_name, ' ')[1]) NOT IN (SELECT word FROM w)""")
 def j7_name_occurs_nowhere(spark, sf):
     words = T.memories(spark, sf).select(F.explode(F.split(F.lower("content"), " ")).alias("word")).distinct()
@@ -91,22 +85,6 @@ def j15_nearest_mutation(spark, sf):
     return t.where("role = 'user'").select("session", "seq", "before", "after")
 
 
-@query("""SELECT id, side FROM (SELECT doc_id AS id, 'removed' AS side FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0 UNION ALL SELECT doc_id, 'added' FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 <> 0) t""")
-def j17_entry_diff(spark, sf):
-    ids = T.memories(spark, sf).select("id")
-    old, new = ids.where("id % 3 = 0"), ids.where("id % 4 = 0")
-    return old.join(new, "id", "left_anti").withColumn("side", F.lit("removed")).unionByName(new.join(old, "id", "left_anti").withColumn("side", F.lit("added")))
-
-
-@query("""SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.source, b.source) AS source, CASE WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'dissolved' WHEN a.n <> b.n THEN 'changed' ELSE 'kept' END AS state
- FROM (SELECT lang, source, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL) a FULL OUTER JOIN (SELECT lang, source, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL) b ON a.lang = b.lang AND a.source = b.source""")
-def j18_lineage_diff(spark, sf):
-    m = T.memories(spark, sf)
-    of = lambda k, c: m.where(f"id % 2 = {k}").groupBy(F.col("category").alias("lang"), "source").agg(F.count("*").alias(c))
-    state = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "dissolved").when(F.col("a") != F.col("b"), "changed").otherwise("kept")
-    return of(0, "a").join(of(1, "b"), ["lang", "source"], "full_outer").select("lang", "source", state.alias("state"))
-
-
 @query("""SELECT topic, ring, value FROM (SELECT topic, ring, value, row_number() OVER (PARTITION BY topic ORDER BY ring) AS rn FROM (
  SELECT c_custkey AS topic, 0 AS ring, c_mktsegment AS value FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 1, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 2, 'peer' FROM customer) u) t WHERE rn = 1""")
 def j19_nearest_ring(spark, sf):
@@ -124,22 +102,6 @@ def j20_entry_point_rules(spark, sf):
     return p.join(F.broadcast(rules), F.rlike("p_type", F.concat(F.lit("^"), "pattern", F.lit("$"))) & (p["p_size"] >= rules["least"])).select(F.col("p_partkey").alias("id"), "rule")
 
 
-@query("""SELECT coalesce(a.doc_id, b.doc_id) AS id, CASE WHEN a.doc_id IS NULL OR b.v > a.v THEN b.v ELSE a.v END AS version, CASE WHEN a.doc_id IS NULL OR b.v > a.v THEN 'incoming' ELSE 'local' END AS side
- FROM (SELECT doc_id, doc_id % 7 AS v FROM documents WHERE doc_id % 2 = 0) a FULL OUTER JOIN (SELECT doc_id, doc_id % 5 AS v FROM documents WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id""")
-def u4_last_write_wins(spark, sf):
-    ids = T.memories(spark, sf).select("id")
-    local = ids.where("id % 2 = 0").select("id", (F.col("id") % 7).alias("version"), F.lit("local").alias("side"))
-    incoming = ids.where("id % 3 = 0").select("id", (F.col("id") % 5).alias("version"), F.lit("incoming").alias("side"))
-    return R.last_write_wins(local, incoming, "id", "version", ["side"])
-
-
-@query(f"SELECT DISTINCT topic, created FROM {DECISIONS} WHERE seq % 2 = 0 OR topic % 3 = 0")
-def u5_version_union(spark, sf):
-    d = T.decisions(spark, sf)
-    a, b = d.where("seq % 2 = 0").select("topic", "created"), d.where("topic % 3 = 0").select("topic", "created")
-    return a.unionByName(b).distinct()
-
-
 @query("SELECT 'document' AS kind, doc_id AS id FROM documents WHERE contains(lower(text), 'stupid') UNION ALL SELECT 'page', page_id FROM pages WHERE contains(lower(html), 'stupid') UNION ALL SELECT 'turn', conv_id FROM conversations WHERE contains(lower(text), 'stupid')")
 def u1_cross_search(spark, sf):
     def hits(t, key, text, kind):
@@ -179,40 +141,3 @@ def r5_group_staleness(spark, sf):
 def r6_proposal_cleanup(spark, sf):
     e = T.events(spark, sf).where(~((F.col("name") == "signup") & (F.col("k") < 50)))
     return e.select("id", F.when((F.col("name") == "error") & (F.col("k") < 30), "expired").otherwise(F.col("name")).alias("status"))
-
-
-@query(f"SELECT id, CASE WHEN session = 5 THEN tokens + 1 ELSE tokens END AS tokens FROM {EVENTS}")
-def k4_touch(spark, sf):
-    return T.events(spark, sf).select("id", F.when(F.col("session") == 5, F.col("tokens") + 1).otherwise(F.col("tokens")).alias("tokens"))
-
-
-@query(f"SELECT topic, seq, coalesce(CASE WHEN seq % 4 = 0 THEN precedence END, last_value(CASE WHEN seq % 4 = 0 THEN precedence END IGNORE NULLS) OVER (PARTITION BY topic ORDER BY created, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS precedence FROM {DECISIONS}")
-def k7_precedence_carried(spark, sf):
-    asked = F.when(F.col("seq") % 4 == 0, F.col("precedence"))
-    w = Window.partitionBy("topic").orderBy("created", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return T.decisions(spark, sf).select("topic", "seq", F.coalesce(asked, F.last(asked, ignorenulls=True).over(w), F.lit(0)).alias("precedence"))
-
-
-@query(f"SELECT session AS task, arg_min(id, (ts_us, id)) AS claimed_by FROM {EVENTS} WHERE name = 'click' GROUP BY session")
-def k8_first_claim(spark, sf):
-    e = T.events(spark, sf).where("name = 'click'")
-    return e.groupBy(F.col("session").alias("task")).agg(F.min_by("id", F.struct("ts_us", "id")).alias("claimed_by"))
-
-
-@query(f"SELECT id, analyzer, severity FROM {FINDINGS} WHERE analyzer <> 'src3' UNION ALL SELECT id + 1000000, 'src3', 'info' FROM {FINDINGS} WHERE analyzer = 'src3' AND severity = 'warning'")
-def k11_replace_analyzer(spark, sf):
-    f = T.findings(spark, sf).select("id", "analyzer", "severity")
-    new = f.where("analyzer = 'src3' and severity = 'warning'").select((F.col("id") + 1_000_000).alias("id"), "analyzer", F.lit("info").alias("severity"))
-    return R.replace_where(f, new, F.col("analyzer") == "src3")
-
-
-@query(f"SELECT id, accepted OR severity = 'warning' AS accepted, severity = 'warning' AND NOT accepted AS changed FROM {FINDINGS}")
-def k15_accept_by_filter(spark, sf):
-    hit = F.col("severity") == "warning"
-    return T.findings(spark, sf).select("id", (F.col("accepted") | hit).alias("accepted"), (hit & ~F.col("accepted")).alias("changed"))
-
-
-@query("SELECT doc_id AS id, list_sort(list_distinct(list_filter(list_append([source, 'lang:' || lang], 'seen'), lambda x: x <> 'lang:en'))) AS tags FROM documents")
-def k16_tag_update(spark, sf):
-    m = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array("source", F.concat(F.lit("lang:"), "lang")).alias("tags"))
-    return m.select("id", F.sort_array(F.array_except(F.array_union("tags", F.array(F.lit("seen"))), F.array(F.lit("lang:en")))).alias("tags"))

@@ -95,13 +95,6 @@ def a33_pruning_statistics(spark, sf):
     return g.agg(F.sum("n").alias("calls"), F.sum(F.col("n") - 1).alias("pruned"), F.count_if(F.col("n") > 1).alias("texts_repeated"), F.sum((F.col("n") - 1) * F.col("b")).alias("bytes_saved"), F.sum("b").alias("context_bytes"))
 
 
-@query("""SELECT l.doc_id AS id, CASE WHEN d.doc_id IS NULL THEN 'corrupt' WHEN list_contains(['src1', 'src2'], d.source) THEN 'in-file' ELSE 'path' END AS orphan FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 0) d USING (doc_id)""")
-def j13_orphan_classes(spark, sf):
-    d = T.memories(spark, sf).where("id % 5 <> 0").select("id", "source", F.lit(True).alias("known"))
-    kind = F.when(F.col("known").isNull(), "corrupt").when(F.array_contains(F.array(F.lit("src1"), F.lit("src2")), F.col("source")), "in-file").otherwise("path")
-    return T.table(spark, sf, "labels").select(F.col("doc_id").alias("id")).join(d, "id", "left").select("id", kind.alias("orphan"))
-
-
 @query("""SELECT id, target FROM (SELECT p.p_partkey AS id, c.target, row_number() OVER (PARTITION BY p.p_partkey ORDER BY c.rank) AS rn FROM part p JOIN (SELECT s_name AS target, s_suppkey AS key, 1 AS rank FROM supplier UNION ALL SELECT n_name, n_nationkey, 2 FROM nation) c ON c.key = p.p_size) t WHERE rn = 1""")
 def j16_import_resolution(spark, sf):
     unit = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.lit(1).alias("rank"), F.col("s_name").alias("target"))
@@ -117,28 +110,6 @@ def j21_superseded_memories(spark, sf):
     return a.unionByName(m.where(F.col("id").isin(3, 5, 8)).select("id")).distinct()
 
 
-@query(f"SELECT session AS key, arg_max(tokens, (ts_us, id)) AS value FROM {EVENTS} GROUP BY session")
-def k5_upsert_latest(spark, sf):
-    return T.events(spark, sf).groupBy(F.col("session").alias("key")).agg(F.max_by("tokens", F.struct("ts_us", "id")).alias("value"))
-
-
-@query(f"SELECT id, 'kept' AS state FROM {MEMORIES} WHERE id % 11 <> 0 UNION ALL SELECT id, 'tombstone' FROM {MEMORIES} WHERE id % 11 = 0")
-def k3_delete_with_tombstone(spark, sf):
-    m = T.memories(spark, sf).select("id")
-    gone = m.where("id % 11 = 0")
-    return m.join(gone, "id", "left_anti").withColumn("state", F.lit("kept")).unionByName(gone.withColumn("state", F.lit("tombstone")))
-
-
-@query(f"SELECT id, list_sort(list_distinct(list_append(tags, 'reader'))) AS read_by FROM {MEMORIES}")
-def k10_acknowledge(spark, sf):
-    return T.memories(spark, sf).select("id", F.sort_array(F.array_union("tags", F.array(F.lit("reader")))).alias("read_by"))
-
-
-@query(f"SELECT id, coalesce(CASE WHEN k > 50 THEN ts_us + k END, ts_us + 3600000000) AS expires_us FROM {EVENTS}")
-def k25_message_ttl(spark, sf):
-    return T.events(spark, sf).select("id", F.coalesce(F.when(F.col("k") > 50, F.col("ts_us") + F.col("k")), F.col("ts_us") + 3_600_000_000).alias("expires_us"))
-
-
 @query(f"SELECT topic, max(created) AS deleted FROM {DECISIONS} WHERE created >= DATE '1996-01-01' GROUP BY topic")
 def r8_live_tombstones_whole(spark, sf):
     return T.decisions(spark, sf).where("created >= date'1996-01-01'").groupBy("topic").agg(F.max("created").alias("deleted"))

@@ -314,12 +314,6 @@ def p14_messages_of_parent(spark, sf):
     return T.messages(spark, sf).where("(addressee = 0 or addressee = 7) and parent = 3").select("id")
 
 
-@query("SELECT DISTINCT url, regexp_matches(url, '/(de|es)/') AND NOT regexp_matches(url, '[?]page=1') AS ignored FROM pages")
-def p15_ignore_rules(spark, sf):
-    """Ordered rules, the last that matches decides; a leading ! takes a path back in."""
-    return T.table(spark, sf, "pages").select("url").distinct().select("url", S.ignored(F.col("url"), ["/de/", "/es/", "!?page=1"]).alias("ignored"))
-
-
 @query(f"SELECT id, CASE kind WHEN 'read' THEN 'purchase' WHEN 'outline' THEN 'view' WHEN 'symbol' THEN 'click' WHEN 'injected' THEN 'signup' ELSE 'error' END AS name, CAST(tokens AS VARCHAR) AS tokens_attr FROM {EVENTS} WHERE kind IS NOT NULL")
 def p17_token_to_observe(spark, sf):
     back = {v: k for k, v in T.TOKEN_KINDS.items()}

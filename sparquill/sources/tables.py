@@ -147,3 +147,24 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, symbols (ids in order), size: the parts that line items name as indexed files."""
     s = symbols(spark, sf_dir)
     return s.groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_list("symbol")).alias("symbols"), F.sum(F.col("end") - F.col("start")).cast("bigint").alias("size"))
+
+
+def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ts_us, session, name, file, command, error: clicks, copies once, as tool calls and prompts.
+
+    The file is k of the attributes, the command what was done on which system, an error that of an error event. Attributes
+    may be cut off, so the two fields are matched and not parsed.
+    """
+    c = table(spark, sf_dir, "clicks").select("click_id", "ts", "client_id", "kind", "props").distinct()
+    field = lambda pattern: F.nullif(F.regexp_extract("props", pattern, 1), F.lit(""))
+    os = field('"os": "([a-z]+)"')
+    command = F.concat(F.lit("LANG=C /usr/bin/"), "kind", F.lit("   --on "), F.coalesce(os, F.lit("any")), F.lit(" 2>/dev/null|sort"))
+    return c.select(
+        F.col("click_id").alias("id"),
+        micros(F.col("ts")).alias("ts_us"),
+        F.col("client_id").alias("session"),
+        F.col("kind").alias("name"),
+        field('"k": ([0-9]+)').alias("file"),
+        command.alias("command"),
+        F.when(F.col("kind") == "error", F.concat(F.lit("failed on "), F.coalesce(os, F.lit("any")))).alias("error"),
+    ).where("session is not null and ts_us is not null")
