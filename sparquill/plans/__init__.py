@@ -1,2 +1,2 @@
-from . import aggregates, analyzers, derived, filters, joins, more, scoring, stores, windows  # noqa: F401
+from . import aggregates, analyzers, derived, detectors, filters, joins, more, mutations, paths, scoring, search, stores, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

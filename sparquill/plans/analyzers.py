@@ -15,11 +15,6 @@ def postings(spark, sf):
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-@query(f"SELECT id, term, count(*) AS tf FROM {POSTINGS} GROUP BY ALL")
-def x1_postings_whole(spark, sf):
-    return postings(spark, sf)
-
-
 @query("""SELECT DISTINCT p_partkey AS id, lower(p_name)[1:k] AS gram FROM part, range(2, 16) r(k) WHERE length(p_name) >= k""")
 def x2_edge_grams(spark, sf):
     p = T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("n")).where("length(n) >= 2")
@@ -35,18 +30,6 @@ def x3_substring_grams(spark, sf):
     return p.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
-@query(f"""WITH tf AS (SELECT id, term, count(*) AS tf FROM {POSTINGS} GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
- q AS (SELECT term FROM df WHERE levenshtein(term, 'stupid') <= 1 OR starts_with(term, 'disgus'))
- SELECT id, round(sum(tf * ln(1 + n / df)), 6) AS score FROM tf JOIN q USING (term) JOIN df USING (term), n GROUP BY id ORDER BY score DESC, id LIMIT 50""")
-def x4_memory_search(spark, sf):
-    p = postings(spark, sf)
-    hits = p.where((F.levenshtein("term", F.lit("stupid")) <= 1) | F.startswith("term", F.lit("disgus")))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n = T.memories(spark, sf).agg(F.count("*").alias("n"))
-    scored = hits.join(df, "term").join(F.broadcast(n)).groupBy("id").agg(F.round(F.sum(F.col("tf") * F.log(1 + F.col("n") / F.col("df"))), 6).alias("score"))
-    return R.top_k(scored, 50, F.desc("score"), "id")
-
-
 @query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'moron') ORDER BY doc_id LIMIT 50")
 def x5_substring_fallback(spark, sf):
     return R.top_k(T.memories(spark, sf).where(F.contains(F.lower("content"), F.lit("moron"))).select("id"), 50, "id")

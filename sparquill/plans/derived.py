@@ -67,22 +67,6 @@ def a32_instance_forest(spark, sf):
     return R.bfs(i, spark.range(1).select(F.col("id").alias("node")), 12).select(F.col("node").alias("id"), "level")
 
 
-@query(f"""SELECT session, sig, n, window_end FROM (SELECT session, sig, n, ts_us AS window_end, row_number() OVER (PARTITION BY session, sig ORDER BY n DESC, ts_us) AS r FROM
- (SELECT session, sig, ts_us, count(*) OVER (PARTITION BY session, sig ORDER BY ts_us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS n FROM (SELECT session, ts_us, 'run ' || name || ' | grep ' || (k % 3) AS sig FROM {EVENTS} WHERE name <> 'signup') a) b) c WHERE r = 1 AND n >= 2""")
-def w2_repetition(spark, sf):
-    """Commands are normalised first (environment, path and redirection go); ignored ones don't count."""
-    command = F.concat(F.lit("HOME=/x /usr/bin/run   "), "name", F.lit(" 2>/dev/null|grep "), (F.col("k") % 3).cast("string"))
-    e = T.events(spark, sf).withColumn("sig", S.command_signature(command)).where(~S.ignored_command(F.col("sig"), ["ls", "run signup"]))
-    return R.densest_window(e, ["session", "sig"], "ts_us", 1_800_000_000, 2)
-
-
-@query(f"SELECT id, session, nxt AS mutation FROM (SELECT id, session, name, list_filter([lead(n, 1) OVER w, lead(n, 2) OVER w, lead(n, 3) OVER w, lead(n, 4) OVER w, lead(n, 5) OVER w, lead(n, 6) OVER w], lambda x: x IS NOT NULL)[1] AS nxt FROM (SELECT *, CASE WHEN name = 'purchase' THEN id END AS n FROM {EVENTS}) a WINDOW w AS (PARTITION BY session ORDER BY ts_us, id)) b WHERE name = 'error' AND nxt IS NOT NULL")
-def w5_bounded_look_ahead(spark, sf):
-    w = Window.partitionBy("session").orderBy("ts_us", "id").rowsBetween(1, 6)
-    e = T.events(spark, sf).withColumn("mutation", F.first(F.when(F.col("name") == "purchase", F.col("id")), ignorenulls=True).over(w))
-    return e.where("name = 'error' and mutation is not null").select("id", "session", "mutation")
-
-
 @query(f"SELECT id, row_number() OVER (PARTITION BY analyzer ORDER BY size DESC, id) AS position FROM {SURVEY}")
 def w13_positions(spark, sf):
     return T.survey(spark, sf).select("id", F.row_number().over(Window.partitionBy("analyzer").orderBy(F.desc("size"), "id")).alias("position"))
@@ -117,30 +101,6 @@ def t8_agents(spark, sf):
     return T.events(spark, sf).groupBy("session").agg(F.min("ts_us").alias("started")).orderBy(F.desc("started"), "session")
 
 
-@query(f"SELECT id, score FROM (SELECT id, (length(content) - length(replace(lower(content), 'the', ''))) // 3 AS score, tags FROM {MEMORIES} ORDER BY score DESC, id LIMIT 50) x WHERE score >= 2 AND NOT list_contains(tags, 'long')")
-def x6_scored_search(spark, sf):
-    """The limit applies before the least score and the excluded tags do."""
-    score = F.expr("(length(content) - length(replace(lower(content), 'the', ''))) div 3")
-    top = R.top_k(T.memories(spark, sf).withColumn("score", score), 50, F.desc("score"), "id")
-    return top.where((F.col("score") >= 2) & ~F.array_contains("tags", "long")).select("id", "score")
-
-
-@query(f"SELECT id FROM {SURVEY} WHERE contains(lower(name), 'red') AND kind = 'PROMO' ORDER BY id LIMIT 100")
-def x9_survey_search(spark, sf):
-    return R.top_k(T.survey(spark, sf).where(S.contains_fold(F.col("name"), "red") & (F.col("kind") == "PROMO")).select("id"), 100, "id")
-
-
-@query(f"""SELECT 'memory' AS entity, id FROM (SELECT id FROM {MEMORIES} WHERE contains(lower(content), 'ring') ORDER BY id LIMIT 10) a UNION ALL SELECT 'finding', id FROM (SELECT id FROM {FINDINGS} WHERE contains(lower(file), 'src1') ORDER BY id LIMIT 5) b
- UNION ALL SELECT 'survey', id FROM (SELECT id FROM {SURVEY} WHERE contains(lower(name), 'ring') ORDER BY id LIMIT 5) c UNION ALL SELECT 'decision', seq FROM {DECISIONS} WHERE contains(lower(value), 'urgent')""")
-def x13_cross_entity_search(spark, sf):
-    def hits(df, entity, column, needle, limit):
-        df = df.where(S.contains_fold(F.col(column), needle)).select(F.lit(entity).alias("entity"), "id")
-        return R.top_k(df, limit, "id") if limit else df
-
-    decisions = T.decisions(spark, sf).withColumnRenamed("seq", "id")
-    return hits(T.memories(spark, sf), "memory", "content", "ring", 10).unionByName(hits(T.findings(spark, sf), "finding", "file", "src1", 5)).unionByName(hits(T.survey(spark, sf), "survey", "name", "ring", 5)).unionByName(hits(decisions, "decision", "value", "urgent", 0))
-
-
 @query(f"SELECT DISTINCT 'run ' || name || ' | grep ' || (k % 3) AS signature FROM {EVENTS}")
 def fs1_command_signatures(spark, sf):
     command = F.concat(F.lit("HOME=/x /usr/bin/run   "), "name", F.lit(" 2>/dev/null|grep "), (F.col("k") % 3).cast("string"))

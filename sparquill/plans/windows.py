@@ -23,21 +23,6 @@ def w3_friction(spark, sf):
     return R.densest_window(T.events(spark, sf).where("name = 'error'"), ["session"], "ts_us", 7 * DAY, 2).select("session", "n")
 
 
-@query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts_us, id) AS r FROM {EVENTS}),
- s AS (SELECT a.session, a.id AS first, a.r, min(c.r) AS cr FROM e a JOIN e c ON a.session = c.session AND c.name = 'error' AND c.r BETWEEN a.r + 1 AND a.r + 6 WHERE a.name = 'view' GROUP BY ALL)
- SELECT s.first AS first, c.id AS correction, b.id AS then FROM s JOIN e c ON c.session = s.session AND c.r = s.cr
- JOIN (SELECT s.first, min(b.r) AS br FROM s JOIN e b ON b.session = s.session AND b.name = 'view' AND b.r BETWEEN s.cr + 1 AND s.cr + 6 GROUP BY ALL) x ON x.first = s.first JOIN e b ON b.session = s.session AND b.r = x.br""")
-def w4_sequence_match(spark, sf):
-    w = Window.partitionBy("session").orderBy("ts_us", "id")
-    ahead = w.rowsBetween(1, 6)
-    e = T.events(spark, sf)
-    # from each row: the next later view within six; then, from a view, the next correction and what it leads to
-    e = e.withColumn("next_view", F.first(F.when(F.col("name") == "view", F.col("id")), ignorenulls=True).over(ahead))
-    link = F.first(F.when(F.col("name") == "error", F.struct("id", "next_view")), ignorenulls=True).over(ahead)
-    out = e.withColumn("c", link).where("name = 'view' and c is not null and c.next_view is not null")
-    return out.select(F.col("id").alias("first"), F.col("c.id").alias("correction"), F.col("c.next_view").alias("then"))
-
-
 @query()
 def w6_window_hashes(spark, sf):
     m = T.memories(spark, sf).select("id", S.tokens(F.col("content")).alias("t"))
