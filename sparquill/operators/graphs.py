@@ -1,9 +1,7 @@
-"""Graph operators: strongly connected components, and deterministic community detection on bounded graphs."""
+"""Graph operators: strongly connected components."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,56 +53,3 @@ def spread(edges: DataFrame, start: DataFrame, within: DataFrame | None = None)
         if state == total:
             return labels
         total = state
-
-
-def communities(edges: list[tuple[str, str, float]], resolution: float = 1.0, rounds: int = 20) -> dict[str, int]:
-    """Louvain communities of a graph that fits one process; nodes in order, ties to the smaller community.
-
-    Modules of a code base are a bounded graph; larger graphs are cut first (connected components, hubs held out).
-    """
-    weight: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-    for a, b, w in edges:
-        if a != b:
-            weight[a][b] += w
-            weight[b][a] += w
-    names = sorted(weight)
-    member = {n: {n} for n in names}
-    graph = {n: dict(weight[n]) for n in names}
-    while True:
-        degree = {n: sum(graph[n].values()) for n in graph}
-        m2 = sum(degree.values())
-        home = {n: k for k, n in enumerate(sorted(graph))}
-        total = {home[n]: degree[n] for n in graph}
-        moved_any = False
-        for _ in range(rounds):
-            moved = False
-            for n in sorted(graph):
-                near: dict[int, float] = defaultdict(float)
-                for o, w in graph[n].items():
-                    if o != n:
-                        near[home[o]] += w
-                old = home[n]
-                total[old] -= degree[n]
-                best, gain = old, near.get(old, 0.0) - resolution * degree[n] * total[old] / m2 if m2 else 0.0
-                for c in sorted(near):
-                    g = near[c] - resolution * degree[n] * total[c] / m2
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                total[best] += degree[n]
-                if best != old:
-                    home[n], moved, moved_any = best, True, True
-            if not moved:
-                break
-        if not moved_any:
-            break
-        groups: dict[int, list[str]] = defaultdict(list)
-        for n in sorted(graph):
-            groups[home[n]].append(n)
-        lead = {n: min(g) for g in groups.values() for n in g}
-        joined: dict[str, set] = {min(g): set().union(*(member[n] for n in g)) for g in groups.values()}
-        merged: dict[str, dict[str, float]] = {k: defaultdict(float) for k in joined}
-        for n in graph:
-            for o, w in graph[n].items():
-                merged[lead[n]][lead[o]] += w
-        graph, member = {k: dict(v) for k, v in merged.items()}, joined
-    return {n: k for k, g in enumerate(sorted(sorted(x) for x in member.values())) for n in g}

@@ -1,5 +1,3 @@
-import random
-
 from sparquill.operators import graphs
 
 
@@ -7,13 +5,3 @@ def test_strong_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 7), (8, 8), (9, 10), (10, 11), (11, 9), (5, 9)]
     out = graphs.strong_components(spark.createDataFrame(edges, "src bigint, dst bigint"))
     assert {(r["node"], r["component"]) for r in out.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (9, 9), (10, 9), (11, 9)}
-
-
-def test_ring_of_cliques():
-    edges = [(f"c{k}n{i}", f"c{k}n{j}", 1.0) for k in range(8) for i in range(5) for j in range(i)]
-    edges += [(f"c{k}n0", f"c{(k + 1) % 8}n1", 1.0) for k in range(8)]
-    found = graphs.communities(edges)
-    for k in range(8):
-        assert len({found[f"c{k}n{i}"] for i in range(5)}) == 1
-    random.Random(1).shuffle(edges)
-    assert graphs.communities(edges) == found
