@@ -44,7 +44,7 @@ def moved(adjacent: DataFrame, nodes: DataFrame, resolution: float) -> tuple[Dat
     state = nodes.select("node", F.col("node").alias("comm"))
     best, best_value, waited, ever = state, None, 0, False
     for k in range(ROUNDS):
-        own = nodes.join(state, "node").checkpoint()
+        own = nodes.join(state, "node")
         sums = own.groupBy("comm").agg(F.sum("degree").cast("double").alias("total"), F.count("*").alias("members"))
         toward = adjacent.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "comm").agg(F.sum("w").alias("w"))
         options = toward.unionByName(own.select("node", "comm", F.lit(0).cast("bigint").alias("w"))).groupBy("node", "comm").agg(F.sum("w").alias("w"))
@@ -58,15 +58,15 @@ def moved(adjacent: DataFrame, nodes: DataFrame, resolution: float) -> tuple[Dat
             F.max(F.when(stays, F.col("comm"))).alias("old"),
             F.max(F.when(stays, F.col("members"))).alias("company"),
             F.max(F.when(stays, F.col("w"))).alias("inner"),
+            F.max(F.when(stays & (F.col("m2") > 0), F.col("degree") * F.col("total") / F.col("m2"))).alias("spread"),
         )
         to = -F.col("top.c")
         alone = (F.col("company") == 1) & (F.col("top.members") == 1) & (to > F.col("old"))
         wants = (to != F.col("old")) & (F.col("top.gain") > F.col("now") + 1e-9) & ~alone
         goes = wants & (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0)
-        chosen = per.select("node", F.when(goes, to).otherwise(F.col("old")).alias("comm"), wants.alias("wants"), goes.alias("goes"), "inner").checkpoint()
-        inner, wanting, going = chosen.agg(F.sum("inner"), F.count_if("wants"), F.count_if("goes")).first()
+        chosen = per.select("node", F.when(goes, to).otherwise(F.col("old")).alias("comm"), wants.alias("wants"), goes.alias("goes"), "inner", "spread").checkpoint()
         # the value of the state before these moves, summed over the parts
-        spread = own.groupBy("comm").agg(F.sum("degree").cast("double").alias("t"), F.first("m2").alias("m2")).where("m2 > 0").agg(F.sum(F.col("t") * F.col("t") / F.col("m2"))).first()[0]
+        inner, spread, wanting, going = chosen.agg(F.sum("inner"), F.sum("spread"), F.count_if("wants"), F.count_if("goes")).first()
         value = (inner or 0) - resolution * (spread or 0.0)
         if best_value is None or value > best_value + 1e-6:
             best, best_value, waited = state, value, 0

@@ -113,6 +113,29 @@ def within_budget(df: DataFrame, keys: Sequence[str], rank: Sequence[Column | st
     return run.where((F.col("position") == 1) | (F.col("spent") <= budget))
 
 
+def shared_budget(sections: Sequence[tuple[str, DataFrame]], order: Sequence[Column | str], cost: str, budget: int, most: int) -> DataFrame:
+    """Rows of sections in turn, each with `section` and `place`, until a budget that they share is spent.
+
+    Of a section the first `most` rows under the order are looked at, and it ends with the first row that the rest of the
+    budget can't pay for; what is left goes to the next one. The very first row is taken whatever it costs. No section, only
+    sums of what was taken, comes to the driver.
+    """
+    left, any_taken, out = budget, False, None
+    for name, df in sections:
+        w = Window.orderBy("place")
+        top = ranked(df.orderBy(*order).limit(most), *order, name="place").withColumn("_run", F.sum(F.coalesce(F.col(cost), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        if any_taken:
+            taken = top.where(F.col("_run") <= left)
+        else:
+            first = F.first(F.coalesce(F.col(cost), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+            taken = top.withColumn("_first", first).where((F.col("place") == 0) | (F.col("_run") - F.col("_first") <= F.greatest(F.lit(0), F.lit(left) - F.col("_first")))).drop("_first")
+        spent = taken.agg(F.max("_run")).first()[0]
+        any_taken, left = any_taken or spent is not None, max(0, left - (spent or 0))
+        part = taken.drop("_run").withColumn("section", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def narrowest_range(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, point_id: str, tie: str, width: int = 64) -> DataFrame:
     """For each point the shortest range of its key that contains it; `tie` decides between equally short ones.
 

@@ -1,2 +1,2 @@
-from . import aggregates, analyzers, derived, detectors, filters, graphs, joins, more, mutations, paths, scoring, search, source, stores, windows  # noqa: F401
+from . import aggregates, analyzers, context, derived, detectors, filters, graphs, joins, more, mutations, paths, scoring, search, source, stores, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
