@@ -116,12 +116,10 @@ def first_match(tokens: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.when(matches(p), F.lit(p)) for p in patterns])
 
 
-def ignored(path: Column, rules: list[str]) -> Column:
-    """Whether a path is ignored: of the ordered rules the last that matches decides, and a leading ! takes the path back in."""
-    out = F.lit(False)
-    for rule in rules:
-        out = F.when(F.contains(path, F.lit(rule.removeprefix("!"))), F.lit(not rule.startswith("!"))).otherwise(out)
-    return out
+def included(tokens: Column, include: list[str], exclude: list[str]) -> Column:
+    """Whether a pattern of `include` matches a token, or there is none, and no pattern of `exclude` does."""
+    wanted = first_match(tokens, include).isNotNull() if include else F.lit(True)
+    return wanted & first_match(tokens, exclude).isNull() if exclude else wanted
 
 
 def time_range(since: str | None, until: str | None) -> tuple[int, int]:
