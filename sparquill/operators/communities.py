@@ -224,10 +224,10 @@ def lineage(before: DataFrame, after: DataFrame) -> DataFrame:
 
     before, after: node, community, label.
     """
-    of = lambda df, c: df.groupBy("community").agg(F.max("label").alias(c))
+    of = lambda df, c: df.groupBy("community").agg(F.max("label").alias(c), F.count("*").alias(f"in_{c}"))
     came = after.select("node", "community").join(before.select("node", F.col("community").alias("was")), "node").where("community <> was").groupBy("community").agg(F.count("*").alias("moved"))
     both = of(before, "old_label").join(of(after, "label"), "community", "full_outer").join(came, "community", "left")
-    state = F.when(F.col("old_label").isNull(), "new").when(F.col("label").isNull(), "dissolved").when(F.col("old_label") != F.col("label"), "renamed").otherwise("kept")
+    state = F.when(F.col("in_old_label").isNull(), "new").when(F.col("in_label").isNull(), "dissolved").when(F.col("old_label") != F.col("label"), "renamed").otherwise("kept")
     return both.select("community", state.alias("state"), "old_label", "label", F.coalesce("moved", F.lit(0)).alias("moved"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import communities as C
+from ..operators.relational import ranked
 from ..sources import tables as T
 from .registry import query
 
@@ -64,3 +65,41 @@ def module_links(spark, sf):
 def f12_module_graph(spark, sf):
     """The weighted graph of files before it is clustered."""
     return C.undirected(module_links(spark, sf))
+
+
+def homes(spark, sf, until):
+    """node, community, segment: each client's last known city before a time."""
+    c = T.table(spark, sf, "client_changes").where(f"client_id is not null and valid_at < timestamp_ntz'{until}'")
+    last = c.groupBy(F.col("client_id").alias("node")).agg(F.max_by(F.struct("city", "segment"), F.struct("valid_at", "seq", "change_id")).alias("l"))
+    return last.select("node", F.col("l.city").alias("community"), F.col("l.segment").alias("segment")).where("community is not null")
+
+
+def with_labels(home):
+    """Each community goes by the segment that most of its members have, the least of equally frequent ones."""
+    counted = home.where("segment is not null").groupBy("community", "segment").agg(F.count("*").alias("n"))
+    label = counted.groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("n"), "segment")).alias("l")).select("community", F.col("l.segment").alias("label"))
+    return home.join(label, "community", "left").select("node", "community", "label")
+
+
+def homes_sql(name: str, until: str) -> str:
+    return f"""{name}h AS (SELECT node, l.city AS community, l.segment AS segment FROM (SELECT client_id AS node, arg_max({{'city': city, 'segment': segment}}, (valid_at, seq, change_id)) AS l FROM client_changes WHERE client_id IS NOT NULL AND valid_at < TIMESTAMP '{until}' GROUP BY client_id) x WHERE l.city IS NOT NULL),
+ {name}c AS (SELECT community, arg_min(segment, (-n, segment)) AS label FROM (SELECT community, segment, count(*) AS n FROM {name}h WHERE segment IS NOT NULL GROUP BY ALL) GROUP BY community), {name} AS (SELECT DISTINCT h.community, c.label FROM {name}h h LEFT JOIN {name}c c ON c.community = h.community)"""
+
+
+@query(f"""WITH {homes_sql("b", "2024-03-01")}, {homes_sql("a", "2024-12-01")}, m AS (SELECT x.community, count(*) AS moved FROM ah x JOIN bh y ON y.node = x.node WHERE x.community <> y.community GROUP BY x.community)
+ SELECT coalesce(b.community, a.community) AS community, CASE WHEN b.community IS NULL THEN 'new' WHEN a.community IS NULL THEN 'dissolved' WHEN b.label <> a.label THEN 'renamed' ELSE 'kept' END AS state, coalesce(moved, 0) AS moved FROM b FULL JOIN a ON a.community = b.community LEFT JOIN m ON m.community = coalesce(b.community, a.community)""")
+def j18_lineage_diff(spark, sf):
+    """Cities as communities of clients at two times: new, dissolved, renamed, and how many members have moved in."""
+    return C.lineage(with_labels(homes(spark, sf, "2024-03-01 00:00:00")), with_labels(homes(spark, sf, "2024-12-01 00:00:00"))).select("community", "state", "moved")
+
+
+@query()
+def f16_numbers_that_stay(spark, sf):
+    """Communities that were numbered anew get the numbers of the earlier ones they share most members with."""
+
+    def numbered(home):
+        names = home.groupBy("community").agg(F.count("*").alias("n"))
+        numbers = ranked(names, F.desc("n"), "community", name="number").select("community", "number")
+        return home.join(numbers, "community").select("node", F.col("number").alias("community"))
+
+    return C.kept_numbers(numbered(homes(spark, sf, "2024-12-01 00:00:00")), numbered(homes(spark, sf, "2024-03-01 00:00:00")))

@@ -150,3 +150,33 @@ def test_coupling_counts_and_cycles(spark):
     out = C.coupling(spark.createDataFrame(edges, "src string, dst string"), 4, 2, cycles=1).collect()
     rows = {(r["node"], r["category"], r["severity"], r["n"]) for r in out}
     assert rows == {("h", "fan-out", "warning", 4), ("lib", "fan-in", "warning", 4), ("p", "cycle", "warning", 2)}
+
+
+def test_numbers_of_cities_follow_the_greedy_order(spark):
+    from sparquill.plans import graphs
+
+    sf = "/root/testdata/sf0.001"
+
+    def numbered(until):
+        home = {r["node"]: r["community"] for r in graphs.homes(spark, sf, until).collect()}
+        sizes = defaultdict(int)
+        for c in home.values():
+            sizes[c] += 1
+        number = {c: k for k, c in enumerate(sorted(sizes, key=lambda c: (-sizes[c], c)))}
+        return {n: number[c] for n, c in home.items()}
+
+    old, new = numbered("2024-03-01 00:00:00"), numbered("2024-12-01 00:00:00")
+    shared = defaultdict(int)
+    for n in old.keys() & new.keys():
+        shared[old[n], new[n]] += 1
+    final, used = {}, set()
+    for o, n in sorted(shared, key=lambda p: (-shared[p], p)):
+        if o not in used and n not in final:
+            final[n] = o
+            used.add(o)
+    for n in range(len(set(new.values()))):
+        if n not in final:
+            final[n] = next(k for k in range(10**6) if k not in used)
+            used.add(final[n])
+    out = {r["node"]: r["community"] for r in graphs.f16_numbers_that_stay(spark, sf).collect()}
+    assert out == {n: final[c] for n, c in new.items()}
