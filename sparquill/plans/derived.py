@@ -58,7 +58,8 @@ def a26_session_summary(spark, sf):
 @query(f"SELECT parent, session, started, max(started) OVER (PARTITION BY parent) AS newest FROM (SELECT session % 7 AS parent, session, min(ts_us) AS started FROM {EVENTS} GROUP BY session) x")
 def a30_agents_by_parent(spark, sf):
     a = T.events(spark, sf).groupBy("session").agg(F.min("ts_us").alias("started")).withColumn("parent", F.col("session") % 7)
-    return a.withColumn("newest", F.max("started").over(Window.partitionBy("parent"))).select("parent", "session", "started", "newest").orderBy(F.desc("newest"), "parent", "session")
+    newest = a.groupBy("parent").agg(F.max("started").alias("newest"))  # partial sums meet, however few parents there are
+    return a.join(newest, "parent").select("parent", "session", "started", "newest").orderBy(F.desc("newest"), "parent", "session")
 
 
 @query("WITH RECURSIVE i AS (SELECT c_custkey AS id, c_custkey // 5 AS parent FROM customer), f(id, level) AS (SELECT id, 0 FROM i WHERE id = 0 UNION SELECT i.id, level + 1 FROM f JOIN i ON i.parent = f.id AND i.id <> f.id) SELECT id, level FROM f")
@@ -69,7 +70,10 @@ def a32_instance_forest(spark, sf):
 
 @query(f"SELECT id, row_number() OVER (PARTITION BY analyzer ORDER BY size DESC, id) AS position FROM {SURVEY}")
 def w13_positions(spark, sf):
-    return T.survey(spark, sf).select("id", F.row_number().over(Window.partitionBy("analyzer").orderBy(F.desc("size"), "id")).alias("position"))
+    """Places in one order of all rows, less the first one of each analyzer: no task holds an analyzer."""
+    placed = R.ranked(T.survey(spark, sf).select("id", "analyzer", "size"), "analyzer", F.desc("size"), "id")
+    first = placed.groupBy("analyzer").agg(F.min("rank").alias("first"))
+    return placed.join(first, "analyzer").select("id", (F.col("rank") - F.col("first") + 1).alias("position"))
 
 
 @query(f"""SELECT id, coalesce(CASE WHEN earlier IS NOT NULL THEN 'repeat' END, CASE WHEN later IS NOT NULL THEN 'superseded' END, CASE WHEN size >= 2048 THEN 'purge' END, 'keep') AS strategy FROM
