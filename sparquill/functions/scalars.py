@@ -154,3 +154,23 @@ def ignored_command(signature: Column, names: list[str]) -> Column:
 def wildcard(q: str) -> str:
     """A query without any syntax of its own matches anywhere."""
     return q if any(c in q for c in '*?:+-"~^()') else f"*{q}*"
+
+
+def wildcards(q: Column) -> Column:
+    """The same for a column of queries."""
+    return F.when(F.rlike(q, F.lit(r'[*?:+\-"~^()]')), q).otherwise(F.concat(F.lit("*"), q, F.lit("*")))
+
+
+def first_filled(*columns: str) -> Column:
+    """The first column whose text isn't empty, without blanks around it."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
+
+
+def cost(known: Column, text: Column) -> Column:
+    """A known number of tokens, else a third of the text's bytes, rounded up."""
+    return F.coalesce(known, F.floor((F.octet_length(text) + 2) / 3).cast("bigint"))
+
+
+def truthy(text: Column) -> Column:
+    """What counts as true."""
+    return F.lower(F.trim(F.coalesce(text, F.lit("")))).isin("1", "true", "yes", "on")
