@@ -67,7 +67,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole table finds theirs stored, and encodes the others; each distinct text is encoded once."""
     cache = token_counts.CountCache(spark, f"{common.shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
     docs = read(spark, sf_dir, "documents")
-    token_counts.store_counts(docs.where(F.crc32(F.coalesce("source", F.lit(""))) % 2 == 0), cache)
+    part = F.col("source") if "source" in docs.columns else F.col("doc_id").cast("string")
+    token_counts.store_counts(docs.where(F.crc32(F.coalesce(part, F.lit(""))) % 2 == 0), cache)
     out = token_counts.count_tokens(docs, cache)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
