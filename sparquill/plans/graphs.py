@@ -34,9 +34,8 @@ def t10_first_cycles(spark, sf):
     return C.coupling(moves(spark, sf)).where("category = 'cycle'").select(F.col("node").alias("first"), "n")
 
 
-@query()
-def f13_communities(spark, sf):
-    """Communities of cities, hubs held out; found by local moves (F14) and contraction (F15)."""
+def city_communities(spark, sf):
+    """Not registered: some hundred rounds took more than 230 s at sf0.01. Communities of cities, hubs held out; found by local moves (F14) and contraction (F15)."""
     return C.communities(moves(spark, sf).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("w")))
 
 
