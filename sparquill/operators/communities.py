@@ -4,7 +4,7 @@ Nodes are numbered in their order and weights become integers, so gains and ties
 node weighs its neighbours' communities; of those that would gain, about half may move (by a hash of node and round), and of
 two single nodes only the larger moves to the smaller, so none chase each other. A level ends when no node would gain, or
 when modularity has not risen for three rounds, with the best state it has had. Communities then become nodes, and so on
-until nothing moves. Each round is a few joins and aggregates; what comes to the driver is counts and sums.
+until nothing moves. Each round is a few joins and aggregates and is written as a table; what comes to the driver is counts and sums.
 
 Hubs, nodes whose weighted degree exceeds a percentile, are held out and join the community with most of their weight
 afterwards. Communities above a share of the graph, and large ones with few inner edges, are split by a run of their own; all
@@ -14,10 +14,10 @@ ends are nodes, and nodes without edges are communities of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import checkpoints
+from ..sources.store import stored
 from .relational import ranked
 
 UNIT = 1 << 20
@@ -40,63 +40,81 @@ def moved(adjacent: DataFrame, nodes: DataFrame, resolution: float) -> tuple[Dat
     adjacent: a, b, w both ways. nodes: node, part, degree (loops included); parts are graphs of their own.
     """
     totals = nodes.groupBy("part").agg(F.sum("degree").cast("double").alias("m2"))
-    nodes = nodes.join(totals, "part").checkpoint()
-    state = nodes.select("node", F.col("node").alias("comm"))
+    state = stored(nodes.join(totals, "part").select("node", F.col("node").alias("comm"), "degree", "m2"))
     best, best_value, waited, ever = state, None, 0, False
     for k in range(ROUNDS):
-        own = nodes.join(state, "node")
-        sums = own.groupBy("comm").agg(F.sum("degree").cast("double").alias("total"), F.count("*").alias("members"))
-        toward = adjacent.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "comm").agg(F.sum("w").alias("w"))
-        options = toward.unionByName(own.select("node", "comm", F.lit(0).cast("bigint").alias("w"))).groupBy("node", "comm").agg(F.sum("w").alias("w"))
-        weighed = options.join(own.select("node", F.col("comm").alias("old"), "degree", "m2"), "node").join(sums, "comm")
+        sums = state.groupBy("comm").agg(F.sum("degree").cast("double").alias("total"), F.count("*").alias("members"))
+        toward = adjacent.join(state.select(F.col("node").alias("b"), "comm"), "b").groupBy(F.col("a").alias("node"), "comm").agg(F.sum("w").alias("w"))
+        options = toward.unionByName(state.select("node", "comm", F.lit(0).cast("bigint").alias("w"))).groupBy("node", "comm").agg(F.sum("w").alias("w"))
+        weighed = options.join(state.select("node", F.col("comm").alias("old"), "degree", "m2"), "node").join(sums, "comm")
         rest = F.col("total") - F.when(F.col("comm") == F.col("old"), F.col("degree")).otherwise(0)
         gain = F.when(F.col("m2") > 0, F.col("w") - resolution * F.col("degree") * rest / F.col("m2")).otherwise(0.0)
         stays = F.col("comm") == F.col("old")
         per = weighed.withColumn("gain", gain).groupBy("node").agg(
             F.max(F.struct("gain", (-F.col("comm")).alias("c"), "members")).alias("top"),
             F.max(F.when(stays, F.col("gain"))).alias("now"),
-            F.max(F.when(stays, F.col("comm"))).alias("old"),
+            *[F.max(c).alias(c) for c in ("old", "degree", "m2")],
             F.max(F.when(stays, F.col("members"))).alias("company"),
-            F.max(F.when(stays, F.col("w"))).alias("inner"),
-            F.max(F.when(stays & (F.col("m2") > 0), F.col("degree") * F.col("total") / F.col("m2"))).alias("spread"),
+            F.max(F.when(stays, F.col("w"))).alias("inside"),
+            F.max(F.when(stays & (F.col("m2") > 0), F.col("degree") * F.col("total") / F.col("m2"))).alias("expected"),
         )
-        to = -F.col("top.c")
+        to, inner, spread = -F.col("top.c"), F.col("inside"), F.col("expected")
         alone = (F.col("company") == 1) & (F.col("top.members") == 1) & (to > F.col("old"))
         wants = (to != F.col("old")) & (F.col("top.gain") > F.col("now") + 1e-9) & ~alone
         goes = wants & (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0)
-        chosen = per.select("node", F.when(goes, to).otherwise(F.col("old")).alias("comm"), wants.alias("wants"), goes.alias("goes"), "inner", "spread").checkpoint()
-        # the value of the state before these moves, summed over the parts
-        inner, spread, wanting, going = chosen.agg(F.sum("inner"), F.sum("spread"), F.count_if("wants"), F.count_if("goes")).first()
-        value = (inner or 0) - resolution * (spread or 0.0)
+        # the value of the state before these moves, summed over the parts as they are written
+        seen = Observation()
+        sums_of = [F.sum(inner).alias("inner"), F.sum(spread).alias("spread"), F.count_if(wants).alias("wanting"), F.count_if(goes).alias("going")]
+        chosen = stored(per.observe(seen, *sums_of).select("node", F.when(goes, to).otherwise(F.col("old")).alias("comm"), "degree", "m2"))
+        known = seen.get
+        value = (known["inner"] or 0) - resolution * (known["spread"] or 0.0)
         if best_value is None or value > best_value + 1e-6:
             best, best_value, waited = state, value, 0
         else:
             waited += 1
-        if not wanting or waited >= PATIENCE:
+        if not known["wanting"] or waited >= PATIENCE:
             break
-        ever |= going > 0
-        state = chosen.select("node", "comm")
-    return best, ever
+        ever |= known["going"] > 0
+        state = chosen
+    return best.select("node", "comm"), ever
+
+
+def contracted(adjacent: DataFrame, state: DataFrame) -> DataFrame:
+    """a, b, w of the communities (node, comm) as nodes: weights between two of them add up, those within one are gone."""
+    a, b = state.select(F.col("node").alias("a"), F.col("comm").alias("x")), state.select(F.col("node").alias("b"), F.col("comm").alias("y"))
+    return adjacent.join(a, "a").join(b, "b").where("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w"))
+
+
+def first_moves(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """node, community after the local moves of the first level alone, of edges (a, b, w); a community goes by its least node."""
+    named = numbered(edges)
+    pairs, index = indexed(edges, named), named.select(F.col("i").alias("node"))
+    adjacent = stored(both_ways(pairs))
+    degrees = adjacent.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
+    nodes = index.join(degrees, "node", "left").select("node", F.lit(0).cast("bigint").alias("part"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    state, _ = moved(adjacent, nodes, resolution)
+    home = state.join(named.select("node", F.col("i")).withColumnRenamed("node", "name"), F.col("node") == F.col("i")).select("name", "comm")
+    least = home.groupBy("comm").agg(F.min("name").alias("community"))
+    return home.join(least, "comm").select(F.col("name").alias("node"), "community")
 
 
 def partition(pairs: DataFrame, nodes: DataFrame, resolution: float = 1.0) -> DataFrame:
     """node, comm: communities (named by their least node) of each part of a graph. pairs: a, b, w. nodes: node, part."""
-    adjacent = both_ways(pairs).checkpoint()
+    adjacent = stored(both_ways(pairs))
     degrees = adjacent.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
-    level = nodes.join(degrees, "node", "left").select("node", "part", F.coalesce("degree", F.lit(0)).alias("degree")).checkpoint()
+    level = stored(nodes.join(degrees, "node", "left").select("node", "part", F.coalesce("degree", F.lit(0)).alias("degree")))
     home = nodes.select("node", F.col("node").alias("comm"))
     while True:
         before = level.count()
         state, any_moved = moved(adjacent, level, resolution)
         # a community goes by its least node
         names = state.groupBy("comm").agg(F.min("node").alias("name"))
-        state = state.join(names, "comm").select("node", F.col("name").alias("comm")).checkpoint()
-        home = home.join(state.select(F.col("node").alias("comm"), F.col("comm").alias("to")), "comm").select("node", F.col("to").alias("comm")).checkpoint()
-        level = level.join(state, "node").groupBy(F.col("comm").alias("node"), "part").agg(F.sum("degree").alias("degree")).checkpoint()
+        state = stored(state.join(names, "comm").select("node", F.col("name").alias("comm")))
+        home = stored(home.join(state.select(F.col("node").alias("comm"), F.col("comm").alias("to")), "comm").select("node", F.col("to").alias("comm")))
+        level = stored(level.join(state, "node").groupBy(F.col("comm").alias("node"), "part").agg(F.sum("degree").alias("degree")))
         if not any_moved or level.count() == before:
             return home
-        a, b = state.select(F.col("node").alias("a"), F.col("comm").alias("x")), state.select(F.col("node").alias("b"), F.col("comm").alias("y"))
-        adjacent = adjacent.join(a, "a").join(b, "b").where("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")).checkpoint()
+        adjacent = stored(contracted(adjacent, state))
 
 
 def hubs(degrees: DataFrame, percentile: float) -> DataFrame:
@@ -121,13 +139,26 @@ def cohesion(pairs: DataFrame, home: DataFrame) -> DataFrame:
 
 def split(pairs: DataFrame, home: DataFrame, which: DataFrame, resolution: float) -> DataFrame:
     """home with the named communities (comm) divided by a run on their own edges each."""
-    chosen = home.join(which, "comm", "left_semi").checkpoint()
+    chosen = stored(home.join(which, "comm", "left_semi"))
     if chosen.isEmpty():
         return home
     a, b = chosen.select(F.col("node").alias("a"), F.col("comm").alias("x")), chosen.select(F.col("node").alias("b"), F.col("comm").alias("y"))
     inside = pairs.join(a, "a").join(b, "b").where("x = y").select("a", "b", "w")
     parts = partition(inside, chosen.select("node", F.col("comm").alias("part")), resolution)
-    return home.join(which, "comm", "left_anti").unionByName(parts).checkpoint()
+    return stored(home.join(which, "comm", "left_anti").unionByName(parts))
+
+
+def numbered(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, i: the ends of edges, and further nodes, by their place in order."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    every = (ends if nodes is None else ends.unionByName(nodes.select("node"))).where("node is not null").distinct()
+    return stored(ranked(every, "node", name="i"))
+
+
+def indexed(edges: DataFrame, named: DataFrame) -> DataFrame:
+    """a, b, w of the numbers of ends, once for each pair."""
+    a, b = named.select(F.col("node").alias("a"), F.col("i").alias("ia")), named.select(F.col("node").alias("b"), F.col("i").alias("ib"))
+    return stored(undirected(edges.join(a, "a").join(b, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "w")))
 
 
 def communities(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0, hub_percentile: float = 99.5, most_share: float = 0.25, least_split: int = 10, low_cohesion: float = 0.05, low_size: int = 50, previous: DataFrame | None = None) -> DataFrame:
@@ -136,16 +167,12 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, resolution: fl
     Communities are numbered by size, the larger first, then by their least member; with `previous` (node, community) they
     take over the numbers of the communities they share most members with.
     """
-    checkpoints(edges.sparkSession)
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
-    every = (ends if nodes is None else ends.unionByName(nodes.select("node"))).where("node is not null").distinct()
-    named = ranked(every, "node", name="i").checkpoint()
-    a, b = named.select(F.col("node").alias("a"), F.col("i").alias("ia")), named.select(F.col("node").alias("b"), F.col("i").alias("ib"))
-    pairs = undirected(edges.join(a, "a").join(b, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "w")).checkpoint()
+    named = numbered(edges, nodes)
+    pairs = indexed(edges, named)
     adjacent = both_ways(pairs)
     index = named.select(F.col("i").alias("node"))
     degrees = index.join(adjacent.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
-    held = hubs(degrees, hub_percentile).checkpoint()
+    held = stored(hubs(degrees, hub_percentile))
     without = lambda c: held.select(F.col("node").alias(c))
     open_pairs = pairs.join(without("a"), "a", "left_anti").join(without("b"), "b", "left_anti").select("a", "b", "w")
     open_nodes = index.join(held, "node", "left_anti")
@@ -170,11 +197,11 @@ def placed(adjacent: DataFrame, home: DataFrame, held: DataFrame) -> DataFrame:
     waiting = held
     while not waiting.isEmpty():
         votes = adjacent.join(waiting.select(F.col("node").alias("a")), "a", "left_semi").join(home.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "comm").agg(F.sum("w").alias("w"))
-        found = votes.groupBy("node").agg(F.max(F.struct("w", (-F.col("comm")).alias("c"))).alias("v")).select("node", (-F.col("v.c")).alias("comm")).checkpoint()
+        found = stored(votes.groupBy("node").agg(F.max(F.struct("w", (-F.col("comm")).alias("c"))).alias("v")).select("node", (-F.col("v.c")).alias("comm")))
         if found.isEmpty():
             return home.unionByName(waiting.select("node", F.col("node").alias("comm")))
-        home = home.unionByName(found).checkpoint()
-        waiting = waiting.join(found, "node", "left_anti").checkpoint()
+        home = stored(home.unionByName(found))
+        waiting = stored(waiting.join(found, "node", "left_anti"))
     return home
 
 
@@ -184,22 +211,21 @@ def matched(overlaps: DataFrame) -> DataFrame:
     A pair that comes first for both of its sides is taken whatever the others are, so all such pairs are taken at once, and
     what they leave is looked at again.
     """
-    checkpoints(overlaps.sparkSession)
-    left, taken = overlaps.select("old", "new", "n").checkpoint(), None
+    left, taken = stored(overlaps.select("old", "new", "n")), None
     first = F.min(F.struct((-F.col("n")).alias("m"), "old", "new"))
     while not left.isEmpty():
         by_old, by_new = left.groupBy("old").agg(first.alias("f")).select("f.old", "f.new"), left.groupBy("new").agg(first.alias("f")).select("f.old", "f.new")
-        now = by_old.join(by_new, ["old", "new"]).checkpoint()
+        now = stored(by_old.join(by_new, ["old", "new"]))
         taken = now if taken is None else taken.unionByName(now)
-        left = left.join(now, "old", "left_anti").join(now, "new", "left_anti").checkpoint()
+        left = stored(left.join(now, "old", "left_anti").join(now, "new", "left_anti"))
     return overlaps.select("old", "new").limit(0) if taken is None else taken
 
 
 def kept_numbers(found: DataFrame, previous: DataFrame) -> DataFrame:
     """found (node, community) with the numbers of the previous communities that overlap most; others get the least free ones."""
-    found = found.checkpoint()
+    found = stored(found)
     both = found.join(previous.select("node", F.col("community").alias("old")), "node").groupBy("old", F.col("community").alias("new")).agg(F.count("*").alias("n"))
-    pairs = matched(both).checkpoint()
+    pairs = stored(matched(both))
     fresh = ranked(found.select("community").distinct().join(pairs.select(F.col("new").alias("community")), "community", "left_anti"), "community")
     # used numbers u(0) < u(1) < ...: before u(i) lie u(i) - i free ones, so in the order of that the place is the number itself
     used = ranked(pairs.select("old"), "old").select((F.col("old") - F.col("rank")).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("community"), F.col("rank").alias("nth"))

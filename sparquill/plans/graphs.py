@@ -34,9 +34,28 @@ def t10_first_cycles(spark, sf):
     return C.coupling(moves(spark, sf)).where("category = 'cycle'").select(F.col("node").alias("first"), "n")
 
 
-def city_communities(spark, sf):
-    """Not registered: some hundred rounds took more than 230 s at sf0.01. Communities of cities, hubs held out; found by local moves (F14) and contraction (F15)."""
-    return C.communities(moves(spark, sf).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("w")))
+def city_links(spark, sf):
+    return moves(spark, sf).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("w"))
+
+
+@query()
+def f13_communities(spark, sf):
+    """Communities of cities, hubs held out, by local moves and contraction."""
+    return C.communities(city_links(spark, sf))
+
+
+@query()
+def f14_local_moves(spark, sf):
+    """Cities after the local moves of the first level."""
+    return C.first_moves(city_links(spark, sf))
+
+
+@query(f"""WITH p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS w FROM {MOVES} GROUP BY 1, 2), v AS (SELECT a, b, w FROM p UNION ALL SELECT b, a, w FROM p), s AS (SELECT a AS node, min(least(a, b)) AS comm FROM v GROUP BY a)
+ SELECT x.comm AS a, y.comm AS b, CAST(sum(w) * 1048576 AS BIGINT) AS w FROM v JOIN s x ON x.node = v.a JOIN s y ON y.node = v.b WHERE x.comm <> y.comm GROUP BY 1, 2""")
+def f15_supernodes(spark, sf):
+    """Each city goes to the least of itself and its neighbours; the weights between these groups."""
+    adjacent = C.both_ways(C.undirected(city_links(spark, sf)))
+    return C.contracted(adjacent, adjacent.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comm")))
 
 
 LINES = "(SELECT i.brand || '/' || i.kind || '/' || i.item_id AS file, l.vendor_id AS vendor, l.flag FROM sale_lines l JOIN items i ON i.item_id = l.item_id WHERE l.vendor_id IS NOT NULL AND i.brand IS NOT NULL AND i.kind IS NOT NULL)"

@@ -45,6 +45,18 @@ def checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to a table of their own in the shared folder and read back.
+
+    Cuts the lineage as a checkpoint does. The plan starts anew: sizes are known, so that small sides of joins are broadcast,
+    and loops don't gather the constraints of earlier rounds, with which plans grow by the round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Folder:
     """The few file operations that a log needs, on any file system that Spark knows."""
 
