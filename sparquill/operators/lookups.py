@@ -17,7 +17,8 @@ from .relational import ranked, top_k
 def usage_of_day(lines: DataFrame, needle: str, schema: str, wanted: Column, amount: Column, window_us: int, now_us: int) -> DataFrame:
     """messages, amount, messages_window, amount_window: sums over today and over the last `window_us` of it, by UTC days.
 
-    lines: at_us, line (JSON). Lines without the needle are not parsed, malformed ones and those of other roles are skipped.
+    lines: at_us, line (JSON). Lines without the needle are not parsed, malformed ones, also by
+    the types of the schema, and those of other roles are skipped.
     `wanted` and `amount` read the parsed line m.
     """
     day = 86_400_000_000

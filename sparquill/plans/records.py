@@ -13,13 +13,13 @@ from .registry import query
 DAY = 86_400_000_000
 
 
-@query(f"""WITH n AS (SELECT max(epoch_us(ts)) AS now FROM clicks), c AS (SELECT epoch_us(ts) AS us, CAST(json_extract(props, '$.k') AS BIGINT) AS k, n.now FROM clicks, n WHERE contains(props, '"os"') AND json_valid(props) AND json_extract_string(props, '$.device.os') = 'ios')
+@query(f"""WITH n AS (SELECT max(epoch_us(ts)) AS now FROM clicks), c AS (SELECT epoch_us(ts) AS us, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, n.now FROM clicks, n WHERE contains(props, '"os"') AND json_valid(props) AND json_extract_string(props, '$.device.os') = 'ios')
  SELECT count(*) AS messages, CAST(coalesce(sum(k), 0) AS BIGINT) AS amount, count(*) FILTER (us > now - 18000000000) AS messages_window, CAST(coalesce(sum(k) FILTER (us > now - 18000000000), 0) AS BIGINT) AS amount_window FROM c WHERE us // {DAY} = now // {DAY}""")
 def s14_usage_of_day(spark, sf):
     """Attributes of clicks are lines of a log, the system is the role; the day is that of the last click."""
     lines = T.table(spark, sf, "clicks").select(T.micros(F.col("ts")).alias("at_us"), F.col("props").alias("line"))
     now = lines.agg(F.max("at_us")).first()[0] or 0
-    return K.usage_of_day(lines, '"os"', "k bigint, device struct<os:string>", F.col("m.device.os") == "ios", F.col("m.k"), 5 * 3_600_000_000, now)
+    return K.usage_of_day(lines, '"os"', "k string, device struct<os:string>", F.col("m.device.os") == "ios", F.col("m.k").try_cast("bigint"), 5 * 3_600_000_000, now)
 
 
 MARKERS = [
