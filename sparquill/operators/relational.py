@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources.store import checkpoints
+from ..sources.store import checkpoints, stored
 
 
 def capped(df: DataFrame, limit: int, default: int = 1000) -> DataFrame:
@@ -195,28 +195,31 @@ def window_hashes(df: DataFrame, keys: Sequence[str], tokens: str, k: int) -> Da
     return held.select(*keys, F.posexplode(hashes).alias("p", "h")).select(*keys, (F.col("p") + 1).alias("at"), "h")
 
 
+def line_windows(docs: DataFrame, k: int) -> DataFrame:
+    """id, lang, at, h, g, first, last: place (from 1), two hashes, first and last line of every window of k tokens."""
+    s = docs.select("id", "lang", S.lined_tokens(F.col("content")).alias("s")).select("id", "lang", F.col("s.t").alias("t"), F.col("s.line").alias("line"))
+    part = lambda i: F.slice("t", i, F.lit(k))
+    one = lambda i: F.struct(i.alias("at"), F.xxhash64(part(i)).alias("h"), F.xxhash64(F.lit(k), part(i)).alias("g"), F.element_at("line", i).alias("first"), F.element_at("line", i + k - 1).alias("last"))
+    return s.where(F.size("t") >= k).select("id", "lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - k + 1), one)).alias("w")).select("id", "lang", "w.*")
+
+
 def clones(docs: DataFrame, k: int = 50, bucket: int = 10, matches: int = 2, least_lines: int = 20, warning: int = 50, critical: int = 150, places: int = 3) -> DataFrame:
     """Regions of documents (id, lang, content) that others of the language, or far parts of the same one, repeat.
 
     Windows in more than `bucket` places are boilerplate. file, start, end (lines), severity, matches and locations of
-    each region of severity warning at least.
+    each region of severity warning at least. That windows are equal is told by two 64-bit hashes; each carries its lines, so
+    that no text goes to the pairs. How many places have a window is written first: where few repeat, their hashes are
+    broadcast and the other windows are not shuffled.
     """
-    source = docs.select("id", "lang", S.tokens(F.col("content")).alias("t"))
-    w = window_hashes(source, ["id", "lang"], "t", k)
-    held = w.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).select("h")
-    at = w.join(held, "h", "left_semi").groupBy("h", "lang").agg(F.sort_array(F.collect_list(F.struct("id", "at"))).alias("p"))
+    w = line_windows(docs, k)
+    held = stored(w.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).select("h", "g"))
+    at = w.join(held, ["h", "g"], "left_semi").groupBy("h", "g", "lang").agg(F.sort_array(F.collect_list(F.struct("id", "at", "first", "last"))).alias("p"))
     # of a document's places only those k tokens after the last kept one; at most `bucket` places, so the pairs are bounded
     close = lambda kept, x: (kept["id"] == x["id"]) & (x["at"] - kept["at"] < k)
     apart = F.aggregate("p", F.slice("p", 1, 1), lambda kept, x: F.when(close(F.element_at(kept, -1), x), kept).otherwise(F.concat(kept, F.array(x))))
     at = at.select(apart.alias("p")).where("size(p) > 1")
-    two = at.select("p", F.posexplode("p").alias("i", "a")).select("a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("b"))
-    pairs = two.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.collect_list(F.struct(F.col("a.at").alias("ia"), F.col("b.at").alias("ib"))).alias("m"))
-    # equal hashes count only where the tokens are equal
-    lined = docs.select("id", S.lined_tokens(F.col("content")).alias("s")).select("id", F.col("s.t").alias("t"), F.col("s.line").alias("line"))
-    one, other = lined.toDF("a", "ta", "la"), lined.toDF("b", "tb", "lb")
-    equal = F.filter("m", lambda x: F.slice("ta", x["ia"], F.lit(k)) == F.slice("tb", x["ib"], F.lit(k)))
-    lines = lambda x: F.struct(x["ia"].alias("ia"), x["ib"].alias("ib"), *[F.element_at(c, x[i] + d).alias(n) for n, c, i, d in (("sa", "la", "ia", 0), ("ea", "la", "ia", k - 1), ("sb", "lb", "ib", 0), ("eb", "lb", "ib", k - 1))])
-    met = pairs.join(one, "a").join(other, "b").select("a", "b", F.explode(F.transform(equal, lines)).alias("w")).select("a", "b", "w.*")
+    two = at.select("p", F.posexplode("p").alias("i", "x")).select("x", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("y"))
+    met = two.select(*[F.col(f"{v}.{c}").alias(n) for v, names in (("x", ("a", "ia", "sa", "ea")), ("y", ("b", "ib", "sb", "eb"))) for c, n in zip(("id", "at", "first", "last"), names)])
     # a region goes on while both sides move by at most k tokens and the second does not go back
     v = Window.partitionBy("a", "b").orderBy("ia", "ib")
     da, db = F.col("ia") - F.lag("ia").over(v), F.col("ib") - F.lag("ib").over(v)
