@@ -180,3 +180,10 @@ def test_numbers_of_cities_follow_the_greedy_order(spark):
             used.add(final[n])
     out = {r["node"]: r["community"] for r in graphs.f16_numbers_that_stay(spark, sf).collect()}
     assert out == {n: final[c] for n, c in new.items()}
+
+
+def test_first_moves_find_cliques(spark):
+    cliques = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "xy" for i in range(5) for j in range(i)]
+    home = C.first_moves(spark.createDataFrame([*cliques, ("x0", "y0", 1.0)], "a string, b string, w double"))
+    assert {tuple(r) for r in home.select("node", "community").collect()} == {(f"{c}{i}", f"{c}0") for c in "xy" for i in range(5)}
+    assert C.first_moves(spark.createDataFrame([], "a string, b string, w double")).count() == 0
