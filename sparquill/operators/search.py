@@ -1,33 +1,35 @@
 """Full-text search over a stored inverted index.
 
-Tables in a folder, each partitioned by a bucket: `postings` (bucket of the term; term, id, tf) and `keys` (bucket of the
-key; leg, key, term, df). A term has as keys itself and itself without any one of its signs (leg d: of two terms that are an
-edit apart one such key is common), its first two letters (leg e: any common prefix of two to fifteen letters has these), and
-its runs of three (leg n: any common part of three to eight letters has one). A search computes the keys of its words, reads
-their buckets of `keys` only, and then only the buckets of `postings` that hold a term which matched.
+`postings` in a folder: for each segment and term its places (id, tf) in one row, and their number, df. Documents go to segments
+by their id, as many as have `SEGMENT_BYTES` of the table's files each, so the work and the memory of a task and the length of
+a list are bounded, and only texts are shuffled, once. A search reads the terms of all segments and tells which ones match;
+lists of other terms are not taken up.
 
 Words are runs of letters, marks, digits and underscores of any script, joined by a single apostrophe or full stop, in lower
-case. Of a query the first ten parts between blanks count. Each matches a term exactly, by an edit, by a prefix and by a part,
-and each such leg adds tf * log(1 + documents / df), in millionths; a document's score is the sum over all terms.
+case. Of a query the first ten parts between blanks count. Each matches a term exactly, by an edit, by a prefix of two letters
+or more and by a part of three letters or more, and each such leg adds tf * log(1 + documents / df), in millionths; a document's
+score is the sum over all terms.
 
 Null and empty texts have no terms, repeated ids count as one document, an empty table gives no hits.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 import uuid
 
-import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import Folder, checkpoints, shared_folder
+from ..sources.store import Folder, shared_folder
 
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
 UNIT = 1_000_000
-BUCKETS = 32
+SEGMENT_BYTES = 8 << 20
+FORMAT = "segments"
 MOST_WORDS = 10
 
 
@@ -41,23 +43,30 @@ def postings_of(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.explode(words(F.col("content"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def bucket(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
-
-
-def without_one(term: str) -> list[str]:
-    return [term, *(term[:i] + term[i + 1 :] for i in range(len(term)))]
-
-
-def keys_of(terms: DataFrame) -> DataFrame:
-    """leg, key, term, df of terms (term, df)."""
-    n = F.length("term")
-    deleted = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring("term", F.lit(1), i - 1), F.substring("term", i + 1, n)))
-    prefix = F.when(n >= 2, F.array(F.substring("term", 1, 2))).otherwise(F.array().cast("array<string>"))
-    parts = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring("term", i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    leg = lambda name, keys: F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(name).alias("leg"), k.alias("key")))
-    every = F.concat(leg("d", F.concat(F.array("term"), deleted)), leg("e", prefix), leg("n", parts))
-    return terms.select("term", "df", F.explode(every).alias("k")).select("k.leg", "k.key", "term", "df")
+def file_states(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, length and time of change of the files that a table is read from."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for f in sorted(df.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(conf).getFileStatus(p)
+        state.append((f, s.getLen(), s.getModificationTime()))
+    return state
+
+
+def legs(query: str) -> Column:
+    """How often a word of the query matches the column `term` by one of the four legs."""
+    term, total = F.col("term"), F.lit(0).cast("bigint")
+    for word in query.split()[:MOST_WORDS]:
+        tokens = regex.findall(WORD, word.lower())
+        exact = [term == t for t in tokens]
+        prefix = [F.startswith(term, F.lit(t[:2])) for t in tokens if len(t) >= 2]
+        part = [F.contains(term, F.lit(g)) for g in sorted({t[i : i + 3] for t in tokens for i in range(len(t) - 2)})]
+        for leg in (exact, [F.levenshtein(term, F.lit(word), 1) >= 0], prefix, part):
+            if leg:
+                total = total + F.when(functools.reduce(operator.or_, leg), 1).otherwise(0)
+    return total
 
 
 class SearchIndex:
@@ -70,64 +79,39 @@ class SearchIndex:
     @classmethod
     def build(cls, docs: DataFrame, path: str) -> SearchIndex:
         """Index documents (id, content)."""
-        spark = docs.sparkSession
-        # rebalancing splits the rows of a frequent term's bucket by size, and puts small buckets together
-        rows = postings_of(docs).withColumn("bucket", bucket("term")).hint("rebalance", "bucket")
-        rows.write.partitionBy("bucket").parquet(f"{path}/postings")
-        stored = spark.read.parquet(f"{path}/postings")
-        terms = stored.groupBy("term").agg(F.count("*").alias("df"))
-        keys = keys_of(terms).withColumn("bucket", bucket("leg", "key"))
-        keys.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/keys")
+        size = sum(length for _, length, _ in file_states(docs))
+        n = max(1, -(-size // SEGMENT_BYTES)) if size else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = docs.select("id", "content", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("segment")).repartitionById(n, F.col("segment"))
+        # a segment is one task's, so neither of the two groupings is shuffled
+        tf = dealt.select("segment", "id", F.explode(words(F.col("content"))).alias("term")).groupBy("segment", "id", "term").agg(F.count("*").alias("tf"))
+        lists = tf.groupBy("segment", "term").agg(F.count("*").alias("df"), F.collect_list(F.struct("id", "tf")).alias("places"))
+        lists.write.parquet(f"{path}/postings")
         docs.agg(F.count_distinct("id").alias("n")).write.parquet(f"{path}/size")
-        return cls(spark, path)
+        return cls(docs.sparkSession, path)
 
     @classmethod
     def kept(cls, name: str, docs: DataFrame, source: DataFrame) -> SearchIndex:
         """The index of a table's documents, built once as long as the files of the table stay as they are."""
-        spark = docs.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        state = []
-        for f in sorted(source.inputFiles()):
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            s = p.getFileSystem(conf).getFileStatus(p)
-            state.append((f, s.getLen(), s.getModificationTime()))
-        folder = Folder(spark, f"{shared_folder(spark)}/search-{name}-{hashlib.sha1(repr(state).encode()).hexdigest()[:16]}")
+        spark, state = docs.sparkSession, file_states(source)
+        folder = Folder(spark, f"{shared_folder(spark)}/search-{name}-{FORMAT}-{hashlib.sha1(repr(state).encode()).hexdigest()[:16]}")
         if "built" not in folder.names():
             made = f"index-{uuid.uuid4().hex}"
             cls.build(docs, f"{folder.path}/{made}")
             folder.put_if_absent("built", made)
         return cls(spark, f"{folder.path}/{folder.read('built')}")
 
-    def terms(self, query: str) -> DataFrame:
-        """term, df, legs: how often a word of the query matches the term by one of the four legs."""
-        asked = set()
-        for n, word in enumerate(query.split()[:MOST_WORDS]):
-            asked |= {(n, "f", "d", k, word) for k in without_one(word)}
-            for token in regex.findall(WORD, word.lower()):
-                asked.add((n, "x", "d", token, token))
-                if len(token) >= 2:
-                    asked.add((n, "e", "e", token[:2], token))
-                asked |= {(n, "n", "n", token[i : i + 3], token) for i in range(len(token) - 2)}
-        columns = zip(("word", "kind", "leg", "key", "said"), zip(*sorted(asked), strict=True), strict=True)
-        wanted = self.spark.createDataFrame(pa.table({c: pa.array(v) for c, v in columns})).withColumn("bucket", bucket("leg", "key"))
-        buckets = sorted({r["bucket"] for r in wanted.select("bucket").collect()})  # of ten words at most
-        keys = self.spark.read.schema("leg string, key string, term string, df bigint, bucket int").parquet(f"{self.path}/keys").where(F.col("bucket").isin(buckets)).drop("bucket")
-        met = keys.join(F.broadcast(wanted.drop("bucket")), ["leg", "key"])
-        true = F.when(F.col("kind") == "x", F.col("term") == F.col("said")).when(F.col("kind") == "f", F.levenshtein("term", "said", 1) >= 0).otherwise(True)
-        return met.where(true).select("term", "df", "word", "kind").distinct().groupBy("term", "df").agg(F.count("*").alias("legs"))
+    def matched(self, query: str) -> DataFrame:
+        """segment, term, df, places, legs of the terms that a word of the query matches."""
+        return self.spark.read.parquet(f"{self.path}/postings").withColumn("legs", legs(query)).where("legs > 0")
 
     def scores(self, query: str, within: DataFrame | None = None) -> DataFrame:
         """id, score of all documents that match; within: ids that count."""
-        checkpoints(self.spark)
-        if not query.split():
-            return self.spark.createDataFrame([], self.spark.read.parquet(f"{self.path}/postings").select("id", F.lit(0.0).alias("score")).schema)
+        met = self.matched(query)
+        df = met.groupBy("term", "legs").agg(F.sum("df").alias("df"))
         weight = F.round(F.log(1 + F.lit(self.documents) / F.col("df")) * UNIT).cast("bigint") * F.col("legs")
-        hits = self.terms(query).select("term", weight.alias("weight"), bucket("term").alias("bucket")).checkpoint()
-        buckets = sorted(r["bucket"] for r in hits.select("bucket").distinct().collect())
-        found = self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(buckets)).join(hits, ["bucket", "term"])
-        if within is not None:
-            found = found.join(within.select("id").distinct(), "id", "left_semi")
-        return found.groupBy("id").agg((F.sum(F.col("tf") * F.col("weight")) / UNIT).alias("score"))
+        lists = met.select("term", "places").join(df.select("term", weight.alias("weight")), "term")
+        found = lists.select("weight", F.explode("places").alias("p")).groupBy(F.col("p.id").alias("id")).agg((F.sum(F.col("p.tf") * F.col("weight")) / UNIT).alias("score"))
+        return found if within is None else found.join(within.select("id").distinct(), "id", "left_semi")
 
     def search(self, query: str, limit: int = 10, within: DataFrame | None = None) -> DataFrame:
         """The best documents, equal scores by id; a limit of 0 means ten, a negative one 100,000."""
