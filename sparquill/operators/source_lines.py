@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 @dataclass(frozen=True)
 class Language:
@@ -52,6 +54,8 @@ class Automaton:
                 self.marks.append({end: 0} if end else {})
         self.marks[0] = starts
         self.lasting = 1 + len(g.block) + len(g.multi)
+        whole = {mark for m in self.marks for mark in m} | ({"\\"} if g.quotes or g.multi else set())
+        self.any_mark = "|".join(re.escape(m) for m in sorted(whole))
         self.signs = sorted({c for m in self.marks for mark in m for c in mark} | ({"\\"} if g.quotes or g.multi else set()))
         self.states = [(m, "") for m in range(len(self.kinds))]
         self.table: list[tuple] = []  # for each state and sign, the text between signs last: next state, and what is written
@@ -111,12 +115,15 @@ class Automaton:
         at = F.array_position(F.array(*map(F.lit, self.signs)), part).cast("int")
         return state * (len(self.signs) + 1) + F.when(at == 0, len(self.signs) + 1).otherwise(at)
 
+    def plain(self, line: Column) -> Column:
+        """Whether a line holds no whole mark, so that the state stays and all of it is of the state's kind."""
+        return ~F.rlike(line, F.lit(self.any_mark))
+
     def map_of(self, line: Column) -> Column:
         """The state after the line for each lasting state before it."""
         starts, parts = F.array(*map(F.lit, range(self.lasting))), self.split(line)
         through = lambda s: F.aggregate(parts, s, lambda a, x: self.of(self.table, "next", self.place(a, x)))
-        plain = ~F.rlike(line, F.lit("[" + "".join("\\" + c for c in self.signs) + "]"))
-        return F.when(plain, starts).otherwise(F.transform(starts, lambda s: self.of(self.ends, "next", through(s) + 1)))
+        return F.when(self.plain(line), starts).otherwise(F.transform(starts, lambda s: self.of(self.ends, "next", through(s) + 1)))
 
     def before_lines(self, lines: Column) -> Column:
         """The state before each line: maps composed over 1, 2, 4, ... lines."""
@@ -147,7 +154,9 @@ class Automaton:
 
         start = F.struct(before.alias("s"), *[F.lit("").alias(n) for n in modes], before.isin([k for k in range(self.lasting) if self.kinds[k] == COMMENT]).alias("marked"))
         last = lambda acc: put(acc, self.of(self.ends, "next", acc["s"] + 1), {n: self.of(self.ends, n, acc["s"] + 1) for n in modes}, self.of(self.ends, "marked", acc["s"] + 1))
-        return F.aggregate(self.split(line), start, step, last)
+        of_kind = {name: before.isin([m for m in range(self.lasting) if name in into[self.kinds[m]]]) for name in modes}
+        whole = F.struct(before.alias("s"), *[F.when(c, line).otherwise("").alias(n) for n, c in of_kind.items()], start["marked"].alias("marked"))
+        return F.when(self.plain(line), whole).otherwise(F.aggregate(self.split(line), start, step, last))
 
 
 def lines_of(files: DataFrame, language: Language) -> DataFrame:
@@ -215,7 +224,8 @@ def complexity(files: DataFrame, opening: str, closing: str, head: str, branch:
     t = files.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(token), F.lit(0))).alias("at", "token"))
     is_ = lambda p: F.rlike("token", F.lit(f"^(?:{p})$"))
     kind = F.when(is_(head), "head").when(is_(branch), "branch").when(is_(opening), "open").otherwise("close")
-    t = t.withColumn("kind", kind)
+    # written, as functions and branches both read it
+    t = stored(t.select("id", "at", kind.alias("kind")))
     order = Window.partitionBy("id").orderBy("at")
     depth = F.sum(F.when(F.col("kind").isin("head", "open"), 1).when(F.col("kind") == "close", -1).otherwise(0)).over(order)
     t = t.withColumn("depth", depth).withColumn("last", F.max("at").over(Window.partitionBy("id")))
