@@ -48,3 +48,12 @@ def test_scores_of_repeated_ids_and_other_scripts(spark, tmp_path):
     assert found == {i: s for i, s in want.items() if s}
     assert SearchIndex.build(docs.limit(0), f"{tmp_path}/none").search("bolt").collect() == []
     assert SearchIndex(spark, f"{tmp_path}/i").search("  ").collect() == []
+
+
+def test_a_search_shuffles_no_postings(spark, tmp_path):
+    """Terms that match were checkpointed and met by all places of their buckets before."""
+    docs = spark.range(3000).select("id", F.concat(F.lit("common w"), F.col("id"), F.lit(" bolt")).alias("content"))
+    index = SearchIndex.build(docs, f"{tmp_path}/index")
+    plan = index.scores("bolt")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "Contains(term" in plan.replace("contains(", "Contains(").replace("term#", "term")
+    assert index.scores("bolt").count() == 3000
