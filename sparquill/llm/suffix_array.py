@@ -178,7 +178,7 @@ def suffix_array(t: np.ndarray, sigma: int, apart: int = -1) -> np.ndarray:
     return induce(t, s, sigma, lms_sorted) if sigma <= MANY else induce_many(t, s, lms_sorted)
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, stride: int = 64) -> np.ndarray:
+def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, stride: int = 16) -> np.ndarray:
     """Permuted common prefixes: for each position, the length it shares with the suffix before it in order, up to `most`.
 
     A position shares at least one sign less than the position before it does, so every `stride`-th position is compared

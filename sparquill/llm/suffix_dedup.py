@@ -66,7 +66,7 @@ class Text:
         b = np.frombuffer(data, np.uint8)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(ONE[b] * powers.up[:n], out=self.sums[1:])
-        grams = self.windows(np.arange(n - K + 1), K)
+        grams = common.mix((self.sums[K:] - self.sums[: n - K + 1]) * powers.down[: n - K + 1])
         low = (grams & ~POSITION) | np.arange(n - K + 1, dtype=np.uint64)
         width, have = length - K + 1, 1
         while have < width:
@@ -81,9 +81,6 @@ class Text:
         self.segment = common.mix((self.sums[stop] - self.sums[self.start]) * self.down[self.start] + (stop - self.start).astype(np.uint64))
         self.key = key_of(self.anchor, self.segment)
 
-    def windows(self, at: np.ndarray, size: int) -> np.ndarray:
-        return common.mix((self.sums[at + size] - self.sums[at]) * self.down[at])
-
 
 def planes(x: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, which compress."""
