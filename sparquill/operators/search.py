@@ -1,9 +1,10 @@
 """Full-text search over a stored inverted index.
 
 `postings` in a folder: for each segment and term its places (id, tf) in one row, and their number, df. Documents go to segments
-by their id, as many as have `SEGMENT_BYTES` of the table's files each, so the work and the memory of a task and the length of
-a list are bounded, and only texts are shuffled, once. A search reads the terms of all segments and tells which ones match;
-lists of other terms are not taken up.
+by their id, as many as have `SEGMENT_BYTES` of the table's files each, or `PACKED` times that of text, so the work and the
+memory of a task and the length of a list are bounded, and only texts are shuffled, once. A segment's words are numbered and
+counted as arrays, not row by row. A search reads the terms of all segments and tells which ones match; lists of other terms
+are not taken up.
 
 Words are runs of letters, marks, digits and underscores of any script, joined by a single apostrophe or full stop, in lower
 case. Of a query the first ten parts between blanks count. Each matches a term exactly, by an edit, by a prefix of two letters
@@ -20,15 +21,23 @@ import hashlib
 import operator
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.store import Folder, shared_folder
 
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
 UNIT = 1_000_000
 SEGMENT_BYTES = 8 << 20
+#: Texts that files pack more than this many times get more segments.
+PACKED = 4
+#: Terms of an Arrow batch that a segment is returned in.
+TERMS = 20_000
 FORMAT = "segments"
 MOST_WORDS = 10
 
@@ -69,6 +78,32 @@ def legs(query: str) -> Column:
     return total
 
 
+def lists_of(segments):
+    """mapInArrow function: segment, id and words of a segment's documents to segment, term, df and places of its terms."""
+    batches = [b for b in segments if b.num_rows]
+    if not batches:
+        return
+    segment, ids, words = (pa.concat_arrays([b.column(k) for b in batches]) for k in ("segment", "id", "words"))
+    del batches
+    ids, length = ids.dictionary_encode(null_encoding="encode"), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    words = pc.list_flatten(words).dictionary_encode()
+    # numbers of terms are made to go by their order
+    order, among = pc.array_sort_indices(words.dictionary), len(ids.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    keys = rank[words.indices.to_numpy()] * among + np.repeat(ids.indices.to_numpy(), length)
+    keys, tf = np.unique(keys, return_counts=True)
+    term, doc = np.divmod(keys, among)
+    starts = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term))
+    terms = words.dictionary.take(order)
+    for k in range(0, len(terms), TERMS):
+        at = starts[k : k + TERMS + 1]
+        places = pa.StructArray.from_arrays([ids.dictionary.take(pa.array(doc[at[0] : at[-1]])), pa.array(tf[at[0] : at[-1]])], ["id", "tf"])
+        df = np.diff(at)
+        columns = [pa.array(np.full(len(df), segment[0].as_py(), np.int32)), terms.slice(k, len(df)), pa.array(df), pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), places)]
+        yield pa.RecordBatch.from_arrays(columns, ["segment", "term", "df", "places"])
+
+
 class SearchIndex:
     """An index that has been built in a folder."""
 
@@ -79,15 +114,15 @@ class SearchIndex:
     @classmethod
     def build(cls, docs: DataFrame, path: str) -> SearchIndex:
         """Index documents (id, content)."""
-        size = sum(length for _, length, _ in file_states(docs))
-        n = max(1, -(-size // SEGMENT_BYTES)) if size else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spark = docs.sparkSession
+        docs.agg(F.count_distinct("id").alias("n"), F.sum(F.octet_length("content")).alias("bytes")).write.parquet(f"{path}/size")
+        n = -(-max(sum(length for _, length, _ in file_states(docs)), (spark.read.parquet(f"{path}/size").first()["bytes"] or 0) // PACKED, 1) // SEGMENT_BYTES)
         dealt = docs.select("id", "content", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("segment")).repartitionById(n, F.col("segment"))
-        # a segment is one task's, so neither of the two groupings is shuffled
-        tf = dealt.select("segment", "id", F.explode(words(F.col("content"))).alias("term")).groupBy("segment", "id", "term").agg(F.count("*").alias("tf"))
-        lists = tf.groupBy("segment", "term").agg(F.count("*").alias("df"), F.collect_list(F.struct("id", "tf")).alias("places"))
-        lists.write.parquet(f"{path}/postings")
-        docs.agg(F.count_distinct("id").alias("n")).write.parquet(f"{path}/size")
-        return cls(docs.sparkSession, path)
+        place = T.StructType().add("id", docs.schema["id"].dataType).add("tf", "long")
+        lists = T.StructType().add("segment", "integer").add("term", "string").add("df", "long").add("places", T.ArrayType(place))
+        # a partition is one segment
+        dealt.select("segment", "id", words(F.col("content")).alias("words")).mapInArrow(lists_of, lists).write.parquet(f"{path}/postings")
+        return cls(spark, path)
 
     @classmethod
     def kept(cls, name: str, docs: DataFrame, source: DataFrame) -> SearchIndex:

@@ -5,6 +5,7 @@ import os
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparquill.operators import search
@@ -57,3 +58,31 @@ def test_a_search_shuffles_no_postings(spark, tmp_path):
     plan = index.scores("bolt")._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "Contains(term" in plan.replace("contains(", "Contains(").replace("term#", "term")
     assert index.scores("bolt").count() == 3000
+
+
+def test_lists_of_a_segment_over_batches(monkeypatch):
+    """Words were grouped row by row before, twice for the counts and twice for the lists."""
+    monkeypatch.setattr(search, "TERMS", 2)
+    docs = [(1, ["b", "a", "b"]), (2, None), (None, ["é", "a"]), (1, ["a", "c", "b"]), (3, []), (None, ["a"]), (-4, ["c", "", "Z"])]
+    schema = pa.schema([("segment", pa.int32()), ("id", pa.int64()), ("words", pa.list_(pa.string()))])
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([7] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], schema=schema)
+    tf = Counter((t, i) for i, said in docs for t in said or [])
+    made = [r for b in search.lists_of(iter([batch(docs[:3]), batch([]), batch(docs[3:])])) for r in b.to_pylist()]
+    assert [r["term"] for r in made] == sorted({t for t, _ in tf}, key=str.encode) and {r["segment"] for r in made} == {7}
+    assert {(r["term"], p["id"]): p["tf"] for r in made for p in r["places"]} == tf
+    assert sum(len(r["places"]) for r in made) == len(tf) and all(r["df"] == len(r["places"]) for r in made)
+    assert list(search.lists_of(iter([batch([])]))) == []
+    assert [r for b in search.lists_of(iter([batch([(1, None), (2, [])])])) for r in b.to_pylist()] == []
+
+
+def test_packed_texts_are_dealt_over_more_segments(spark, tmp_path, monkeypatch):
+    """Segments had as much of the files as others before, however much text that was."""
+    monkeypatch.setattr(search, "SEGMENT_BYTES", 200_000)
+    spark.range(1000).selectExpr("id", "repeat('bolt and nut ', 500) AS content").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert size_of(f"{tmp_path}/docs") < 200_000
+    index = SearchIndex.build(docs, f"{tmp_path}/index")
+    rows = spark.read.parquet(f"{tmp_path}/index/postings")
+    assert rows.select("segment").distinct().count() == 9
+    assert rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum(F.expr("aggregate(places, 0L, (a, p) -> a + p.tf)")).alias("tf")).where("df = 1000 AND tf = 500000").count() == 3
+    assert index.scores("bolt").count() == 1000
